@@ -43,8 +43,9 @@ def blank_to_null(x: Column) -> Column:
 
 def to_number(x: Column) -> Column:
     """Numeric coercion: anything that is not a finite number becomes NULL."""
-    number = F.trim(x.cast("string")).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    text = F.trim(x.cast("string"))
+    number = text.try_cast("double")
+    return F.when(~F.isnan(number) & ~text.rlike("[dDfF]$"), number)
 
 
 def coerce_numeric(x: Column, default: float | None) -> Column:
