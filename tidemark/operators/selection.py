@@ -75,8 +75,6 @@ def order_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str], t
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if not keys:
-        return left.crossJoin(right)
     r = right.select([F.col(c).alias(f"__{c}" if c in keys else c) for c in right.columns])
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"__{k}"]) for k in keys])
     return left.join(r, cond).drop(*[f"__{k}" for k in keys])
