@@ -27,13 +27,12 @@ def clean_name(x: Column) -> Column:
 
 def char_ngrams(x: Column, lo: int = 2, hi: int = 4) -> Column:
     """All character n-grams for n in lo..hi, shorter ones first."""
-    parts = [
-        F.when(
-            F.length(x) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i, n=n: F.substring(x, i, n)),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(lo, hi + 1)
-    ]
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(x) - (n - 1))
+        grams = F.transform(starts, lambda i: F.substring(x, i, n))
+        return F.when(F.length(x) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    parts = [of_length(n) for n in range(lo, hi + 1)]
     return F.concat(*parts)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("customer_queries", "learning_queries")
+_MODULES = ("customer_queries", "learning_queries", "quality_queries", "header_queries")
 
 
 def _load() -> None:

@@ -36,7 +36,7 @@ def industry_kpis(spark, base):
 SELECT industry, count(CASE WHEN churned = 0 THEN 1 END) AS retained, count(CASE WHEN churned = 1 THEN 1 END) AS churned
 FROM c360 GROUP BY industry""")
 def churn_distribution(spark, base):
-    return P.target_distribution(C.customer_360(spark, base), ["industry"])
+    return P.target_distribution(C.feature_table(spark, base), ["industry"])
 
 
 @query("value_counts_pct", sql=f"""
@@ -66,7 +66,7 @@ _NB = ["customer_id", "region", "tenure_months", "support_tickets_90d", "app_ses
     f"count(CASE WHEN trim(CAST({c} AS VARCHAR)) = '' THEN 1 END) AS blanks FROM n" for c in _NB
 ).join(["SELECT * FROM (WITH n AS (SELECT *, CASE WHEN customer_id % 7 = 0 THEN '  ' ELSE customer_segment END AS note FROM c360) ", ")"]))
 def null_blank_counts(spark, base):
-    df = C.customer_360(spark, base)
+    df = C.feature_table(spark, base)
     note = F.when(F.col("customer_id") % 7 == 0, F.lit("  ")).otherwise(F.col("customer_segment"))
     return P.null_blank_counts(df.withColumn("note", note).select(*_NB))
 
@@ -78,7 +78,7 @@ _CORR = ["tenure_months", "monthly_spend_usd", "orders_180d", "days_since_last_a
     f"SELECT '{a}' AS a, '{b}' AS b, {rnd(f'corr({a}::DOUBLE, {b}::DOUBLE)', 6)} AS r FROM c360"
     for i, a in enumerate(_CORR) for b in _CORR[i:]))
 def correlation_matrix(spark, base):
-    out = P.correlation_matrix(C.customer_360(spark, base), _CORR)
+    out = P.correlation_matrix(C.feature_table(spark, base), _CORR)
     return out.withColumn("r", stable_round(F.col("r"), 6))
 
 
@@ -87,7 +87,7 @@ def correlation_matrix(spark, base):
   count(CASE WHEN churned = 1 THEN 1 END) AS churned, {rnd('avg(churned) * 100', 2)} AS churn_rate FROM c360 GROUP BY {c}"""
     for c in ("contract_type", "customer_segment")))
 def category_churn_counts(spark, base):
-    df = C.customer_360(spark, base).select("contract_type", "customer_segment", "churned")
+    df = C.feature_table(spark, base).select("contract_type", "customer_segment", "churned")
     long = df.unpivot(["churned"], ["contract_type", "customer_segment"], "feature", "category")
     return long.groupBy("feature", "category").agg(
         F.count(F.when(F.col("churned") == 0, 1)).alias("retained"),
@@ -101,7 +101,7 @@ SELECT churned, bin, n, {rnd('n / sum(n) OVER (PARTITION BY churned)', 6)} AS sh
   SELECT churned, CAST(least(greatest(floor((monthly_spend_usd - 0) / 2500.0::DOUBLE) + 1, 0), 21) AS BIGINT) AS bin, count(*) AS n
   FROM c360 WHERE monthly_spend_usd IS NOT NULL GROUP BY 1, 2)""")
 def class_histogram(spark, base):
-    return P.class_histogram(C.customer_360(spark, base), "monthly_spend_usd", 0.0, 50000.0, 20)
+    return P.class_histogram(C.feature_table(spark, base), "monthly_spend_usd", 0.0, 50000.0, 20)
 
 
 _GRID = [float(g) for g in range(0, 80, 4)]
@@ -114,14 +114,14 @@ JOIN (SELECT churned, count(tenure_months) AS n, stddev_samp(tenure_months) * po
       FROM c360 GROUP BY 1) USING (churned), (SELECT unnest({_GRID})::DOUBLE AS x)
 GROUP BY churned, x""")
 def class_kde(spark, base):
-    return P.class_density(C.customer_360(spark, base), "tenure_months", _GRID, 1.0)
+    return P.class_density(C.feature_table(spark, base), "tenure_months", _GRID, 1.0)
 
 
 @query("feature_medians", ctes=("c360",), sql=" UNION ALL ".join(
     f"SELECT industry, '{c}' AS \"column\", count({c}) AS n, {rnd(f'coalesce(median({c}), 0)', 4)} AS median FROM c360 GROUP BY industry HAVING count({c}) > 0"
     for c in NUMERIC))
 def feature_medians(spark, base):
-    out = SEL.medians(C.customer_360(spark, base), NUMERIC, ["industry"])
+    out = SEL.medians(C.feature_table(spark, base), NUMERIC, ["industry"])
     return out.withColumn("median", stable_round(F.col("median"), 4))
 
 
@@ -130,14 +130,14 @@ def feature_medians(spark, base):
   row_number() OVER (PARTITION BY industry ORDER BY count(*) DESC, {c}) AS rk FROM c360 WHERE {c} IS NOT NULL GROUP BY industry, {c}) WHERE rk = 1"""
     for c in TEXTS))
 def feature_modes(spark, base):
-    return SEL.modes(C.customer_360(spark, base), TEXTS, ["industry"])
+    return SEL.modes(C.feature_table(spark, base), TEXTS, ["industry"])
 
 
 @query("zero_variance_columns", ctes=("c360",), sql=" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", var_samp({e}) = 0 AS zero_variance FROM c360"
     for c, e in [("tenure_months", "tenure_months"), ("overdrafts_12m", "overdrafts_12m"), ("constant", "7")]))
 def zero_variance_columns(spark, base):
-    df = C.customer_360(spark, base).withColumn("constant", F.lit(7))
+    df = C.feature_table(spark, base).withColumn("constant", F.lit(7))
     return P.zero_variance_columns(df, ["tenure_months", "overdrafts_12m", "constant"])
 
 
@@ -149,7 +149,7 @@ SELECT customer_id, churned, CASE WHEN rn <= (n * 20 + 99) // 100 THEN 'test' EL
   SELECT customer_id, churned, row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, customer_id) AS rn,
     count(*) OVER (PARTITION BY churned) AS n FROM c360)""")
 def stratified_split(spark, base):
-    df = C.customer_360(spark, base).select("customer_id", "churned")
+    df = C.feature_table(spark, base).select("customer_id", "churned")
     return SP.stratified_split(df, "customer_id", "churned")
 
 
@@ -158,7 +158,7 @@ SELECT customer_id, churned, CASE WHEN rn <= (n * 70 + 99) // 100 THEN 'train' W
   SELECT customer_id, churned, row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, customer_id) AS rn,
     count(*) OVER (PARTITION BY churned) AS n FROM c360)""")
 def stratified_split_3way(spark, base):
-    df = C.customer_360(spark, base).select("customer_id", "churned")
+    df = C.feature_table(spark, base).select("customer_id", "churned")
     return SP.stratified_split_3way(df, "customer_id", "churned")
 
 
@@ -168,7 +168,7 @@ SELECT customer_id, churned, CAST(CASE WHEN rn <= (n * 1 + 4) // 5 THEN 0 WHEN r
   SELECT customer_id, churned, row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, customer_id) AS rn,
     count(*) OVER (PARTITION BY churned) AS n FROM c360)""")
 def kfold_assign(spark, base):
-    df = C.customer_360(spark, base).select("customer_id", "churned")
+    df = C.feature_table(spark, base).select("customer_id", "churned")
     return SP.kfold(df, "customer_id", "churned", 5)
 
 
@@ -179,4 +179,4 @@ def kfold_assign(spark, base):
 def binary_columns(spark, base):
     from tidemark.catalog import BINARY_LIKE_VALUES
     cols = ["smart_meter_enabled", "churned", "overdrafts_12m", "contract_type", "agent_contact_90d"]
-    return P.binary_columns(C.customer_360(spark, base), cols, BINARY_LIKE_VALUES)
+    return P.binary_columns(C.feature_table(spark, base), cols, BINARY_LIKE_VALUES)

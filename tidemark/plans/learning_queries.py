@@ -28,7 +28,7 @@ define_cte("scaled", "SELECT c360.* EXCLUDE (" + ", ".join(SCALED) + "), " + ",
 
 def scaled_customers(spark, base):
     """All customers with the retrieval features scaled by their industry's train split."""
-    df = C.customer_360(spark, base)
+    df = C.feature_table(spark, base)
     stats = PP.scaling_stats(df.where(F.col("split") == "train"), SCALED, ["industry"])
     return PP.standard_scale(df, stats, SCALED, ["industry"])
 
@@ -50,7 +50,7 @@ FROM (SELECT * REPLACE (CASE WHEN customer_id % 5 = 0 THEN NULL ELSE region END
 {' '.join(f'''LEFT JOIN (SELECT industry, {c} AS m_{c} FROM (SELECT industry, {c}, row_number() OVER (PARTITION BY industry ORDER BY count(*) DESC, {c}) AS rk
   FROM (SELECT * REPLACE (CASE WHEN customer_id % 5 = 0 THEN NULL ELSE region END AS region) FROM c360) WHERE {c} IS NOT NULL GROUP BY industry, {c}) WHERE rk = 1) t_{c} USING (industry)''' for c in _IMP_CAT)}""")
 def impute_median_mode(spark, base):
-    df = C.customer_360(spark, base).withColumn(
+    df = C.feature_table(spark, base).withColumn(
         "region", F.when(F.col("customer_id") % 5 != 0, F.col("region")))
     return PP.impute_median_mode(df, _IMP_NUM, _IMP_CAT, ["industry"]).select("customer_id", *_IMP_NUM, *_IMP_CAT)
 
@@ -63,7 +63,7 @@ _TIERS = ["bronze", "gold", "platinum", "silver"]
     f"coalesce(CAST({c} = '{v}' AS INTEGER), 0)::DOUBLE AS \"{c}_{v}\"" for c, vs in (("region", _REGIONS), ("loyalty_tier", _TIERS)) for v in vs
 ) + " FROM c360")
 def one_hot(spark, base):
-    df = C.customer_360(spark, base).select("customer_id", "region", "loyalty_tier", "split")
+    df = C.feature_table(spark, base).select("customer_id", "region", "loyalty_tier", "split")
     levels = PP.category_levels(df.where(F.col("split") == "train"), ["region", "loyalty_tier"])
     return PP.one_hot(df.drop("split"), levels)
 
@@ -72,7 +72,7 @@ def one_hot(spark, base):
     f"coalesce(CAST({c} = '{v}' AS INTEGER), 0)::DOUBLE AS \"{c}_{v}\"" for c, vs in (("region", _REGIONS), ("loyalty_tier", _TIERS)) for v in vs[1:]
 ) + " FROM c360")
 def dummy_encode(spark, base):
-    df = C.customer_360(spark, base).select("customer_id", "region", "loyalty_tier")
+    df = C.feature_table(spark, base).select("customer_id", "region", "loyalty_tier")
     return PP.one_hot(df, PP.category_levels(df, ["region", "loyalty_tier"]), drop_first=True)
 
 
@@ -84,7 +84,7 @@ _GRAM = ["tenure_months", "monthly_spend_usd", "orders_180d", "avg_order_value_u
     for i, a in enumerate(_GRAM) for b in _GRAM[i:]).join([
         "SELECT * FROM (WITH f AS (SELECT *, " + ", ".join(f"median({c}) OVER (PARTITION BY industry) AS md_{c}" for c in _GRAM) + " FROM c360) ", ")"]))
 def gram_matrix(spark, base):
-    df = C.customer_360(spark, base)
+    df = C.feature_table(spark, base)
     fills = PP.widen(medians(df, _GRAM, ["industry"]), ["industry"], _GRAM, "median")
     joined = df.join(F.broadcast(fills), "industry")
     g = I.gram_table(joined, _GRAM, {c: F.col(f"__median_{c}") for c in _GRAM}, ["industry"], shift=False)
@@ -111,7 +111,7 @@ FROM c360 JOIN (
         FROM c360 WHERE split = 'train' WINDOW w AS (PARTITION BY industry))) GROUP BY industry)) USING (industry)
 WHERE split = 'test'""")
 def ridge_impute(spark, base):
-    df = C.customer_360(spark, base)
+    df = C.feature_table(spark, base)
     cols = [_T, _P1, _P2]
     train = df.where(F.col("split") == "train").select("industry", *cols)
     fills = PP.widen(medians(train, cols, ["industry"]), ["industry"], cols, "median")

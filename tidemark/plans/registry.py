@@ -45,7 +45,10 @@ def with_ctes(sql: str, *names: str) -> str:
     if not ordered:
         return sql.strip()
     parts = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered)
-    return f"WITH {parts}\n{sql.strip()}"
+    body = sql.strip()
+    if body.upper().startswith("WITH "):
+        return f"WITH {parts},\n{body[5:]}"
+    return f"WITH {parts}\n{body}"
 
 
 def values(rows, columns: str, alias: str = "v") -> str:

@@ -21,6 +21,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path))
 
 
+def file_stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(modification time, length) of a file or folder."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop_path)
+    return status.getModificationTime(), status.getLen()
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              columns: Sequence[str] | None = None) -> DataFrame:
     """CSV scan with NaN and blanks as NULL; without a schema every column is text.
