@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions.scalars import char_ngrams, clean_name, stable_round
+from tidemark.session import materialize
 
 
 def with_clean(headers: DataFrame) -> DataFrame:
@@ -82,11 +83,7 @@ def similarities(headers: DataFrame, corpora: tuple[str, ...]) -> DataFrame:
         F.col("tf") * F.col("tf_f") * F.col("idf") * F.col("idf"))
     cosine_parts = weights.select("dataset_id", "pos", "corpus", "a", "feature", part.alias("s"),
                                   F.lit(None).cast("double").alias("ladder"))
-    own_names = catalog.feature_catalog(spark).select("feature", F.col("feature_clean").alias("alias_clean")).distinct()
-    ladder_table = F.broadcast(
-        catalog.synonyms(spark).select("feature", "alias_clean", F.lit(catalog.SYNONYM_SIMILARITY).alias("ladder"))
-        .unionByName(own_names.withColumn("ladder", F.lit(catalog.EXACT_SIMILARITY)))
-        .groupBy("feature", "alias_clean").agg(F.max("ladder").alias("ladder")))
+    ladder_table = F.broadcast(catalog.name_ladder(spark))
     named = h.where("wanted").join(ladder_table, F.col("clean") == F.col("alias_clean")).select(
         "dataset_id", "pos", "corpus", "a", "feature", F.lit(0.0).alias("s"), "ladder")
     pairs = cosine_parts.unionByName(named).groupBy("dataset_id", "pos", "corpus", "a", "feature").agg(
@@ -191,6 +188,8 @@ def column_mapping(headers: DataFrame, industries: DataFrame) -> DataFrame:
     headers with the same best feature an exact name wins, then the first one, and the
     others stay unmapped.
     """
+    # One row per upload, used twice below: written so that detection runs once.
+    industries = materialize(industries.select("dataset_id", "industry"), "industries")
     h = with_clean(headers).join(industries.select("dataset_id", F.col("industry").alias("corpus")), "dataset_id")
     h = h.withColumn("wanted", ~is_id(F.col("clean")))
     spark = headers.sparkSession

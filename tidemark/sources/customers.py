@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions import scalars as S
-from tidemark.session import scratch_path
-from tidemark.sources.tables import file_stamp, path_exists, table
+from tidemark.sources.tables import stored, table
 
 AS_OF = "2001-02-01"
 TRAIN_SHARE, VAL_SHARE = 0.6, 0.2
@@ -151,25 +150,15 @@ def customer_360(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-_FEATURE_TABLES: dict[tuple, str] = {}
-
-
 def feature_table(spark: SparkSession, base: str) -> DataFrame:
     """``customer_360`` written once to the shared folder and read back.
 
     Operators that pass over the customers several times (medians, scaling, retrieval,
     model fitting) start here, so orders and lines are joined once and the table outlives
-    any executor.  The table is rebuilt when an input file changes.
+    any executor.
     """
     inputs = ("customer", "orders", "lineitem", "events", "nation", "region")
-    stamp = (spark.sparkContext.applicationId, base,
-             *[file_stamp(spark, f"{base}/{t}.parquet") for t in inputs])
-    path = _FEATURE_TABLES.get(stamp)
-    if path is None or not path_exists(spark, path):
-        path = scratch_path(spark, "customers")
-        customer_360(spark, base).write.parquet(path)
-        _FEATURE_TABLES[stamp] = path
-    return spark.read.parquet(path)
+    return stored(spark, base, "customers", inputs, customer_360)
 
 
 def action_effect(industry: Column, c: dict[str, Column]) -> Column:

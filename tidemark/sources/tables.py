@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import path_exists, scratch_path
+
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hadoop_path))
-
-
 def file_stamp(spark: SparkSession, path: str) -> tuple[int, int]:
     """(modification time, length) of a file or folder."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -28,6 +23,22 @@ def file_stamp(spark: SparkSession, path: str) -> tuple[int, int]:
     return status.getModificationTime(), status.getLen()
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, base: str, name: str, inputs: Sequence[str],
+           build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A derived table, written once per application and rebuilt when an input file changes."""
+    stamp = (spark.sparkContext.applicationId, base, name,
+             *[file_stamp(spark, f"{base}/{t}.parquet") for t in inputs])
+    path = _STORED.get(stamp)
+    if path is None or not path_exists(spark, path):
+        path = scratch_path(spark, name)
+        build(spark, base).write.parquet(path)
+        _STORED[stamp] = path
+    return spark.read.parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              columns: Sequence[str] | None = None) -> DataFrame:
     """CSV scan with NaN and blanks as NULL; without a schema every column is text.

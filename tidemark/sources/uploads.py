@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import table
+from tidemark.sources.tables import stored, table
 
 # Column headers of four public churn data sets.
 HEADER_LISTS = {
@@ -32,6 +32,11 @@ def pick(words: tuple, index: Column) -> Column:
 
 
 def upload_headers(spark: SparkSession, base: str) -> DataFrame:
+    """The header table of all uploads, stored once like any landed metadata."""
+    return stored(spark, base, "headers", ("part",), landed_headers)
+
+
+def landed_headers(spark: SparkSession, base: str) -> DataFrame:
     """(dataset_id, pos, header): one header per part, twenty parts to an uploaded table.
 
     The spelling follows the part's size: as listed, upper or lower case, with an
