@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("customer_queries", "learning_queries", "quality_queries", "header_queries")
+_MODULES = ("customer_queries", "learning_queries", "quality_queries", "header_queries",
+            "alignment_queries")
 
 
 def _load() -> None:
