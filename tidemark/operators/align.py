@@ -219,3 +219,8 @@ def proxy_gate(df: DataFrame, label: str | None, overlap: float) -> DataFrame:
         "rows", F.lit(len(usable)).alias("numeric_columns"), "two_classes", F.lit(float(overlap)).alias("overlap"),
         ((F.col("rows") >= 50) & F.lit(len(usable) >= 2) & F.col("two_classes")
          & F.lit(label is not None) & F.lit(overlap < 0.40)).alias("train_proxy"))
+
+
+def numeric_names(df: DataFrame) -> list[str]:
+    """Columns that are numeric by type."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
