@@ -228,16 +228,33 @@ def header_frame(spark, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(0, i, n) for i, n in enumerate(names)], "dataset_id bigint, pos int, header string")
 
 
+# Both functions depend on the header list alone, and uploads tend to repeat their layout.
+_KNOWN_LAYOUTS: dict[tuple, object] = {}
+_MAX_LAYOUTS = 1_000
+
+
+def _remember(key: tuple, value: object) -> object:
+    if len(_KNOWN_LAYOUTS) >= _MAX_LAYOUTS:
+        _KNOWN_LAYOUTS.clear()
+    _KNOWN_LAYOUTS[key] = value
+    return value
+
+
 def detect_industry(spark, names: list[str]) -> str:
-    return detect_industries(header_frame(spark, names)).first()["industry"]
+    key = ("detect", *names)
+    if key not in _KNOWN_LAYOUTS:
+        _remember(key, detect_industries(header_frame(spark, names)).first()["industry"])
+    return _KNOWN_LAYOUTS[key]
 
 
 def map_columns(spark, names: list[str], industry: str) -> dict[str, str]:
     """{header: feature} for one table; a table's width bounds the result."""
-    headers = header_frame(spark, names)
-    fixed = spark.createDataFrame([(0, industry)], "dataset_id bigint, industry string")
-    rows = column_mapping(headers, fixed).orderBy("pos").collect()
-    return {r["header"]: r["feature"] for r in rows}
+    key = ("map", industry, *names)
+    if key not in _KNOWN_LAYOUTS:
+        fixed = spark.createDataFrame([(0, industry)], "dataset_id bigint, industry string")
+        rows = column_mapping(header_frame(spark, names), fixed).orderBy("pos").collect()
+        _remember(key, {r["header"]: r["feature"] for r in rows})
+    return dict(_KNOWN_LAYOUTS[key])
 
 
 def similarity_score(spark, left: str, right: str, names: list[str] | None = None) -> float:

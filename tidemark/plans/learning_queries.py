@@ -10,6 +10,7 @@ from tidemark.operators import preprocess as PP
 from tidemark.operators.selection import medians
 from tidemark.plans import common  # noqa: F401
 from tidemark.plans.registry import define_cte, query, rnd
+from tidemark.session import pin
 from tidemark.sources import customers as C
 
 SCALED = C.KNN_FEATURES
@@ -29,7 +30,7 @@ define_cte("scaled", "SELECT c360.* EXCLUDE (" + ", ".join(SCALED) + "), " + ",
 def scaled_customers(spark, base):
     """All customers with the retrieval features scaled by their industry's train split."""
     df = C.feature_table(spark, base)
-    stats = PP.scaling_stats(df.where(F.col("split") == "train"), SCALED, ["industry"])
+    stats = pin(PP.scaling_stats(df.where(F.col("split") == "train"), SCALED, ["industry"]))
     return PP.standard_scale(df, stats, SCALED, ["industry"])
 
 

@@ -16,7 +16,7 @@ from tidemark.plans import common
 from tidemark.plans.learning_queries import SCALED, scaled_customers
 from tidemark.plans.quality_queries import P0, TIER, quantiles
 from tidemark.plans.registry import define_cte, query, rnd
-from tidemark.session import scratch_path
+from tidemark.session import pin, scratch_path
 from tidemark.sources import customers as C
 from tidemark.sources import tables as TB
 
@@ -113,7 +113,7 @@ def evidence_payload(df):
         F.when(F.col("churned") == 1, "Yes").otherwise("No").alias("churned_text"))
 
 
-EVIDENCE = [F_ for F_ in ("segment", "tenure", "contract", "monthly_charges", "detail", "churned_text")]
+EVIDENCE = ["segment", "tenure", "contract", "monthly_charges", "detail", "churned_text"]
 
 
 @query("knn_evidence", ctes=("nb", "c360"), sql=f"""
@@ -242,7 +242,7 @@ def score_upload(upload, train, val, scorer, level_pct: int = catalog.DEFAULT_LE
     qhat = calibration.where(F.col("level_pct") == level_pct).first().qhat
     by = F.lit(ind).alias("industry")
     features = [f for f in EC_KNN if f in catalog.SCHEMAS[ind]]
-    stats = PP.scaling_stats(train.select("*", by), features, ["industry"])
+    stats = pin(PP.scaling_stats(train.select("*", by), features, ["industry"]))
     q = PP.standard_scale(cleaned.select("*", by), stats, features, ["industry"])
     r = PP.standard_scale(train.select("*", by), stats, features, ["industry"])
     hits = K.knn_join(K.vectors(q, "customer_id", features, "industry", "qid"),

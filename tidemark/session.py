@@ -53,6 +53,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def pin(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Evaluate a small table once and continue with its rows.
+
+    For fitted statistics of a fixed vocabulary that several jobs read.  A table above
+    ``max_rows`` is written to the shared folder instead.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return materialize(df, "pinned")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
