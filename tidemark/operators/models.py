@@ -32,9 +32,10 @@ LEARNERS = ("gbt", "rf", "encoded")
 SEED = 42
 
 
-def _outputs(name: str) -> dict[str, str]:
-    return {"predictionCol": f"__pred_{name}", "probabilityCol": f"__prob_{name}",
-            "rawPredictionCol": f"__raw_{name}", "featuresCol": f"__vec_{name}"}
+def _named(classifier, name: str):
+    """Give every learner its own columns, so several can run in one pass."""
+    return (classifier.setFeaturesCol(f"__vec_{name}").setPredictionCol(f"__pred_{name}")
+            .setProbabilityCol(f"__prob_{name}").setRawPredictionCol(f"__raw_{name}"))
 
 
 def learner(name: str, numeric: Sequence[str], categorical: Sequence[str], label: str, p: dict) -> Pipeline:
@@ -60,15 +61,14 @@ def learner(name: str, numeric: Sequence[str], categorical: Sequence[str], label
         inputs += enc
     else:
         inputs += index
-    out = _outputs(name)
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=out["featuresCol"]))
-    common = dict(labelCol=label, maxDepth=p["maxDepth"], subsamplingRate=p["subsamplingRate"], seed=SEED, **out)
+    stages.append(VectorAssembler(inputCols=inputs, outputCol=f"__vec_{name}"))
+    depth = max(2, p["maxDepth"] - 1) if name == "encoded" else p["maxDepth"]
+    common = dict(labelCol=label, maxDepth=depth, subsamplingRate=p["subsamplingRate"], seed=SEED)
     if name == "rf":
-        stages.append(RandomForestClassifier(numTrees=p["numTrees"], maxBins=256, **common))
+        trees = RandomForestClassifier(numTrees=p["numTrees"], maxBins=256, **common)
     else:
-        depth = p["maxDepth"] if name == "gbt" else max(2, p["maxDepth"] - 1)
-        stages.append(GBTClassifier(maxIter=p["maxIter"], stepSize=p["stepSize"], maxBins=64,
-                                    **{**common, "maxDepth": depth}))
+        trees = GBTClassifier(maxIter=p["maxIter"], stepSize=p["stepSize"], maxBins=64, **common)
+    stages.append(_named(trees, name))
     return Pipeline(stages=stages)
 
 
@@ -227,7 +227,7 @@ def train_proxy(df: DataFrame, label: str, columns: Sequence[str], keep: Sequenc
                        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     parts = materialize(stratified_split(filled, key, label, 20), "proxy-rows")
     vec = VectorAssembler(inputCols=list(columns), outputCol="__vec_proxy")
-    gbt = GBTClassifier(labelCol=label, maxIter=iterations, maxDepth=3, stepSize=0.1, seed=SEED, **_outputs("proxy"))
+    gbt = _named(GBTClassifier(labelCol=label, maxIter=iterations, maxDepth=3, stepSize=0.1, seed=SEED), "proxy")
     model = Pipeline(stages=[vec, gbt]).fit(parts.where("part = 'train'"))
     scored = add_probability(model, parts, "proxy")
     auc = auc_of(scored.where("part = 'test'"), "p_proxy", label)

@@ -188,7 +188,8 @@ def stream_augment_counts(spark, base):
     stream = jobs.arriving(spark, folder, landed.schema)
     jobs.append_arriving(stream, lambda b: b.select("customer_id", "industry", "churned"), out,
                          scratch_path(spark, "augmented-checkpoint"))
-    return jobs.running_counts(jobs.arriving(spark, folder, landed.schema), ["industry", "churned"])
+    appended = jobs.arriving(spark, out, landed.select("customer_id", "industry", "churned").schema)
+    return jobs.running_counts(appended, ["industry", "churned"])
 
 
 # --- dashboard ---------------------------------------------------------------------
