@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions.scalars import char_ngrams, clean_name, stable_round
-from tidemark.session import materialize
+from tidemark.session import materialize, spread
 
 
 def with_clean(headers: DataFrame) -> DataFrame:
@@ -51,7 +51,8 @@ def similarities(headers: DataFrame, corpora: tuple[str, ...]) -> DataFrame:
         "a", F.log(1.0 + sizes[F.col("corpus")] + F.col("n_headers")))
 
     grams = (
-        h.select("dataset_id", "pos", "corpus", "a", "wanted", char_ngrams(F.col("clean")).alias("g"))
+        spread(h, "dataset_id", "pos")
+        .select("dataset_id", "pos", "corpus", "a", "wanted", char_ngrams(F.col("clean")).alias("g"))
         .withColumn("gram", F.explode(F.array_distinct("g")))
         .withColumn("tf", F.size(F.filter("g", lambda x: x == F.col("gram"))).cast("double"))
         .drop("g")
@@ -67,11 +68,13 @@ def similarities(headers: DataFrame, corpora: tuple[str, ...]) -> DataFrame:
         return F.col("a") - F.log(1.0 + df) + 1.0
 
     known = F.coalesce("df_lex", F.lit(0))
+    # Size estimates ignore what exploding adds, so the planner might broadcast the n-grams
+    # of all uploads; the hint keeps this join shuffled whatever the estimate.
     # Dot products with every feature sharing a gram; the header's own norm rides along
     # under the empty feature name, so one shuffle serves both.
     own = F.array(F.struct(F.lit("").alias("feature"), F.lit(0.0).alias("tf_f")))
     weights = (
-        grams.where("wanted").join(used, ["dataset_id", "gram", "corpus", "a"])
+        grams.where("wanted").join(used.hint("merge"), ["dataset_id", "gram", "corpus", "a"])
         .join(lex, ["corpus", "gram"], "left").join(features, "gram", "left")
         .withColumn("idf", idf(known + F.col("df_d")))
         .select("dataset_id", "pos", "corpus", "a", "tf", "idf",
@@ -274,6 +277,6 @@ def tfidf(headers: DataFrame) -> DataFrame:
     tf = grams.groupBy("dataset_id", "pos", "gram", "nn").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("dataset_id", "gram").agg(F.count(F.lit(1)).alias("df"))
     x = F.col("tf") * (F.log((1.0 + F.col("nn")) / (1.0 + F.col("df"))) + 1.0)
-    weighted = tf.join(df, ["dataset_id", "gram"]).withColumn("x", x)
+    weighted = tf.join(df.hint("merge"), ["dataset_id", "gram"]).withColumn("x", x)
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("dataset_id", "pos")))
     return weighted.select("dataset_id", "pos", "gram", (F.col("x") / norm).alias("weight"))

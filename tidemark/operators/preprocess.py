@@ -27,15 +27,10 @@ def scaling_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str], **kw
     """
     by = list(by)
     med = medians(df, columns, by, **kw).select(*by, "column", "median")
-    moments = df.groupBy(*by).agg(F.array(*[
-        F.struct(
-            F.lit(c).alias("column"),
-            F.count(F.lit(1)).cast("double").alias("n"),
-            F.count(c).cast("double").alias("n1"),
-            F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias("m1"),
-            F.coalesce(F.var_pop(F.col(c).cast("double")), F.lit(0.0)).alias("v1"),
-        ) for c in columns
-    ]).alias("cols")).select(*by, F.inline("cols"))
+    moments = df.groupBy(*by).agg(F.expr("array(" + ", ".join(
+        f"struct('{c}' AS column, CAST(count(1) AS DOUBLE) AS n, CAST(count(`{c}`) AS DOUBLE) AS n1, "
+        f"coalesce(avg(CAST(`{c}` AS DOUBLE)), 0D) AS m1, coalesce(var_pop(CAST(`{c}` AS DOUBLE)), 0D) AS v1)"
+        for c in columns) + ")").alias("cols")).select(*by, F.inline("cols"))
     joined = moments.join(med, [*by, "column"], "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
     n0 = F.col("n") - F.col("n1")
     mean = (F.col("n1") * F.col("m1") + n0 * F.col("median")) / F.col("n")
@@ -63,12 +58,11 @@ def standard_scale(df: DataFrame, stats: DataFrame, columns: Sequence[str], by:
     The statistics hold one row per group of a fixed vocabulary and are broadcast.
     """
     wide = stats.groupBy(*by).agg(*[
-        F.max(F.when(F.col("column") == c, F.struct("median", "mean", "sd"))).alias(f"__{c}") for c in columns
+        F.expr(f"max(CASE WHEN column = '{c}' THEN struct(median, mean, sd) END) AS `__{c}`") for c in columns
     ])
     joined = df.join(F.broadcast(wide), list(by))
     return joined.withColumns({
-        c: (F.coalesce(F.col(c).cast("double"), F.col(f"__{c}.median")) - F.col(f"__{c}.mean")) / F.col(f"__{c}.sd")
-        for c in columns
+        c: F.expr(f"(coalesce(CAST(`{c}` AS DOUBLE), `__{c}`.median) - `__{c}`.mean) / `__{c}`.sd") for c in columns
     }).drop(*[f"__{c}" for c in columns])
 
 

@@ -35,28 +35,22 @@ def order_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str], t
     """
     by = list(by)
     delta = 2.0 / accuracy
-    numeric = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-
-    def bracket(c: str) -> Column:
-        n = F.count(c)
-        marks = sorted({max(0.0, f - delta) for f, _ in targets.values()}
-                       | {min(1.0, f + delta) for f, _ in targets.values()})
-        sketch = F.percentile_approx(c, marks, accuracy)
-        slots = []
-        for name, (f, rank) in targets.items():
-            lo, hi = marks.index(max(0.0, f - delta)), marks.index(min(1.0, f + delta))
-            slots.append(F.struct(
-                F.lit(name).alias("target"),
-                rank(n).cast("bigint").alias("rank"),
-                F.when(n > small, F.element_at(sketch, lo + 1)).alias("lo"),
-                F.when(n > small, F.element_at(sketch, hi + 1)).alias("hi"),
-            ))
-        return F.struct(F.lit(c).alias("column"), n.alias("n"), F.array(*slots).alias("slots"))
-
-    brackets = (
-        numeric.groupBy(*by).agg(F.array(*[bracket(c) for c in columns]).alias("cols"))
-        .select(*by, F.inline("cols"))
-    )
+    numeric = df.selectExpr(*by, *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns])
+    marks = sorted({max(0.0, f - delta) for f, _ in targets.values()}
+                   | {min(1.0, f + delta) for f, _ in targets.values()})
+    sketched = numeric.groupBy(*by).agg(F.expr("array(" + ", ".join(
+        f"struct('{c}' AS column, count(`{c}`) AS n, percentile_approx(`{c}`, array({', '.join(map(_double, marks))}), "
+        f"{accuracy}) AS sketch)" for c in columns) + ")").alias("cols"))
+
+    def slot(name: str, fraction: float, rank: Callable[[Column], Column]) -> Column:
+        large = F.col("n") > small
+        lo, hi = marks.index(max(0.0, fraction - delta)), marks.index(min(1.0, fraction + delta))
+        return F.struct(
+            F.lit(name).alias("target"), rank(F.col("n")).cast("bigint").alias("rank"),
+            F.when(large, F.col("sketch")[lo]).alias("lo"), F.when(large, F.col("sketch")[hi]).alias("hi"))
+
+    brackets = sketched.select(*by, F.inline("cols")).select(
+        *by, "column", "n", F.array(*[slot(name, f, rank) for name, (f, rank) in targets.items()]).alias("slots"))
     side = F.broadcast(brackets) if bounded_groups else brackets
     long = numeric.unpivot(by, list(columns), "column", "value").where(F.col("value").isNotNull())
     keys = [*by, "column"]
@@ -74,6 +68,10 @@ def order_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str], t
     )
 
 
+def _double(x: float) -> str:
+    return f"{x!r}D"
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     r = right.select([F.col(c).alias(f"__{c}" if c in keys else c) for c in right.columns])
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"__{k}"]) for k in keys])

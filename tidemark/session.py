@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", app: str = "tidemark", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -48,6 +49,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over all cores ahead of a step that expands each of them many times.
+
+    A small file is one partition, and adaptive execution would merge a plain repartition
+    back into one by its size before the expansion.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
