@@ -110,3 +110,12 @@ def test_guardrail_raises(spark):
     with pytest.raises(CF.CalibrationQualityError):
         CF.require_guardrail(cover)
     CF.require_guardrail(cover.withColumn("coverage", F.lit(0.95)))
+
+
+def test_calibration_set_is_covered_whatever_the_decimals(spark):
+    rng = random.Random(11)
+    rows = [("g", rng.random(), rng.randint(0, 1)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "industry string, p double, churned int")
+    sets = CF.prediction_sets(df, CF.calibrate(df, ["industry"]), ["industry"])
+    for r in CF.coverage(sets, ["industry"]).collect():
+        assert r.level_pct / 100 <= r.coverage <= r.level_pct / 100 + 0.01

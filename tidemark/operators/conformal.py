@@ -43,7 +43,7 @@ def calibrate(df: DataFrame, by: Sequence[str], score: str = "p", label: str = "
 def in_set(p: Column, qhat: Column) -> tuple[Column, Column]:
     """Whether class 0 and class 1 belong to the prediction set."""
     cut = stable_round(1 - qhat, 6)
-    return stable_round(1 - p, 6) >= cut, p >= cut
+    return stable_round(1 - p, 6) >= cut, stable_round(p, 6) >= cut
 
 
 def prediction_sets(df: DataFrame, quantiles: DataFrame, by: Sequence[str], score: str = "p",

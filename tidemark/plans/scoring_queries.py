@@ -9,14 +9,14 @@ from tidemark.functions import scalars as S
 from tidemark.operators import align as A
 from tidemark.operators import conformal as CF
 from tidemark.operators import knn as K
-from tidemark.operators import preprocess as PP
 from tidemark.operators import scoring as SC
 from tidemark.operators.bridge import FeatureBridge
+from tidemark.operators.serving import EVIDENCE, evidence_payload, score_upload
 from tidemark.plans import common
 from tidemark.plans.learning_queries import SCALED, scaled_customers
 from tidemark.plans.quality_queries import P0, TIER, quantiles
 from tidemark.plans.registry import define_cte, query, rnd
-from tidemark.session import pin, scratch_path
+from tidemark.session import scratch_path
 from tidemark.sources import customers as C
 from tidemark.sources import tables as TB
 
@@ -99,23 +99,6 @@ DETAIL = """CASE industry WHEN 'saas' THEN 'Seats: 5 | Feature score: ' || CAST(
 SEGMENT = "upper(substr(customer_segment, 1, 1)) || lower(substr(customer_segment, 2)) || ' segment'"
 
 
-def evidence_payload(df):
-    """Reference rows as shown next to a prediction; absent features take their default."""
-    have = set(df.columns)
-    cols = {f: (F.coalesce(F.col(f), F.lit(catalog.DEFAULTS[f])) if f in have else F.lit(catalog.DEFAULTS[f]))
-            for f in catalog.FEATURES}
-    return df.select(
-        F.col("customer_id").alias("rid"), "churned",
-        F.concat(F.initcap(cols["customer_segment"]), F.lit(" segment")).alias("segment"),
-        cols["tenure_months"].cast("int").alias("tenure"), cols["contract_type"].alias("contract"),
-        cols["monthly_spend_usd"].alias("monthly_charges"),
-        S.evidence_detail(F.col("industry"), cols).alias("detail"),
-        F.when(F.col("churned") == 1, "Yes").otherwise("No").alias("churned_text"))
-
-
-EVIDENCE = ["segment", "tenure", "contract", "monthly_charges", "detail", "churned_text"]
-
-
 @query("knn_evidence", ctes=("nb", "c360"), sql=f"""
 SELECT qid, rank, {rnd(SIM, 1)} AS similarity, {SEGMENT} AS segment, coalesce(tenure_months, 24) AS tenure, contract_type AS contract,
   {rnd('coalesce(monthly_spend_usd, 100)', 2)} AS monthly_charges, {DETAIL} AS detail, CASE WHEN churned = 1 THEN 'Yes' ELSE 'No' END AS churned
@@ -229,29 +212,6 @@ def uploaded_batch(spark, base):
     return test.select(*[F.col(f).alias(h) for h, f in UPLOAD.items()])
 
 
-def score_upload(upload, train, val, scorer, level_pct: int = catalog.DEFAULT_LEVEL_PCT):
-    """(bridge, scored rows) for an uploaded table against an industry's train and calibration rows.
-
-    ``train`` and ``val`` are cleaned rows of the detected industry with ``customer_id`` and
-    ``churned``.
-    """
-    bridge = FeatureBridge().transform(upload)
-    ind = bridge.industry
-    cleaned = A.clean_features(bridge.df, ind, ["customer_id"])
-    calibration = CF.calibrate(scorer(val, "p").withColumn("industry", F.lit(ind)), ["industry"])
-    qhat = calibration.where(F.col("level_pct") == level_pct).first().qhat
-    by = F.lit(ind).alias("industry")
-    features = [f for f in EC_KNN if f in catalog.SCHEMAS[ind]]
-    stats = pin(PP.scaling_stats(train.select("*", by), features, ["industry"]))
-    q = PP.standard_scale(cleaned.select("*", by), stats, features, ["industry"])
-    r = PP.standard_scale(train.select("*", by), stats, features, ["industry"])
-    hits = K.knn_join(K.vectors(q, "customer_id", features, "industry", "qid"),
-                      K.vectors(r, "customer_id", features, "industry", "rid"))
-    payload = evidence_payload(train.select("*", by))
-    retrieval = K.summarise(hits, payload, [F.col(c) for c in EVIDENCE])
-    return bridge, SC.score_rows(cleaned, "customer_id", ind, scorer, qhat, retrieval)
-
-
 def reference_rows(spark, base, split: str):
     df = C.feature_table(spark, base).where(F.col("split") == split)
     return A.clean_features(df, "ecommerce", ["customer_id", "churned"])
@@ -259,7 +219,7 @@ def reference_rows(spark, base, split: str):
 
 def scored_upload(spark, base):
     return score_upload(uploaded_batch(spark, base), reference_rows(spark, base, "train"),
-                        reference_rows(spark, base, "val"), ecommerce_risk)
+                        reference_rows(spark, base, "val"), ecommerce_risk, EC_KNN)
 
 
 def decision_rows(spark, base):
