@@ -49,6 +49,13 @@ def distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _pieces(part: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """Slices whose rows times ``width`` stay within a block of memory."""
+    step = max(1, BLOCK // max(1, width))
+    for lo in range(0, len(part), step):
+        yield part.iloc[lo:lo + step]
+
+
 def nearest(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray, k: int,
             exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, reference id, distance) of the k nearest; ``rid`` ascending."""
@@ -118,11 +125,12 @@ def _tiled_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool,
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for g, part in batch.groupby("grp"):
-                part = part.assign(cell=np.int32(-1), reach=0.0)
-                if g in shared.value:
-                    d = distances(_stack(part.vec), shared.value[g])
-                    part = part.assign(cell=d.argmin(axis=1).astype(np.int32), reach=d.min(axis=1))
-                yield part[["grp", "rid", "vec", "cell", "reach"]]
+                if g not in shared.value:
+                    yield part.assign(cell=np.int32(-1), reach=0.0)
+                    continue
+                for piece in _pieces(part, len(shared.value[g])):
+                    d = distances(_stack(piece.vec), shared.value[g])
+                    yield piece.assign(cell=d.argmin(axis=1).astype(np.int32), reach=d.min(axis=1))
 
     placed = materialize(
         refs.select("grp", "rid", "vec").mapInPandas(
@@ -145,12 +153,13 @@ def _tiled_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool,
                 if g not in shared.value:
                     yield part.assign(cell=np.int32(-1))[["grp", "qid", "vec", "cell"]]
                     continue
-                d = distances(_stack(part.vec), shared.value[g])
-                bound = (np.partition(d, need - 1, axis=1)[:, need - 1:need] if d.shape[1] >= need
-                         else np.full((len(d), 1), np.inf))
-                row, cell = np.nonzero(d - limits.value[g][None, :] <= bound + 2.0 / QUANTUM)
-                out = part.iloc[row].assign(cell=cell.astype(np.int32))
-                yield out[["grp", "qid", "vec", "cell"]]
+                for piece in _pieces(part, len(shared.value[g]) * dims):
+                    d = distances(_stack(piece.vec), shared.value[g])
+                    bound = (np.partition(d, need - 1, axis=1)[:, need - 1:need] if d.shape[1] >= need
+                             else np.full((len(d), 1), np.inf))
+                    row, cell = np.nonzero(d - limits.value[g][None, :] <= bound + 2.0 / QUANTUM)
+                    out = piece.iloc[row].assign(cell=cell.astype(np.int32))
+                    yield out[["grp", "qid", "vec", "cell"]]
 
     routed = materialize(
         queries.select("grp", "qid", "vec").mapInPandas(

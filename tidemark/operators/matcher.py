@@ -57,7 +57,11 @@ def similarities(headers: DataFrame, corpora: tuple[str, ...]) -> DataFrame:
         .withColumn("tf", F.size(F.filter("g", lambda x: x == F.col("gram"))).cast("double"))
         .drop("g")
     )
-    used = grams.groupBy("dataset_id", "gram", "corpus", "a").agg(F.count(F.lit(1)).alias("df_d"))
+    # Both readers below take this aggregate with the same columns, so its shuffle is reused.
+    used = (
+        grams.withColumnsRenamed({"corpus": "corpus_d", "a": "a_d"})
+        .groupBy("dataset_id", "gram", "corpus_d", "a_d").agg(F.count(F.lit(1)).alias("df_d"))
+    )
     lex = F.broadcast(catalog.corpus_gram_table(spark, corpora))
     features = F.broadcast(
         catalog.feature_gram_table(spark).groupBy("gram")
@@ -74,7 +78,7 @@ def similarities(headers: DataFrame, corpora: tuple[str, ...]) -> DataFrame:
     # under the empty feature name, so one shuffle serves both.
     own = F.array(F.struct(F.lit("").alias("feature"), F.lit(0.0).alias("tf_f")))
     weights = (
-        grams.where("wanted").join(used.hint("merge"), ["dataset_id", "gram", "corpus", "a"])
+        grams.where("wanted").join(used.hint("merge"), ["dataset_id", "gram"])
         .join(lex, ["corpus", "gram"], "left").join(features, "gram", "left")
         .withColumn("idf", idf(known + F.col("df_d")))
         .select("dataset_id", "pos", "corpus", "a", "tf", "idf",
@@ -98,7 +102,8 @@ def similarities(headers: DataFrame, corpora: tuple[str, ...]) -> DataFrame:
         idf(F.col("df_lex") + F.col("df_d")) * idf(F.col("df_lex") + F.col("df_d"))
         - idf(F.col("df_lex")) * idf(F.col("df_lex")))
     adjusted = (
-        used.join(lex, ["corpus", "gram"]).join(feature_rows, "gram")
+        used.withColumnsRenamed({"corpus_d": "corpus", "a_d": "a"})
+        .join(lex, ["corpus", "gram"]).join(feature_rows, "gram")
         .groupBy("dataset_id", "feature").agg(F.sum(shift).alias("adjust"))
     )
     a = F.col("a")
