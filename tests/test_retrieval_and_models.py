@@ -118,3 +118,10 @@ def test_feature_table_is_stored_once(spark, base):
     first, second = C.feature_table(spark, base), C.feature_table(spark, base)
     assert first.inputFiles() == second.inputFiles()
     assert first.count() == C.customer_360(spark, base).count()
+
+
+def test_cross_validated_search_reports_every_trial(labelled):
+    space = {k: [v] for k, v in QUICK.items()}
+    best, trials = MD.tune_cv(labelled, ["tenure_months", "monthly_spend_usd"], ["region"], "customer_id",
+                              trials=1, folds=2, space=space)
+    assert best == QUICK and len(trials) == 1 and len(trials[0]["folds"]) == 2 and trials[0]["auc"] > 0.6
