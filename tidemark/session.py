@@ -55,7 +55,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A small file is one partition, and adaptive execution would merge a plain repartition
     back into one by its size before the expansion.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        parts = min(parts, spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
