@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 #: Ranges an exact distributed rank counts rows by; its one-task prefix sum reads at most this many rows a group.
-RANK_BUCKETS = 4096
+RANK_BUCKETS = 1024
 
 __all__ = ["RANK_BUCKETS", "batches_of", "discard", "materialize", "ranked", "table"]
 

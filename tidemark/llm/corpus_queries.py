@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import lmscore, packing, rans, rules, secrets, simhash, topk, weaklabel
 from tidemark.llm.common import table
 
 CONTEXT = 1024
+SHINGLE_WORDS = 3
 
 
 def tokenizer_file(name: str) -> str:
@@ -16,16 +19,71 @@ def tokenizer_file(name: str) -> str:
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.packing import pack_documents
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), CONTEXT)
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), CONTEXT)
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklabel.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from tidemark.llm.packing import pack_documents
 
-    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), CONTEXT)
+def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE_WORDS)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_best_fit_packing": best_fit_packing}
-ORACLES: dict[str, str] = {}
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id,
+             CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * r.e[i])) AS BIGINT) AS score
+      FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.e) = len(r.e) WHERE q.vec_id % 50 = 0),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
+"""
+
+
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, frequencies = rans.encode_corpus(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return rans.digest(spark, path, frequencies)
+
+
+def isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(table(spark, sf_dir, "documents"))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return weaklabel.kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs, SHINGLE_WORDS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), CONTEXT)
+
+
+QUERIES = {
+    "op2_best_fit_packing": best_fit_packing, "op3_quality_classifier": quality_classifier,
+    "op5_simhash_near_duplicates": simhash_near_duplicates, "op6_exact_top_k": exact_top_k,
+    "op7_token_files": token_files, "op8_isolation_rules": isolation_rules, "op9_owned_secrets": owned_secrets,
+    "op10_backoff_scores": backoff_scores,
+}
+ORACLES = {"op6_exact_top_k": TOP_K_SQL.strip()}
