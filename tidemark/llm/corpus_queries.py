@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lmscore, packing, rans, rules, secrets, simhash, topk, weaklabel
+from tidemark.llm import lmscore, mixing, packing, rans, rules, secrets, sharding, simhash, topk, weaklabel
 from tidemark.llm.common import table
 
 CONTEXT = 1024
@@ -18,6 +18,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), CONTEXT)
 
@@ -26,6 +30,11 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weaklabel.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "tokens", "epoch", "block", "position", "weight")
+
+
 def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE_WORDS)
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -76,13 +85,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return secrets.redact(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), CONTEXT)
 
 
 QUERIES = {
-    "op2_best_fit_packing": best_fit_packing, "op3_quality_classifier": quality_classifier,
-    "op5_simhash_near_duplicates": simhash_near_duplicates, "op6_exact_top_k": exact_top_k,
+    "op1_label_sharding": label_sharding, "op2_best_fit_packing": best_fit_packing, "op3_quality_classifier": quality_classifier,
+    "op4_temperature_mixing": temperature_mixing, "op5_simhash_near_duplicates": simhash_near_duplicates, "op6_exact_top_k": exact_top_k,
     "op7_token_files": token_files, "op8_isolation_rules": isolation_rules, "op9_owned_secrets": owned_secrets,
     "op10_backoff_scores": backoff_scores,
 }
