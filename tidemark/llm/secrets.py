@@ -135,17 +135,18 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", repository_col: str = "sourc
     own = docs.withColumn("_key", F.xxhash64(text_col))
     held = own.join(live, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key")), "left")
     schema = docs.schema
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(len(docs.columns)).to_pylist()):
+            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
                 if spans:
                     texts[i] = blanked(texts[i], [(s["start"], s["end"]) for s in spans], mark)
-            columns = batch.columns[:len(docs.columns)]
+            columns = batch.columns[:len(names)]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     marked = held.where(F.col("_spans").isNotNull()).select(*docs.columns, "_spans").mapInArrow(run, schema)
     return held.where(F.col("_spans").isNull()).select(*docs.columns).unionByName(marked)
