@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bytes_of, materialize
-from tidemark.llm.tokens import load
+from tidemark.llm.tokens import load, unload
 from tidemark.session import scratch_path
 
 BITS = 20
@@ -34,7 +34,7 @@ MAGIC = b"TMR1"
 HEAD = struct.Struct("<IIQIII")
 LANES = 4096
 #: Tokens after which a block is closed; a longer document has a block of its own.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 CHECKPOINT_STEPS = 64
 FILE_BYTES = 64_000_000
 
@@ -178,6 +178,7 @@ def id_counts(tokens: DataFrame) -> dict[int, int]:
     """How often each id occurs: summed per task first, then by id; the result is as long as the vocabulary."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        unload()
         total = np.zeros(0, np.int64)
         for batch in batches:
             for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -198,6 +199,7 @@ def write_blocks(tokens: DataFrame, frequencies: np.ndarray, path: str) -> None:
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        unload()
         coder, file, block = Coder(frequencies), TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         held: list[np.ndarray] = []
@@ -236,6 +238,7 @@ def read_blocks(spark, path: str, frequencies: np.ndarray) -> DataFrame:
 
 def _decoded(spark, path: str, frequencies: np.ndarray, with_ids: bool) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
+        unload()
         coder = Coder(frequencies)
         for batch in batches:
             for file, block, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):

@@ -19,9 +19,9 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Distinct pieces kept by a Python worker before its memory is emptied and filled anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 #: Bytes of text whose pieces are held at a time.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 2_000_000
 
 PUNCTUATION = frozenset([b".", b",", b";", b"!", b"?"])
 
@@ -45,6 +45,11 @@ def load(path: str) -> "PieceTokenizer":
     return _LOADED[path]
 
 
+def unload() -> None:
+    """Give the memory of pieces back: for tasks that do not encode, in workers that have."""
+    _LOADED.clear()
+
+
 class PieceTokenizer:
     def __init__(self, path: str):
         import os
