@@ -31,9 +31,9 @@ from tidemark.llm.common import bytes_of, materialize
 #: Weight of the lower order against the counts of a context.
 MU = 4.0
 #: Tokens after which a block is closed; a longer document has a block of its own.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 19
 #: Bytes of text for each part of the partitioning by n-gram.
-PART_BYTES = 16_000_000
+PART_BYTES = 8_000_000
 END = b"\n"
 FOLD, RESIDUE = 7, 2
 
