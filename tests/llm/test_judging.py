@@ -1,0 +1,153 @@
+"""Quality classifier, quality rules and secret scans."""
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tests.llm.cases import SECRET, WORDS, awkward, documents, empty, labels
+from tidemark.llm import rules, secrets, weaklabel
+
+
+def base_statistics(text):
+    text = text or ""
+    words = WORDS.findall(text)
+    windows = Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
+    covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i:i + 3])] > 1 for k in range(3)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORDS.search(line):
+            dup += line in seen
+            seen.add(line)
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return len(words), sum(map(len, words)), symbols, dup, len(covered), failed
+
+
+@pytest.mark.parametrize("make", [awkward, documents, empty])
+def test_rule_statistics(spark, base, make):
+    docs = make(spark, base) if make is documents else make(spark)
+    got = rules.quality_rules(docs, labels(spark)).collect()
+    want = Counter((r["doc_id"], *base_statistics(r["text"])) for r in docs.collect())
+    assert Counter(tuple(r)[:7] for r in got) == want
+    assert all(r["kept"] == (not r["base_failed"]) for r in got)  # no labels, so only the base rules reject
+
+
+def test_rules_reject_what_labels_call_bad(spark):
+    base = "/root/testdata/sf0.01"
+    known = spark.read.parquet(f"{base}/labels.parquet")
+    got = {r["doc_id"]: r for r in rules.quality_rules(documents(spark, base), known).collect()}
+    good = [got[r[0]] for r in known.collect() if r["quality"] and not got[r[0]]["base_failed"]]
+    bad = [got[r[0]] for r in known.collect() if not r["quality"]]
+    assert sum(r["kept"] for r in good) >= 0.99 * len(good)
+    assert sum(not r["kept"] for r in bad) >= 0.95 * len(bad)
+
+
+def test_forest_isolates_outliers():
+    rng = np.random.default_rng(1)
+    rows = np.concatenate([rng.normal(0, 1, (2000, 3)), [[9, 9, 9], [-8, 9, 0]]])
+    scores = rules.Forest(rows).scores(rows)
+    assert set(np.argsort(scores)[-2:]) == {2000, 2001}
+    assert len(rules.Forest(np.zeros((0, 3))).scores(rows)) == len(rows)
+    assert np.allclose(rules.Forest(np.ones((5, 2))).scores(np.ones((2, 2))), 0.5)
+
+
+def test_threshold():
+    counts = {(10, 1): 90, (50, 1): 9, (90, 1): 1, (95, 0): 10, (40, 0): 1}
+    assert rules.threshold(counts, 100, 0.005) == 0.95
+    assert rules.threshold(counts, 100, 0.02) == 0.95
+    assert rules.threshold({(10, 1): 5}, 100, 0.1) == float("inf")
+
+
+def test_estimated_accuracies():
+    rng = np.random.default_rng(2)
+    bad = rng.random(20_000) < 0.2
+    n = len(weaklabel.LABELLERS)
+    digits = np.zeros((len(bad), n), np.int64)
+    for k in range(n):  # labellers of differing accuracy that abstain at times
+        right = rng.random(len(bad)) < 0.7 + 0.03 * k
+        digits[:, k] = np.where(rng.random(len(bad)) < 0.3, 0, np.where(right == bad, 2, 1))
+    keys = digits @ 3 ** np.arange(n - 1, -1, -1)
+    posterior = weaklabel.estimate(dict(Counter(keys.tolist())))
+    guess = np.array([posterior[k] for k in keys.tolist()]) > 0.5
+    votes = (digits == 2).sum(1) > (digits == 1).sum(1)
+    assert (guess == bad).mean() > max(0.9, (votes == bad).mean() - 0.005)
+    assert weaklabel.estimate({}) == {}
+
+
+def test_classifier_on_held_out_labels(spark):
+    base = "/root/testdata/sf0.01"
+    known = spark.read.parquet(f"{base}/labels.parquet")
+    fit, held = known.where("doc_id % 2 = 0"), {r[0]: r[1] for r in known.where("doc_id % 2 = 1").collect()}
+    got = {r["doc_id"]: r["kept"] for r in weaklabel.classify(documents(spark, base), fit).collect()}
+    good, bad = [got[d] for d, q in held.items() if q], [got[d] for d, q in held.items() if not q]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.05 * len(bad)
+    kept = weaklabel.kept_documents(documents(spark, base), known)
+    assert kept.columns == documents(spark, base).columns
+    assert {r[0] for r in kept.select("doc_id").collect()} == {
+        r["doc_id"] for r in weaklabel.classify(documents(spark, base), known).where("kept").collect()}
+
+
+def test_classifier_on_awkward_rows(spark):
+    got = weaklabel.classify(awkward(spark), None).collect()
+    assert len(got) == awkward(spark).count()
+    assert all(not r["kept"] for r in got if r["doc_id"] in (3, 4, 5))
+    assert weaklabel.classify(empty(spark), labels(spark)).count() == 0
+    assert weaklabel.kept_documents(empty(spark), labels(spark)).count() == 0
+    kept = weaklabel.kept_documents(awkward(spark), labels(spark, [(1, 1, 0), (12, 0, 0), (None, 1, None), (2, None, 1)]))
+    assert kept.columns == awkward(spark).columns
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(text):
+    found = [("assign", m) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    found += [("access", m) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    found += [("hex", m) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    return sorted(((k, m.start(), m.end()) for k, m in found), key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+@pytest.mark.parametrize("make", [awkward, documents, empty])
+def test_base_spans(spark, base, make):
+    docs = make(spark, base) if make is documents else make(spark)
+    want = Counter()
+    for r in docs.collect():
+        s = base_spans(r["text"] or "")
+        n = Counter(k for k, _, _ in s)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in s)
+        want[(r["doc_id"], n["assign"], n["access"], n["hex"], hashlib.sha256(joined.encode()).hexdigest())] += 1
+    got = secrets.report(secrets.find_secrets(docs)).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want
+    for r in got:
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert Counter(s.split(":")[0] for s in spans if s.split(":")[0] in secrets.BASE) == Counter(
+            {k: r[f"n_{k}"] for k in secrets.BASE if r[f"n_{k}"]})
+
+
+def test_failing_matches_use_up_their_text():
+    assert [s[:3] for s in secrets.scan("password:token: abcdef")] == []
+    assert [s[:3] for s in secrets.scan("é token=abcdef")] == [("assign", 2, 14)]
+
+
+def test_ownership_separates_examples_from_credentials(spark):
+    common, own = "q7Zk9Xw2Lm4Np6Rt8Vb1", "h3Jd8Gf5Sa2Qe7Wr9Ty4"
+    rows = [(i, f"see {common} é {own}{i}x end", f"owner{i}") for i in range(6)] + [(9, None, None), (10, f"AKIA{'Z1' * 8} {common}", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
+    assert all([s["kind"] for s in found[i]] == ["blob"] and found[i][0]["start"] == 27 and found[i][0]["live"] for i in range(6))
+    assert found[9] == []
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert out[3] == f"see {common} é [SECRET] end" and out[9] is None
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    docs = awkward(spark)
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    text = [r["text"] for r in out.where("doc_id = 7").collect()]
+    assert text == ["x [SECRET]\" y [SECRET] z"] and SECRET not in text
+    assert secrets.redact(empty(spark)).count() == 0
+    assert secrets.blanked("abcdef", [(1, 3), (2, 4), (5, 6)], "#") == "a#e#"
