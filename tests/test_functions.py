@@ -13,8 +13,6 @@ def column(spark, values, expr, kind="string"):
 def test_catalog_sizes():
     assert len(catalog.lexicon()) == 358
     assert len(catalog.FEATURES) == 75 and all(len(s) == 21 for s in catalog.SCHEMAS.values())
-    assert catalog.short_form("data_usage_gb_30d") == "data_usage"
-    assert catalog.short_form("network_complaints_90d") is None
 
 
 def test_clean_name_ignores_case_blanks_and_underscores(spark):
