@@ -140,7 +140,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     stats = materialize(rule_statistics(docs, id_col, text_col).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "rules")
-    sample = stats.where("n_words > 0").select("x", F.xxhash64("doc_id", "x").alias("h")).orderBy("h").limit(TREES * TREE_ROWS).collect()
+    # twice as many as wanted by a range of hashes, so that no task sends more than its part
+    share = min(1.0, 2 * TREES * TREE_ROWS / max(1, stats.count()))
+    drawn = stats.where("n_words > 0").select("x", F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 40)).alias("h"))
+    sample = drawn.where(F.col("h") < int(share * (1 << 40))).orderBy("h").limit(TREES * TREE_ROWS).collect()
     forest = Forest(np.array([r[0] for r in sample], np.float64).reshape(len(sample), len(SPLIT_ON)))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
