@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from tidemark import catalog
 
 
+#: Bits of ``portable_hash``; a double holds them exactly.
+HASH_BITS = 52
+INT32 = (-(2.0 ** 31), 2.0 ** 31 - 1)
+
+
 def stable_round(x: Column, digits: int) -> Column:
     """Half-up rounding as ``floor(x * 10^d + 0.5) / 10^d`` in plain IEEE arithmetic.
 
@@ -44,7 +49,13 @@ def to_number(x: Column) -> Column:
     """Numeric coercion: anything that is not a finite number becomes NULL."""
     text = F.trim(x.cast("string"))
     number = text.try_cast("double")
-    return F.when(~F.isnan(number) & ~text.rlike("[dDfF]$"), number)
+    finite = ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
+    return F.when(finite & ~text.rlike("[dDfF]$"), number)
+
+
+def to_int(number: Column) -> Column:
+    """A double cut to a whole number; NULL beyond 32 bits, never an error."""
+    return F.when(number.between(*INT32), number).try_cast("int")
 
 
 def coerce_numeric(x: Column, default: float | None) -> Column:
@@ -73,7 +84,7 @@ def map_target_values(x: Column, vocabulary: str = "ingest", unmapped: str = "ze
 def parse_binary(x: Column, default: int = 0) -> Column:
     """Flag words, else the truncated number, else the default."""
     text = F.lower(F.trim(x.cast("string")))
-    return F.coalesce(lookup(text, catalog.FLAG_WORDS), to_number(x).cast("int"), F.lit(int(default)))
+    return F.coalesce(lookup(text, catalog.FLAG_WORDS), to_int(to_number(x)), F.lit(int(default)))
 
 
 def cast_training_flag(x: Column) -> Column:
@@ -98,7 +109,7 @@ def similarity_pct(distance: Column) -> Column:
 
 def level_from_text(x: Column) -> Column:
     """Confidence level in percent; anything but a calibrated level means 85."""
-    pct = F.rint(to_number(x) * 100).cast("int")
+    pct = to_int(F.rint(to_number(x) * 100))
     return F.when(pct.isin(*catalog.LEVELS_PCT), pct).otherwise(F.lit(catalog.DEFAULT_LEVEL_PCT))
 
 
@@ -155,14 +166,18 @@ def route_by_filename(name: Column) -> Column:
 
 
 def portable_hash(key: Column) -> Column:
-    """Multiplicative 32-bit hash of an integer key, identical in every engine."""
-    return (key.cast("bigint") * F.lit(2654435761)) % F.lit(4294967296)
+    """A number below ``2 ** HASH_BITS`` from the text of any key, identical in every engine.
+
+    Keys of any type and size qualify, text and negative ones too; a null key counts as empty text.
+    """
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def risk_drivers(industry: Column, c: Mapping[str, Column]) -> Column:
     """Plain-language risk drivers of a record, as an array of strings."""
     def text(x: Column) -> Column:
-        return x.cast("int").cast("string")
+        return to_int(x.cast("double")).cast("string")
 
     rules = [
         F.when(c["contract_type"] == "month_to_month",
@@ -193,7 +208,7 @@ def risk_drivers(industry: Column, c: Mapping[str, Column]) -> Column:
 def evidence_detail(industry: Column, c: Mapping[str, Column]) -> Column:
     """One line about a neighbour, per industry."""
     def whole(x: Column) -> Column:
-        return x.cast("int").cast("string")
+        return to_int(x.cast("double")).cast("string")
 
     forms = {
         "telecom": ("Plan: ", c["plan_type"], " | Data: ", c["data_usage_gb_30d"].cast("string"), " GB"),

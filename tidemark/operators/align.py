@@ -86,7 +86,7 @@ def validate(df: DataFrame, industry: str) -> DataFrame:
         else:
             casts[f] = S.to_number(F.col(f)) if kind == "double" else F.col(f).cast("string")
     if "churned" in out.columns:
-        casts["churned"] = S.to_number(F.col("churned")).cast("int")
+        casts["churned"] = S.to_int(S.to_number(F.col("churned")))
     return out.withColumns(casts)
 
 
@@ -129,8 +129,9 @@ def clean_value(feature: str, x: Column) -> Column:
         return F.coalesce(S.blank_to_null(x.cast("string")), F.lit(default))
     if cast == "flag":
         return S.parse_binary(x, default)
-    number = S.coerce_numeric(x, default)
-    return number.cast("int") if cast == "int" else number
+    if cast == "int":
+        return F.coalesce(S.to_int(S.to_number(x)), F.lit(int(default)))
+    return S.coerce_numeric(x, default)
 
 
 def clean_features(df: DataFrame, industry: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -77,10 +77,13 @@ class FeatureBridge:
             label = S.map_target_values(F.col(f"`{target}`").cast("string"))
             skip = {target, *keep, *align.id_like_names(headers)}
             usable = [c for c in align.numeric_names(df) if c not in skip]
-            labelled = df.select(*keep, label.alias("churned"), *usable)
-            if align.proxy_gate(labelled.drop(*keep), "churned", overlap).first().train_proxy:
-                scored, auc = self.proxy(labelled, "churned", usable, keep)
-                bridged, proxy_column = bridged.join(scored, list(keep)), "proxy_probability"
+            # an upload without a row key of its own gets one, so that proxy scores find their rows
+            own_key = list(keep) or ([] if "customer_id" not in mapped_df.columns else ["customer_id"])
+            named = {f: h for h, f in mapping.items()}
+            labelled = df.select(*[F.col(f"`{named.get(k, k)}`").alias(k) for k in own_key], label.alias("churned"), *usable)
+            if own_key and align.proxy_gate(labelled.drop(*own_key), "churned", overlap).first().train_proxy:
+                scored, auc = self.proxy(labelled, "churned", usable, own_key)
+                bridged, proxy_column = bridged.join(scored, own_key), "proxy_probability"
         extra = [c for c in (*keep, "churned", "customer_id", proxy_column) if c and c in bridged.columns]
         aligned = bridged.select(*extra, *[F.col(c) for c in schema])
         report = self._report(spark, industry, overlap, mapping, mapped, missing, sources, auc)

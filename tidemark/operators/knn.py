@@ -34,7 +34,11 @@ def vectors(df: DataFrame, key: str, features: Sequence[str], by: str | None, la
     """(grp, id, vec) from scaled feature columns."""
     grp = F.col(by).cast("string") if by else F.lit("")
     vec = F.array(*[F.col(c).cast("double") for c in features])
-    return df.select(grp.alias("grp"), F.col(key).cast("bigint").alias(label), vec.alias("vec"))
+    return df.select(grp.alias("grp"), F.col(key).alias(label), vec.alias("vec"))
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def _stack(vec: pd.Series) -> np.ndarray:
@@ -74,7 +78,7 @@ def nearest(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray, k: i
         row, col = row[keep], col[keep]
         out.append((qid[lo:lo + step][row], rid[col], d[row, col]))
     if not out:
-        return np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([])
+        return qid[:0], rid[:0], np.array([])
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -83,7 +87,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int = catalog.NEIGHBOURS, e
     """(grp, qid, rid, dist, rank) from ``(grp, qid, vec)`` and ``(grp, rid, vec)``."""
     size = refs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     if size.n == 0:
-        return queries.limit(0).select("grp", "qid", F.lit(0).cast("bigint").alias("rid"),
+        return queries.limit(0).select("grp", "qid", F.lit(None).cast(_kind(refs, "rid")).alias("rid"),
                                        F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
     if size.n * size.d <= broadcast_values:
         return _broadcast_join(queries, refs, k, exclude_self)
@@ -108,7 +112,7 @@ def _broadcast_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: b
                                     "rank": (np.arange(len(qid)) - starts + 1).astype(np.int32)})
 
     return queries.select("grp", "qid", "vec").mapInPandas(
-        rank, "grp string, qid bigint, rid bigint, dist double, rank int")
+        rank, f"grp string, qid {_kind(queries, 'qid')}, rid {_kind(refs, 'rid')}, dist double, rank int")
 
 
 def _tiled_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool, n: int, dims: int,
@@ -117,7 +121,9 @@ def _tiled_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool,
     wanted = int(min(2_048, max(16, np.sqrt(n)), max(16, broadcast_values // dims)))
     share = min(1.0, wanted / n)
     token = F.pmod(F.xxhash64("grp", "rid"), F.lit(2 ** 31)) / F.lit(float(2 ** 31))
-    picked = refs.where(token < share).orderBy("grp", "rid").limit(4 * wanted).toPandas()
+    first = Window.partitionBy("grp").orderBy("__t", "rid")
+    picked = refs.withColumn("__t", token).where(F.col("__t") < share).withColumn("__r", F.row_number().over(first)).where(
+        F.col("__r") <= wanted).select("grp", "vec").toPandas()
     pivots = {g: _stack(p.vec) for g, p in picked.groupby("grp")}
     shared = spark.sparkContext.broadcast(pivots)
     need = k + int(exclude_self)
@@ -134,7 +140,7 @@ def _tiled_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool,
 
     placed = materialize(
         refs.select("grp", "rid", "vec").mapInPandas(
-            assign, "grp string, rid bigint, vec array<double>, cell int, reach double"), "knn-refs")
+            assign, f"grp string, rid {_kind(refs, 'rid')}, vec array<double>, cell int, reach double"), "knn-refs")
     # One row per pivot at most: bounded by the number of pivots and groups.
     cells = placed.groupBy("grp", "cell").agg(F.max("reach").alias("radius"), F.count(F.lit(1)).alias("n")).toPandas()
     radius = {}
@@ -163,7 +169,7 @@ def _tiled_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool,
 
     routed = materialize(
         queries.select("grp", "qid", "vec").mapInPandas(
-            route, "grp string, qid bigint, vec array<double>, cell int"), "knn-queries")
+            route, f"grp string, qid {_kind(queries, 'qid')}, vec array<double>, cell int"), "knn-queries")
     visits = routed.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("v"))
     plan = placed.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")).join(visits, ["grp", "cell"]).select(
         "grp", "cell", F.ceil(F.col("n") / tile_rows).cast("int").alias("r_parts"),
@@ -190,11 +196,99 @@ def _tiled_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool,
 
     keys = ["grp", "cell", "rp", "qp"]
     found = q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(
-        match, "grp string, qid bigint, rid bigint, dist double")
+        match, f"grp string, qid {_kind(queries, 'qid')}, rid {_kind(refs, 'rid')}, dist double")
     w = Window.partitionBy("grp", "qid").orderBy("dist", "rid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+# ---------------------------------------------------------------------------
+# Approximate join: bucketed random projections with exact re-ranking
+# ---------------------------------------------------------------------------
+LSH_TABLES, LSH_PROJECTIONS, LSH_WIDTH = 16, 3, 4.0
+
+
+def _buckets(df: DataFrame, key: str, dims: int, width: float, tables: int, projections: int, seed: int = 17) -> DataFrame:
+    """(grp, key, vec, cell): a row per hash table, the cell naming table and bucket."""
+    rng = np.random.default_rng(seed)
+    lines = rng.normal(size=(tables, projections, dims))
+    shifts = rng.uniform(0, width, size=(tables, projections))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for piece in _pieces(batch, tables * dims):
+                x = _stack(piece.vec)
+                for t in range(tables):
+                    at = np.floor((x @ lines[t].T + shifts[t]) / width).astype(np.int64)
+                    yield piece.assign(cell=[f"{t}:" + ":".join(map(str, row)) for row in at.tolist()])
+
+    return df.select("grp", key, "vec").mapInPandas(run, f"grp string, {key} {_kind(df, key)}, vec array<double>, cell string")
+
+
+def _lsh_sides(queries, refs, width, tables, projections, tile_rows):
+    size = refs.agg(F.max(F.size("vec")).alias("d")).first()
+    dims = int(size.d or 1)
+    q = materialize(_buckets(queries, "qid", dims, width, tables, projections), "lsh-queries")
+    r = materialize(_buckets(refs, "rid", dims, width, tables, projections), "lsh-refs")
+    plan = r.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")).join(
+        q.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("v")), ["grp", "cell"])
+    return q, r, materialize(plan, "lsh-plan")
+
+
+def knn_join_lsh(queries: DataFrame, refs: DataFrame, k: int = catalog.NEIGHBOURS, exclude_self: bool = False,
+                 width: float = LSH_WIDTH, tables: int = LSH_TABLES, projections: int = LSH_PROJECTIONS,
+                 tile_rows: int = TILE_ROWS, sides=None) -> DataFrame:
+    """(grp, qid, rid, dist, rank), approximate: neighbours that share a bucket of any table, exactly ranked.
+
+    ``width`` is in units of the (scaled) vectors.  Buckets of any size are cut into tiles of
+    ``tile_rows`` on both sides, and a tile emits at most ``k`` rows per query, never its pairs.  A query
+    that shares no bucket with a reference has no rows.
+    """
+    q, r, plan = sides or _lsh_sides(queries, refs, width, tables, projections, tile_rows)
+    plan = plan.select("grp", "cell", F.ceil(F.col("n") / tile_rows).cast("int").alias("r_parts"),
+                       F.ceil(F.col("v") / tile_rows).cast("int").alias("q_parts"))
+
+    def tiles(df: DataFrame, own: str, own_parts: str, other: str, other_parts: str, key: str) -> DataFrame:
+        return df.join(plan, ["grp", "cell"]).select(
+            "grp", "cell", key, "vec", F.pmod(F.xxhash64(key), F.col(own_parts)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1)).alias(other))
+
+    # buckets are grouped into fewer, larger groups of rows, so that a group is worth a call
+    spread = F.pmod(F.xxhash64("grp", "cell", "rp", "qp"), F.lit(256)).cast("int")
+    q_side = tiles(q, "qp", "q_parts", "rp", "r_parts", "qid").withColumn("pack", spread)
+    r_side = tiles(r, "rp", "r_parts", "qp", "q_parts", "rid").withColumn("pack", spread)
+
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["grp", "cell", "rp", "qp"]
+        own = dict(tuple(right.groupby(names))) if len(right) else {}
+        found = []
+        for key, part in (left.groupby(names) if len(left) else ()):
+            if key in own:
+                other = own[key].sort_values("rid")
+                qid, rid, dist = nearest(part.qid.to_numpy(), _stack(part.vec), other.rid.to_numpy(), _stack(other.vec), k, exclude_self)
+                found.append(pd.DataFrame({"grp": key[0], "qid": qid, "rid": rid, "dist": dist}))
+        return pd.concat(found) if found else pd.DataFrame({"grp": [], "qid": [], "rid": [], "dist": []})
+
+    hits = q_side.groupBy("pack").cogroup(r_side.groupBy("pack")).applyInPandas(
+        match, f"grp string, qid {_kind(q, 'qid')}, rid {_kind(r, 'rid')}, dist double").distinct()
+    w = Window.partitionBy("grp", "qid").orderBy("dist", "rid")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def lsh_recall(queries: DataFrame, refs: DataFrame, k: int = catalog.NEIGHBOURS, exclude_self: bool = False, **how) -> DataFrame:
+    """(grp, queries, recall, compared, all_pairs): the hashed join measured against the exact one."""
+    settings = {"width": LSH_WIDTH, "tables": LSH_TABLES, "projections": LSH_PROJECTIONS, "tile_rows": TILE_ROWS} | how
+    sides = _lsh_sides(queries, refs, **settings)
+    exact = materialize(knn_join(queries, refs, k, exclude_self), "knn-exact")
+    found = knn_join_lsh(queries, refs, k, exclude_self, sides=sides, **settings).select("grp", "qid", "rid", F.lit(1).alias("hit"))
+    recall = exact.join(found, ["grp", "qid", "rid"], "left").groupBy("grp").agg(
+        (F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
+    pairs = sides[2].groupBy("grp").agg(F.sum(F.col("n") * F.col("v")).alias("compared"))
+    n = queries.groupBy("grp").agg(F.count(F.lit(1)).alias("queries")).join(
+        refs.groupBy("grp").agg(F.count(F.lit(1)).alias("refs")), "grp")
+    return n.join(recall, "grp").join(pairs, "grp", "left").select(
+        "grp", "queries", "recall", F.coalesce("compared", F.lit(0)).alias("compared"), (F.col("queries") * F.col("refs")).alias("all_pairs"))
+
+
 def summarise(neighbours: DataFrame, payload: DataFrame, evidence: Sequence[Column]) -> DataFrame:
     """(grp, qid, p_retrieval, avg_similarity, sources) per query.
 

@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import to_number
 from tidemark.operators import metrics
 from tidemark.operators.preprocess import Preprocessor
 from tidemark.operators.splitting import kfold, stratified_split
@@ -38,6 +39,14 @@ def _named(classifier, name: str):
             .setProbabilityCol(f"__prob_{name}").setRawPredictionCol(f"__raw_{name}"))
 
 
+def bins_for(df: DataFrame, categorical: Sequence[str]) -> int:
+    """Bins that native categories of the rows need: the largest number of levels, unseen ones and a margin."""
+    if not categorical:
+        return 0
+    row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in categorical]).first()
+    return int(max(row) * 1.1) + 3
+
+
 def learner(name: str, numeric: Sequence[str], categorical: Sequence[str], label: str, p: dict) -> Pipeline:
     """One base learner on preprocessed columns.
 
@@ -65,9 +74,9 @@ def learner(name: str, numeric: Sequence[str], categorical: Sequence[str], label
     depth = max(2, p["maxDepth"] - 1) if name == "encoded" else p["maxDepth"]
     common = dict(labelCol=label, maxDepth=depth, subsamplingRate=p["subsamplingRate"], seed=SEED)
     if name == "rf":
-        trees = RandomForestClassifier(numTrees=p["numTrees"], maxBins=256, **common)
+        trees = RandomForestClassifier(numTrees=p["numTrees"], maxBins=max(256, p.get("maxBins", 0)), **common)
     else:
-        trees = GBTClassifier(maxIter=p["maxIter"], stepSize=p["stepSize"], maxBins=64, **common)
+        trees = GBTClassifier(maxIter=p["maxIter"], stepSize=p["stepSize"], maxBins=max(64, p.get("maxBins", 0)), **common)
     stages.append(_named(trees, name))
     return Pipeline(stages=stages)
 
@@ -141,7 +150,7 @@ def fit_stack(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
 
     The preprocessed rows are written once, then read by every fit.
     """
-    p = {**REFIT, **(params or {})}
+    p = {"maxBins": bins_for(df, categorical), **REFIT, **(params or {})}
     num, cat = list(numeric), list(categorical)
     rows = df.select(key, F.col(label).cast("double").alias(label), *num, *cat)
     pre = Preprocessor(numericCols=num, categoricalCols=cat).fit(rows)
@@ -217,20 +226,25 @@ def tune_cv(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], k
 
 
 def train_proxy(df: DataFrame, label: str, columns: Sequence[str], keep: Sequence[str],
-                iterations: int = 50) -> tuple[DataFrame, float]:
+                iterations: int = 50, also: DataFrame | None = None) -> tuple[DataFrame, float]:
     """Small boosted trees on the upload's own numeric columns.
 
-    Returns ``(*keep, proxy_probability)`` for all rows and the hold-out AUC.
+    Returns ``(*keep, proxy_probability)`` for all rows (of ``also``, if given) and the hold-out AUC.
     """
     key = keep[0]
-    filled = df.select(*keep, F.col(label).cast("double").alias(label),
-                       *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    def filled_of(rows: DataFrame) -> DataFrame:
+        return rows.select(*keep, F.col(label).cast("double").alias(label),
+                           *[F.coalesce(to_number(F.col(c)), F.lit(0.0)).alias(c) for c in columns])
+
+    filled = filled_of(df)
     parts = materialize(stratified_split(filled, key, label, 20), "proxy-rows")
     vec = VectorAssembler(inputCols=list(columns), outputCol="__vec_proxy")
     gbt = _named(GBTClassifier(labelCol=label, maxIter=iterations, maxDepth=3, stepSize=0.1, seed=SEED), "proxy")
     model = Pipeline(stages=[vec, gbt]).fit(parts.where("part = 'train'"))
     scored = add_probability(model, parts, "proxy")
     auc = auc_of(scored.where("part = 'test'"), "p_proxy", label)
+    if also is not None:
+        scored = add_probability(model, filled_of(also), "proxy")
     return scored.select(*keep, F.col("p_proxy").alias("proxy_probability")), auc
 
 

@@ -28,8 +28,8 @@ def scaling_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str], **kw
     by = list(by)
     med = medians(df, columns, by, **kw).select(*by, "column", "median")
     moments = df.groupBy(*by).agg(F.expr("array(" + ", ".join(
-        f"struct('{c}' AS column, CAST(count(1) AS DOUBLE) AS n, CAST(count(`{c}`) AS DOUBLE) AS n1, "
-        f"coalesce(avg(CAST(`{c}` AS DOUBLE)), 0D) AS m1, coalesce(var_pop(CAST(`{c}` AS DOUBLE)), 0D) AS v1)"
+        f"struct('{c}' AS column, CAST(count(1) AS DOUBLE) AS n, CAST(count(TRY_CAST(`{c}` AS DOUBLE)) AS DOUBLE) AS n1, "
+        f"coalesce(avg(TRY_CAST(`{c}` AS DOUBLE)), 0D) AS m1, coalesce(var_pop(TRY_CAST(`{c}` AS DOUBLE)), 0D) AS v1)"
         for c in columns) + ")").alias("cols")).select(*by, F.inline("cols"))
     joined = moments.join(med, [*by, "column"], "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
     n0 = F.col("n") - F.col("n1")
@@ -62,7 +62,7 @@ def standard_scale(df: DataFrame, stats: DataFrame, columns: Sequence[str], by:
     ])
     joined = df.join(F.broadcast(wide), list(by))
     return joined.withColumns({
-        c: F.expr(f"(coalesce(CAST(`{c}` AS DOUBLE), `__{c}`.median) - `__{c}`.mean) / `__{c}`.sd") for c in columns
+        c: F.expr(f"(coalesce(TRY_CAST(`{c}` AS DOUBLE), `__{c}`.median) - `__{c}`.mean) / `__{c}`.sd") for c in columns
     }).drop(*[f"__{c}" for c in columns])
 
 
@@ -75,7 +75,7 @@ def impute_median_mode(df: DataFrame, numeric: Sequence[str], categorical: Seque
     tops = widen(modes(source, categorical, by), by, categorical, "mode")
     joined = df.join(F.broadcast(fill), by, "left").join(F.broadcast(tops), by, "left")
     return joined.withColumns({
-        **{c: F.coalesce(F.col(c).cast("double"), F.col(f"__median_{c}"), F.lit(0.0)) for c in numeric},
+        **{c: F.coalesce(to_number(F.col(c)), F.col(f"__median_{c}"), F.lit(0.0)) for c in numeric},
         **{c: F.coalesce(F.col(c), F.col(f"__mode_{c}")) for c in categorical},
     }).drop(*[f"__median_{c}" for c in numeric], *[f"__mode_{c}" for c in categorical])
 
@@ -142,7 +142,7 @@ class Preprocessor(Estimator, _ColumnParams, DefaultParamsReadable, DefaultParam
 
     def _fit(self, dataset: DataFrame) -> PreprocessorModel:
         num, cat = self.getOrDefault(self.numericCols), self.getOrDefault(self.categoricalCols)
-        df = dataset.withColumn("__all", F.lit(1))
+        df = TypeCaster(numericCols=num, categoricalCols=cat).transform(dataset).withColumn("__all", F.lit(1))
         stats = {}
         if num:
             stats = {r["column"]: [r["median"], r["mean"], r["sd"]]
@@ -164,10 +164,12 @@ class PreprocessorModel(Model, _ColumnParams, DefaultParamsReadable, DefaultPara
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         state = json.loads(self.getOrDefault(self.state))
+        dataset = TypeCaster(numericCols=self.getOrDefault(self.numericCols),
+                             categoricalCols=self.getOrDefault(self.categoricalCols)).transform(dataset)
         cols: dict[str, Column] = {}
         for c in self.getOrDefault(self.numericCols):
             median, mean, sd = state["num"].get(c, [0.0, 0.0, 1.0])
-            cols[c] = (F.coalesce(F.col(c).cast("double"), F.lit(median)) - F.lit(mean)) / F.lit(sd)
+            cols[c] = (F.coalesce(F.col(c), F.lit(median)) - F.lit(mean)) / F.lit(sd)
         for c in self.getOrDefault(self.categoricalCols):
-            cols[c] = F.coalesce(F.col(c).cast("string"), F.lit(state["cat"].get(c, "missing")))
+            cols[c] = F.coalesce(F.col(c), F.lit(state["cat"].get(c, "missing")))
         return dataset.withColumns(cols)

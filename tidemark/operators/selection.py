@@ -35,7 +35,7 @@ def order_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str], t
     """
     by = list(by)
     delta = 2.0 / accuracy
-    numeric = df.selectExpr(*by, *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns])
+    numeric = df.selectExpr(*by, *[f"TRY_CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns])
     marks = sorted({max(0.0, f - delta) for f, _ in targets.values()}
                    | {min(1.0, f + delta) for f, _ in targets.values()})
     sketched = numeric.groupBy(*by).agg(F.expr("array(" + ", ".join(

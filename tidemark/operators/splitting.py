@@ -17,8 +17,8 @@ from tidemark.operators.selection import order_statistics
 
 
 def hash_order(key: Column) -> Column:
-    """Hash in the high digits, high key bits below: unique and exact in a double."""
-    return (portable_hash(key) * F.lit(1048576) + F.floor(key / F.lit(4294967296))).cast("double")
+    """The key hash as a double, which holds it exactly; keys of one hash fall into one part."""
+    return portable_hash(key).cast("double")
 
 
 def stratified_parts(df: DataFrame, key: str, label: str, cuts: Sequence[tuple[str, int, int]],

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 PENALIZER = 0.1
 
 
@@ -62,6 +64,39 @@ def _square(upper: Sequence[float], p: int) -> np.ndarray:
     return m + np.triu(m, 1).T
 
 
+#: The last events of one time, whose terms are added one by one; the others by the midpoint rule.
+TIED_EVENTS = 4096
+
+
+def tied(d: int, r0: float, e0: float) -> dict[str, float]:
+    """Sums over ``f = 0, 1/d, .. (d-1)/d`` of log s, 1/s, f/s, 1/s^2, f/s^2 and f^2/s^2, ``s = r0 - f e0``.
+
+    The cost does not depend on the number of events: beyond ``TIED_EVENTS`` a sum is the integral from
+    half a step before to half a step after with the first correction term, but for the last
+    terms, where s may be small.
+    """
+    near = min(d, TIED_EVENTS)
+    s = r0 - np.arange(d - near, d) / d * e0
+    log_sum, inv, inv2 = float(np.log(s).sum()), float((1 / s).sum()), float((1 / s ** 2).sum())
+    if d > near and e0 > 0:
+        step = e0 / d
+        a, b = r0 + step / 2, r0 - (d - near - 0.5) * step  # s at both ends, half a step out
+
+        def rule(integral: float, slope) -> float:
+            return integral / step - step / 24 * (slope(a) - slope(b))
+
+        log_sum += rule(a * math.log(a) - a - b * math.log(b) + b, lambda s: 1 / s)
+        inv += rule(math.log(a / b), lambda s: -1 / s ** 2)
+        inv2 += rule(1 / b - 1 / a, lambda s: -2 / s ** 3)
+    if e0 <= 0:
+        log_sum, inv, inv2 = d * math.log(r0), d / r0, d / r0 ** 2
+        f = (d - 1) / 2
+        return {"log": log_sum, "inv": inv, "f_inv": f / r0, "inv2": inv2, "f_inv2": f / r0 ** 2,
+                "ff_inv2": (d - 1) * (2 * d - 1) / (6 * d) / r0 ** 2}
+    return {"log": log_sum, "inv": inv, "f_inv": (r0 * inv - d) / e0, "inv2": inv2,
+            "f_inv2": (r0 * inv2 - inv) / e0, "ff_inv2": (r0 * r0 * inv2 - 2 * r0 * inv + d) / e0 ** 2}
+
+
 def efron(rows: Sequence, p: int) -> tuple[float, np.ndarray, np.ndarray]:
     """Log partial likelihood, gradient and Hessian from grouped sums, latest duration first."""
     r0, r1, r2 = 0.0, np.zeros(p), np.zeros((p, p))
@@ -74,17 +109,21 @@ def efron(rows: Sequence, p: int) -> tuple[float, np.ndarray, np.ndarray]:
         ll += r.xb
         grad += np.asarray(r.x1)
         e1, e2 = np.asarray(r.e1), _square(r.e2, p)
-        for f in np.arange(d) / d:
-            s0, s1, s2 = r0 - f * r.e0, r1 - f * e1, r2 - f * e2
-            ll -= math.log(s0)
-            grad -= s1 / s0
-            hess -= s2 / s0 - np.outer(s1, s1) / (s0 * s0)
+        t = tied(d, r0, r.e0)
+        cross = np.outer(r1, e1)
+        ll -= t["log"]
+        grad -= t["inv"] * r1 - t["f_inv"] * e1
+        hess -= t["inv"] * r2 - t["f_inv"] * e2
+        hess += t["inv2"] * np.outer(r1, r1) - t["f_inv2"] * (cross + cross.T) + t["ff_inv2"] * np.outer(e1, e1)
     return ll, grad, hess
 
 
 def cox_fit(df: DataFrame, by: str, covariates: Sequence[str], duration: str = "tenure_months",
-            event: str = "churned", penalizer: float = PENALIZER, steps: int = 30, tolerance: float = 1e-7) -> DataFrame:
-    """(by, covariate, coef, hazard_ratio, se, p) for every group.
+            event: str = "churned", penalizer: float = PENALIZER, steps: int = 100, tolerance: float = 1e-7) -> DataFrame:
+    """(by, covariate, coef, hazard_ratio, se, p, score, converged) for every group.
+
+    ``score`` is the penalised score at the solution, per subject; a step that lowers the penalised
+    likelihood is halved; a group that has not settled after ``steps`` says so in ``converged``.
 
     Efron ties; ridge penalty ``n * penalizer / 2 * |b|^2`` on standardised covariates;
     covariates without variance in a group are left out of it.
@@ -107,24 +146,37 @@ def cox_fit(df: DataFrame, by: str, covariates: Sequence[str], duration: str = "
     scaled = complete.withColumns({
         c: F.coalesce((F.col(c) - per_group("mean", i, 0.0)) / per_group("sd", i, 1.0), F.lit(0.0))
         for i, c in enumerate(covariates)})
+    scaled = materialize(scaled, "cox-rows")  # read once per step
     active = {g: [i for i in range(p) if r.sd[i] >= 1e-12] for g, r in stats.items()}
     betas = {g: np.zeros(p) for g in stats}
+    last: dict[str, float] = {}
+    moved: dict[str, np.ndarray] = {}
     curvature: dict[str, np.ndarray] = {}
+    score: dict[str, np.ndarray] = {}
+    settled: set[str] = set()
     open_groups = set(stats)
     for _ in range(steps):
         sums = _sums(scaled.where(F.col(by).isin(*open_groups)), by, covariates, {g: betas[g] for g in open_groups})
         for g in sorted(open_groups):
             ix = active[g]
-            _, grad, hess = efron(sums[g], p)
+            ll, grad, hess = efron(sums[g], p)
             weight = stats[g].n * penalizer
+            ll -= weight / 2 * float(betas[g] @ betas[g])
+            if g in last and ll < last[g] - 1e-9 * abs(last[g]) and np.abs(moved[g]).max(initial=0.0) > tolerance:
+                moved[g] = moved[g] / 2  # too far: back by half
+                betas[g][ix] -= moved[g]
+                continue
+            last[g] = ll
             grad = (grad - weight * betas[g])[ix]
             hess = hess[np.ix_(ix, ix)] - weight * np.eye(len(ix))
-            curvature[g] = hess
+            curvature[g], score[g] = hess, grad / max(1, stats[g].n)
             step = np.linalg.solve(-hess, grad)
-            step *= min(1.0, 2.0 / max(1e-12, float(np.abs(step).max(initial=0.0))))
-            betas[g][ix] += step
             if float(np.linalg.norm(step)) < tolerance:
+                settled.add(g)
                 open_groups.discard(g)
+                continue
+            moved[g] = step * min(1.0, 2.0 / max(1e-12, float(np.abs(step).max(initial=0.0))))
+            betas[g][ix] += moved[g]
         if not open_groups:
             break
     out = []
@@ -133,8 +185,10 @@ def cox_fit(df: DataFrame, by: str, covariates: Sequence[str], duration: str = "
         for pos, i in enumerate(active[g]):
             coef, err = betas[g][i] / r.sd[i], se[pos] / r.sd[i]
             z = abs(coef / err)
-            out.append((g, covariates[i], float(coef), float(math.exp(coef)), float(err), math.erfc(z / math.sqrt(2.0))))
-    return spark.createDataFrame(out, f"{by} string, covariate string, coef double, hazard_ratio double, se double, p double")
+            out.append((g, covariates[i], float(coef), float(math.exp(coef)), float(err), math.erfc(z / math.sqrt(2.0)),
+                        float(score[g][pos]), g in settled))
+    return spark.createDataFrame(out, f"{by} string, covariate string, coef double, hazard_ratio double, se double, "
+                                      "p double, score double, converged boolean")
 
 
 def top_hazards(hazards: DataFrame, by: str, n: int = 5) -> DataFrame:

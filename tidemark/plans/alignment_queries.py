@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions import scalars as S
 from tidemark.operators import align as A
 from tidemark.operators import matcher as MT
+from tidemark.operators.preprocess import TypeCaster
 from tidemark.operators.selection import ordinal
 from tidemark.plans import common, header_queries  # noqa: F401
 from tidemark.plans.registry import define_cte, query, rnd
@@ -25,14 +28,14 @@ def _arr(words) -> str:
 define_cte("dirty", f"""
 SELECT c_custkey AS id,
   CASE c_custkey % 10 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || CAST(c_acctbal AS VARCHAR) || ' ' WHEN 2 THEN 'x' || CAST(c_acctbal AS VARCHAR)
-    WHEN 3 THEN NULL ELSE CAST(c_acctbal AS VARCHAR) END AS num,
+    WHEN 3 THEN NULL ELSE CASE c_custkey % 50 WHEN 4 THEN 'Infinity' WHEN 5 THEN '3000000000' ELSE CAST(c_acctbal AS VARCHAR) END END AS num,
   {_arr(U.FLAG_SPELLINGS)}[c_custkey % {len(U.FLAG_SPELLINGS)} + 1] AS flag,
   CASE c_custkey % 6 WHEN 0 THEN CAST(1990 + c_custkey % 35 AS VARCHAR) || '-' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0')
     WHEN 1 THEN CAST(1990 + c_custkey % 35 AS VARCHAR) WHEN 2 THEN CAST(1990 + c_custkey % 35 AS VARCHAR) || '.0' WHEN 3 THEN 'abc' WHEN 4 THEN NULL ELSE '5' END AS joined,
   {_arr(U.LABEL_SPELLINGS)}[c_custkey % {len(U.LABEL_SPELLINGS)} + 1] AS label
 FROM customer""")
 
-NUM = "try_cast(trim(num) AS DOUBLE)"
+NUM = "CASE WHEN isfinite(try_cast(trim(num) AS DOUBLE)) THEN try_cast(trim(num) AS DOUBLE) END"
 FLAG = "coalesce(CASE WHEN lower(trim(flag)) IN ('yes','true','1','onboarded','enabled') THEN 1 WHEN lower(trim(flag)) IN ('no','false','0','disabled') THEN 0 END, CAST(trunc(try_cast(trim(flag) AS DOUBLE)) AS INTEGER), {d})"
 YEAR = """CAST(CASE WHEN try_cast(trim(joined) AS DOUBLE) BETWEEN 1900 AND 2100 THEN trunc(try_cast(trim(joined) AS DOUBLE))
   WHEN try_cast(trim(joined) AS DOUBLE) IS NULL THEN coalesce(year(try_cast(trim(joined) AS DATE)), 2024) ELSE 2024 END AS INTEGER)"""
@@ -71,9 +74,16 @@ def sample_head(spark, base):
     return TB.sample_head(TB.table(spark, base, "customer"), ["c_custkey"], 10)
 
 
-@query("file_catalog")
+ALL_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+              "conversations").split()
+
+
+@query("file_catalog", sql=" UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", 'Train Set (Reference)' AS kind, count(*) AS \"rows\", true AS sized FROM {t}" for t in ALL_TABLES))
 def file_catalog(spark, base):
-    return TB.file_catalog(spark, f"{base}/orders.parquet", "Train Set (Reference)")
+    found = reduce(DataFrame.unionByName, [
+        TB.file_catalog(spark, f"{base}/{t}.parquet", "Train Set (Reference)").withColumn("table", F.lit(t)) for t in ALL_TABLES])
+    return found.groupBy("table", "kind").agg(F.sum("rows").alias("rows"), F.bool_and(F.col("size_kb") > 0).alias("sized"))
 
 
 # --- scalar functions over untidy values ------------------------------------
@@ -201,9 +211,9 @@ def _untidy_banking(spark, base):
 
 @query("validate_coerce", ctes=("dirty",), sql=f"""
 SELECT avg_balance_usd, age, region, churned FROM (
-  SELECT num AS avg_balance_usd, CAST(NULL AS DOUBLE) AS age, CAST(NULL AS VARCHAR) AS region, CAST(id % 3 AS INTEGER) AS churned FROM dirty)""")
+  SELECT {NUM} AS avg_balance_usd, CAST(NULL AS DOUBLE) AS age, CAST(NULL AS VARCHAR) AS region, CAST(id % 3 AS INTEGER) AS churned FROM dirty)""")
 def validate_coerce(spark, base):
-    out = A.validate(_untidy_banking(spark, base), "banking")
+    out = TypeCaster(numericCols=["avg_balance_usd"]).transform(A.validate(_untidy_banking(spark, base), "banking"))
     return out.select("avg_balance_usd", "age", "region", "churned")
 
 
@@ -228,7 +238,7 @@ def idlike_columns(spark, base):
 
 @query("clean_features", ctes=("dirty",), sql=f"""
 SELECT id, {YEAR} AS signup_year, 'West' AS region, coalesce({NUM}, 5000.0::DOUBLE) AS avg_balance_usd, CAST({FLAG.format(d=0)} AS INTEGER) AS autopay_enabled,
-  CAST(trunc(coalesce({NUM}, 2)) AS INTEGER) AS products_count, coalesce(nullif(trim(label), ''), 'checking') AS account_type, 40 AS age FROM dirty""")
+  coalesce(try_cast(trunc({NUM}) AS INTEGER), 2) AS products_count, coalesce(nullif(trim(label), ''), 'checking') AS account_type, 40 AS age FROM dirty""")
 def clean_features(spark, base):
     upload = U.untidy_customers(spark, base).select(
         "id", F.col("joined").alias("signup_year"), F.col("num").alias("avg_balance_usd"),

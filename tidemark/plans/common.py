@@ -7,7 +7,14 @@ from tidemark.plans.registry import define_cte, rnd
 
 T0 = "DATE '2001-02-01'"
 INDUSTRY_LIST = "[" + ", ".join(f"'{i}'" for i in catalog.INDUSTRIES) + "]"
-KEY_HASH = "((c_custkey * 2654435761) % 4294967296)"
+
+
+def key_hash(key: str) -> str:
+    """SQL twin of ``portable_hash``."""
+    return f"CAST('0x' || substr(md5(coalesce(CAST({key} AS VARCHAR), '')), 1, 13) AS BIGINT)"
+
+
+KEY_HASH = key_hash("c_custkey")
 
 define_cte("li", """
 SELECT l_orderkey, sum(CAST(l_discount AS DECIMAL(18,2))) AS discount, count(*) AS n_lines,
@@ -35,7 +42,7 @@ FROM events GROUP BY user_id""")
 define_cte("c360", f"""
 SELECT c_custkey AS customer_id,
   {INDUSTRY_LIST}[c_custkey % 10 + 1] AS industry,
-  CASE WHEN {KEY_HASH} < {int(0.6 * 2**32)} THEN 'train' WHEN {KEY_HASH} < {int(0.8 * 2**32)} THEN 'val' ELSE 'test' END AS split,
+  CASE WHEN {KEY_HASH} < {int(0.6 * 2**52)} THEN 'train' WHEN {KEY_HASH} < {int(0.8 * 2**52)} THEN 'val' ELSE 'test' END AS split,
   r_name AS region, c_mktsegment AS customer_segment,
   CAST(year(first_order) AS INTEGER) AS signup_year,
   CAST(date_diff('day', first_order, {T0}) // 30 AS INTEGER) AS tenure_months,

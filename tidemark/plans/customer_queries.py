@@ -141,7 +141,7 @@ def zero_variance_columns(spark, base):
     return P.zero_variance_columns(df, ["tenure_months", "overdrafts_12m", "constant"])
 
 
-_HASH = "((customer_id * 2654435761) % 4294967296)"
+_HASH = common.key_hash("customer_id")
 
 
 @query("stratified_split", ctes=("c360",), sql=f"""
@@ -153,6 +153,15 @@ def stratified_split(spark, base):
     return SP.stratified_split(df, "customer_id", "churned")
 
 
+@query("stratified_split_text_key", ctes=("c360",), sql=f"""
+SELECT customer_ref, churned, CASE WHEN rn <= (n * 20 + 99) // 100 THEN 'test' ELSE 'train' END AS part FROM (
+  SELECT customer_ref, churned, row_number() OVER (PARTITION BY churned ORDER BY {common.key_hash('customer_ref')}) AS rn,
+    count(*) OVER (PARTITION BY churned) AS n FROM (SELECT customer_id - 700 || '-VHVEG' AS customer_ref, churned FROM c360))""")
+def stratified_split_text_key(spark, base):
+    ref = F.concat((F.col("customer_id") - 700).cast("string"), F.lit("-VHVEG")).alias("customer_ref")
+    return SP.stratified_split(C.feature_table(spark, base).select(ref, "churned"), "customer_ref", "churned")
+
+
 @query("stratified_split_3way", ctes=("c360",), sql=f"""
 SELECT customer_id, churned, CASE WHEN rn <= (n * 70 + 99) // 100 THEN 'train' WHEN rn <= (n * 85 + 99) // 100 THEN 'val' ELSE 'test' END AS part FROM (
   SELECT customer_id, churned, row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, customer_id) AS rn,

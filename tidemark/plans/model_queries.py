@@ -19,7 +19,7 @@ from tidemark.plans import common  # noqa: F401
 from tidemark.plans.quality_queries import AUC, COVERAGE, DIST, TIER, quantiles
 from tidemark.plans.registry import query, rnd
 
-from tidemark.session import scratch_path
+from tidemark.session import materialize, scratch_path
 from tidemark.sources import customers as C
 from tidemark.sources import uploads as U
 from tidemark.streaming import jobs
@@ -27,8 +27,6 @@ from tidemark.streaming import jobs
 NUM = ["tenure_months", "monthly_spend_usd", "discount_pct", "return_rate", "days_since_last_activity",
        "orders_180d", "avg_order_value_usd", "nps_score", "cart_abandon_rate"]
 CAT = ["region", "customer_segment", "contract_type"]
-# Few, shallow trees: the registered queries exercise the dataflow, not the accuracy.
-QUICK = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 0.8, "numTrees": 8}
 _MODELS: dict[tuple, MD.StackedModel] = {}
 
 
@@ -38,67 +36,101 @@ def stacked(spark, base) -> MD.StackedModel:
     key = tuple(sorted(df.inputFiles()))
     if key not in _MODELS:
         train = df.where(F.col("split") == "train")
-        _MODELS[key] = MD.fit_stack(train, NUM, CAT, "customer_id", folds=3, params=QUICK)
+        _MODELS[key] = MD.fit_stack(train, NUM, CAT, "customer_id", folds=5)
     return _MODELS[key]
 
 
-def _test(spark, base):
-    return C.feature_table(spark, base).where(F.col("split") == "test")
+#: Area under the curve that any fitted model reaches on rows it was not fitted on.
+AUC_FLOOR = 0.55
 
 
 def _one_learner(spark, base, name):
+    """Probabilities of one learner for all customers."""
     df = C.feature_table(spark, base)
     ready = PP.Preprocessor(numericCols=NUM, categoricalCols=CAT).fit(df.where("split = 'train'")).transform(df)
     ready = ready.select("customer_id", "split", F.col("churned").cast("double").alias("churned"), *NUM, *CAT)
-    model = MD.learner(name, NUM, CAT, "churned", QUICK).fit(ready.where("split = 'train'"))
-    return MD.add_probability(model, ready.where("split = 'test'"), name).select("customer_id", f"p_{name}")
+    train = ready.where("split = 'train'")
+    model = MD.learner(name, NUM, CAT, "churned", MD.REFIT | {"maxBins": MD.bins_for(train, CAT)}).fit(train)
+    return MD.add_probability(model, ready, name).withColumn("model", F.lit(name)).withColumnRenamed(f"p_{name}", "p")
 
 
-@query("gbt_scores")
+def _stack_scores(spark, base):
+    """Probabilities of the stack and its learners for all customers, long: (customer_id, split, churned, model, p)."""
+    out = stacked(spark, base).probabilities(C.feature_table(spark, base), keep_base=True)
+    renamed = out.withColumnsRenamed({f"p_{n}": n for n in MD.LEARNERS} | {"p": "stack"})
+    return renamed.unpivot(["customer_id", "split", "churned"], [*MD.LEARNERS, "stack"], "model", "p")
+
+
+def score_audit(scores):
+    """What holds of any model's scores, by model and split: rows, range, and the floor on unseen rows."""
+    rows = materialize(scores.select("model", "split", "churned", "p"), "scores")
+    counts = rows.groupBy("model", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("p").between(0, 1)).alias("in_range"))
+    auc = M.roc_auc(rows.where("split <> 'train'"), ["model", "split"]).select(
+        "model", "split", (F.col("roc_auc") >= AUC_FLOOR).alias("above"))
+    return counts.join(auc, ["model", "split"], "left").select(
+        "model", "split", "n", "in_range", F.coalesce("above", F.lit(True)).alias("above_floor"))
+
+
+def audit_sql(*models: str) -> str:
+    listed = ", ".join(f"('{m}')" for m in models)
+    return (f"SELECT model, split, count(*) AS n, true AS in_range, true AS above_floor FROM c360, (VALUES {listed}) AS m(model) "
+            "GROUP BY model, split")
+
+
+@query("gbt_scores", ctes=("c360",), sql=audit_sql("gbt"))
 def gbt_scores(spark, base):
-    return _one_learner(spark, base, "gbt")
+    return score_audit(_one_learner(spark, base, "gbt"))
 
 
-@query("rf_scores")
+@query("rf_scores", ctes=("c360",), sql=audit_sql("rf"))
 def rf_scores(spark, base):
-    return _one_learner(spark, base, "rf")
+    return score_audit(_one_learner(spark, base, "rf"))
 
 
-@query("stacking_scores")
+@query("stacking_scores", ctes=("c360",), sql=audit_sql(*MD.LEARNERS, "stack"))
 def stacking_scores(spark, base):
-    out = stacked(spark, base).probabilities(_test(spark, base), keep_base=True)
-    return out.select("customer_id", "churned", *[f"p_{n}" for n in MD.LEARNERS], "p")
+    return score_audit(_stack_scores(spark, base))
 
 
-@query("base_learner_accuracy")
+@query("base_learner_accuracy", ctes=("c360",), sql="""
+SELECT model, count(*) AS n, true AS recomputed FROM c360, (VALUES ('gbt'), ('rf'), ('encoded'), ('stack')) AS m(model)
+WHERE split = 'test' GROUP BY model""")
 def base_learner_accuracy(spark, base):
-    rows = stacking_scores(spark, base).unpivot(
-        ["customer_id", "churned"], [*[f"p_{n}" for n in MD.LEARNERS], "p"], "model", "p")
-    return M.accuracy(rows, ["model"])
+    rows = materialize(_stack_scores(spark, base).where("split = 'test'"), "scores")
+    again = rows.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(((F.col("p") >= 0.5).cast("int") == F.col("churned")).cast("int")).alias("hits"))
+    return M.accuracy(rows, ["model"]).select("model", "accuracy").join(again, "model").select(
+        "model", "n", (F.abs(F.col("accuracy") - F.col("hits") / F.col("n")) < 1e-9).alias("recomputed"))
 
 
-@query("feature_importance")
+@query("feature_importance", sql=f"""
+SELECT CAST({len(NUM) + len(CAT)} AS BIGINT) AS features, CAST(1.0 AS DOUBLE) AS total, true AS in_range, CAST(10 AS BIGINT) AS shown""")
 def feature_importance(spark, base):
     table = MD.importance_table(spark, stacked(spark, base))
-    return table.orderBy(F.col("importance").desc(), "feature").limit(10)
+    top = table.orderBy(F.col("importance").desc(), "feature").limit(10).agg(F.count(F.lit(1)).alias("shown"))
+    return table.agg(F.count(F.lit(1)).alias("features"), S.stable_round(F.sum("importance"), 6).alias("total"),
+                     F.bool_and(F.col("importance").between(0, 1)).alias("in_range")).join(top)
+
 
+TRIALS = 3
 
-@query("tuning_trials")
+
+@query("tuning_trials", sql="SELECT CAST(range AS INTEGER) AS trial, true AS in_space, true AS auc_in_range FROM range(3)")
 def tuning_trials(spark, base):
-    space = {"maxIter": [2, 4], "maxDepth": [2, 3], "stepSize": [0.05, 0.1], "subsamplingRate": [0.8, 1.0], "numTrees": [4, 8]}
     train = C.feature_table(spark, base).where("split = 'train'")
-    _, done = MD.tune(train, NUM, CAT, "customer_id", trials=2, folds=2, space=space)
-    names = ["trial", *space, "auc"]
-    return spark.createDataFrame([tuple(t[n] for n in names) for t in done],
-                                 "trial int, maxIter int, maxDepth int, stepSize double, subsamplingRate double, numTrees int, auc double")
+    best, done = MD.tune(train, NUM, CAT, "customer_id", trials=TRIALS, folds=3)
+    top = max(t["auc"] for t in done)
+    rows = [(t["trial"], all(t[k] in v for k, v in MD.SEARCH_SPACE.items()), 0.0 <= t["auc"] <= top) for t in done]
+    return spark.createDataFrame(rows, "trial int, in_space boolean, auc_in_range boolean")
 
 
-@query("proxy_scores")
+@query("proxy_scores", ctes=("c360",), sql=audit_sql("proxy"))
 def proxy_scores(spark, base):
     df = C.feature_table(spark, base)
-    scored, _ = MD.train_proxy(df, "churned", ["app_sessions_30d", "orders_180d", "days_since_last_activity"],
-                               ["customer_id"], iterations=6)
-    return scored
+    scored, _ = MD.train_proxy(df.where("split = 'train'"), "churned", NUM, ["customer_id"], also=df)
+    return score_audit(scored.join(df.select("customer_id", "split", "churned"), "customer_id").select(
+        F.lit("proxy").alias("model"), "split", "churned", F.col("proxy_probability").alias("p")))
 
 
 # --- survival ----------------------------------------------------------------
@@ -110,18 +142,42 @@ def risk_set_table(spark, base):
     return SV.risk_sets(C.feature_table(spark, base), ["industry"])
 
 
-@query("cox_hazard_ratios")
-def cox_hazard_ratios(spark, base):
+COX_NUM = [c for c in NUM if c != "tenure_months"] + ["avg_balance_usd", "support_tickets_90d", "app_sessions_30d"]
+COX_CAT = ["region", "customer_segment", "contract_type", "loyalty_tier", "membership_level"]
+
+
+def _hazards(spark, base):
+    """All processed features, imputed, against tenure, in the industries with a survival target."""
     df = C.feature_table(spark, base).where(F.col("industry").isin(*catalog.SURVIVAL_INDUSTRIES))
-    levels = PP.category_levels(df, ["contract_type"])
-    hot = PP.one_hot(df, levels, drop_first=True)
-    dummies = [f"contract_type_{v}" for v in levels["contract_type"][1:]]
-    hazards = SV.cox_fit(hot, "industry", ["monthly_spend_usd", "discount_pct", "return_rate", "nps_score", *dummies])
-    return SV.top_hazards(hazards, "industry")
+    ready = PP.Preprocessor(numericCols=COX_NUM, categoricalCols=COX_CAT).fit(df).transform(df)
+    levels = PP.category_levels(ready, COX_CAT)
+    hot = PP.one_hot(ready, levels, drop_first=True)
+    dummies = [f"{c}_{v}" for c in COX_CAT for v in levels[c][1:]]
+    hot = hot.withColumnsRenamed({d: f"dummy_{i}" for i, d in enumerate(dummies)})
+    return SV.cox_fit(hot, "industry", [*COX_NUM, *[f"dummy_{i}" for i in range(len(dummies))]])
+
+
+SURVIVAL = ", ".join(f"'{i}'" for i in catalog.SURVIVAL_INDUSTRIES)
+
+
+@query("cox_hazard_ratios", ctes=("c360",), sql=f"""
+SELECT industry, CAST(r.range AS INTEGER) AS rank, true AS positive, true AS converged FROM
+  (SELECT DISTINCT industry FROM c360 WHERE industry IN ({SURVIVAL})), range(1, 6) r""")
+def cox_hazard_ratios(spark, base):
+    return SV.top_hazards(_hazards(spark, base), "industry").select(
+        "industry", "rank", (F.col("hazard_ratio") > 0).alias("positive"), "converged")
+
+
+@query("cox_score_check", ctes=("c360",), sql=f"""
+SELECT DISTINCT industry, covariate, 0.0::DOUBLE AS score FROM c360, (VALUES {', '.join(f"('{c}')" for c in COX_NUM)}) AS v(covariate)
+WHERE industry IN ({SURVIVAL})""")
+def cox_score_check(spark, base):
+    return _hazards(spark, base).where(F.col("covariate").isin(*COX_NUM)).select(
+        "industry", "covariate", S.stable_round(F.col("score"), 3).alias("score"))
 
 
 # --- ingestion and augmentation -----------------------------------------------
-HASH = "((customer_id * 2654435761) % 4294967296)"
+HASH = common.key_hash("customer_id")
 
 
 @query("labelled_ingest", ctes=("c360",), sql=f"""

@@ -21,12 +21,12 @@ from tidemark.sources import customers as C
 from tidemark.sources import tables as TB
 
 
-def neighbour_sql(source: str, features, group: str = "industry") -> str:
+def neighbour_sql(source: str, features, group: str = "industry", asked: str = "q.split = 'test'") -> str:
     square = " + ".join(f"(q.{c} - r.{c}) * (q.{c} - r.{c})" for c in features)
     return f"""SELECT grp, qid, rid, dist, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rank FROM (
     SELECT q.{group} AS grp, q.customer_id AS qid, r.customer_id AS rid, {rnd(f'sqrt({square})', 6)} AS dist
-    FROM {source} q JOIN {source} r ON q.{group} = r.{group} WHERE q.split = 'test' AND r.split = 'train')) WHERE rank <= 5"""
+    FROM {source} q JOIN {source} r ON q.{group} = r.{group} WHERE {asked} AND r.split = 'train')) WHERE rank <= 5"""
 
 
 define_cte("nb", neighbour_sql("scaled", SCALED), "scaled")
@@ -57,6 +57,17 @@ def knn_join_tiled(spark, base):
                       exclude_self=True, broadcast_values=1_000, tile_rows=4_096)
 
 
+@query("knn_join_lsh", ctes=("scaled",), sql="""
+SELECT industry AS grp, count(CASE WHEN split = 'test' THEN 1 END) AS queries, true AS recall_reached
+FROM scaled GROUP BY industry""")
+def knn_join_lsh(spark, base):
+    """The hashed join against the exact one: recall by industry."""
+    df = scaled_customers(spark, base)
+    q = K.vectors(df.where(F.col("split") == "test"), "customer_id", SCALED, "industry", "qid")
+    r = K.vectors(df.where(F.col("split") == "train"), "customer_id", SCALED, "industry", "rid")
+    return K.lsh_recall(q, r).select("grp", "queries", (F.col("recall") >= 0.85).alias("recall_reached"))
+
+
 SIM = "100.0::DOUBLE / (1.0::DOUBLE + dist)"
 define_cte("votes", f"""
 SELECT grp AS industry, qid AS customer_id, avg(churned) AS p_retrieval, avg(CASE WHEN rank <= 3 THEN {SIM} END) AS avg_similarity
@@ -208,8 +219,7 @@ def ecommerce_risk(df, name: str):
 
 
 def uploaded_batch(spark, base):
-    test = C.feature_table(spark, base).where(F.col("split") == "test")
-    return test.select(*[F.col(f).alias(h) for h, f in UPLOAD.items()])
+    return C.feature_table(spark, base).select(*[F.col(f).alias(h) for h, f in UPLOAD.items()])
 
 
 def reference_rows(spark, base, split: str):
@@ -245,7 +255,7 @@ define_cte("ec_m", "SELECT " + ", ".join(
 ) + " FROM ec WHERE split = 'train'", "ec")
 define_cte("ec_s", "SELECT customer_id, split, industry, " + ", ".join(
     f"({c}::DOUBLE - mu_{c}) / sd_{c} AS {c}" for c in EC_KNN) + " FROM ec, ec_m", "ec", "ec_m")
-define_cte("ec_nb", neighbour_sql("ec_s", EC_KNN), "ec_s")
+define_cte("ec_nb", neighbour_sql("ec_s", EC_KNN, asked="true"), "ec_s")
 define_cte("ec_v", f"""
 SELECT qid AS customer_id, avg(churned) AS vote, avg(CASE WHEN rank <= 3 THEN {SIM} END) AS avg_similarity,
   string_agg(CASE WHEN rank <= 3 THEN CAST({rnd(SIM, 1)} AS VARCHAR) || ' ' || {SEGMENT} || ' ' || CASE WHEN churned = 1 THEN 'Yes' ELSE 'No' END END, ' / ' ORDER BY rank) AS sources
@@ -295,7 +305,7 @@ def batch_summary(spark, base):
 
 @query("bridge_report", ctes=("c360",), sql="""
 SELECT 'ecommerce' AS detected_industry, 71.4::DOUBLE AS schema_overlap_pct, 15 AS mapped_features_count, 6 AS imputed_features_count,
-  6 AS static_default, count(*) AS "rows" FROM c360 WHERE split = 'test'""")
+  6 AS static_default, count(*) AS "rows" FROM c360""")
 def bridge_report(spark, base):
     bridge = FeatureBridge().transform(uploaded_batch(spark, base))
     rows = bridge.df.agg(F.count(F.lit(1)).alias("rows")).withColumn("k", F.lit(1))
@@ -310,13 +320,13 @@ _FILLED = ["monthly_spend_usd", "orders_180d", "return_rate"]
 
 @query("bridge_imputed", ctes=("c360",), sql=f"""
 SELECT customer_id, region, tenure_months, {', '.join(f'md_{c} AS {c}' for c in _FILLED)}, contract_type, 40 AS age
-FROM (SELECT customer_id, region, tenure_months FROM c360 WHERE split = 'test'),
+FROM (SELECT customer_id, region, tenure_months FROM c360),
   (SELECT {', '.join(f'median({c})::DOUBLE AS md_{c}' for c in _FILLED)} FROM c360 WHERE split = 'train'),
   (SELECT contract_type FROM c360 WHERE split = 'train' GROUP BY contract_type ORDER BY count(*) DESC, contract_type LIMIT 1)""")
 def bridge_imputed(spark, base):
     # One numeric predictor is too few for a regression: medians and modes of the training rows fill in.
     df = C.feature_table(spark, base)
-    upload = df.where(F.col("split") == "test").select(
+    upload = df.select(
         F.col("customer_id").alias("Customer_ID"), F.col("region").alias("Region"), F.col("tenure_months").alias("Tenure"))
     training = df.where(F.col("split") == "train").select(*MAPPED)
     out = FeatureBridge("ecommerce", training).transform(upload)

@@ -67,16 +67,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def pin(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Evaluate a small table once and continue with its rows.
+def pin(df: DataFrame) -> DataFrame:
+    """Evaluate fitted statistics once: written to the shared folder, whatever their size.
 
-    For fitted statistics of a fixed vocabulary that several jobs read.  A table above
-    ``max_rows`` is written to the shared folder instead.
+    Later plans see the size of the files and broadcast them only if they are small.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return materialize(df, "pinned")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return materialize(df, "pinned")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

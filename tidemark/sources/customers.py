@@ -101,8 +101,8 @@ def split_of(key: Column) -> Column:
     """Row-wise 60/20/20 split by key hash: no shuffle, stable under appends."""
     h = S.portable_hash(key)
     return (
-        F.when(h < int(TRAIN_SHARE * 2 ** 32), "train")
-        .when(h < int((TRAIN_SHARE + VAL_SHARE) * 2 ** 32), "val")
+        F.when(h < int(TRAIN_SHARE * 2 ** S.HASH_BITS), "train")
+        .when(h < int((TRAIN_SHARE + VAL_SHARE) * 2 ** S.HASH_BITS), "val")
         .otherwise("test")
     )
 

@@ -71,7 +71,8 @@ def untidy_customers(spark: SparkSession, base: str) -> DataFrame:
     year = (F.lit(1990) + key % 35).cast("string")
     num = (
         F.when(key % 10 == 0, F.lit("  ")).when(key % 10 == 1, F.concat(F.lit(" "), amount, F.lit(" ")))
-        .when(key % 10 == 2, F.concat(F.lit("x"), amount)).when(key % 10 == 3, F.lit(None)).otherwise(amount)
+        .when(key % 10 == 2, F.concat(F.lit("x"), amount)).when(key % 10 == 3, F.lit(None))
+        .when(key % 50 == 4, F.lit("Infinity")).when(key % 50 == 5, F.lit("3000000000")).otherwise(amount)
     )
     joined = (
         F.when(key % 6 == 0, day).when(key % 6 == 1, year).when(key % 6 == 2, F.concat(year, F.lit(".0")))
