@@ -63,9 +63,10 @@ def similarities(headers: DataFrame, corpora: tuple[str, ...]) -> DataFrame:
         .groupBy("dataset_id", "gram", "corpus_d", "a_d").agg(F.count(F.lit(1)).alias("df_d"))
     )
     lex = F.broadcast(catalog.corpus_gram_table(spark, corpora))
-    features = F.broadcast(
-        catalog.feature_gram_table(spark).groupBy("gram")
-        .agg(F.collect_list(F.struct("feature", "tf_f")).alias("in_features")))
+    # only features of the upload's own corpus are expanded: 21 of an industry, not all 75
+    feature_grams = catalog.feature_gram_table(spark, corpora)
+    features = F.broadcast(feature_grams.groupBy("corpus", "gram").agg(
+        F.collect_list(F.struct("feature", "tf_f")).alias("in_features")))
     norms = F.broadcast(catalog.feature_norm_table(spark, corpora))
 
     def idf(df: Column) -> Column:
@@ -79,7 +80,7 @@ def similarities(headers: DataFrame, corpora: tuple[str, ...]) -> DataFrame:
     own = F.array(F.struct(F.lit("").alias("feature"), F.lit(0.0).alias("tf_f")))
     weights = (
         grams.where("wanted").join(used.hint("merge"), ["dataset_id", "gram"])
-        .join(lex, ["corpus", "gram"], "left").join(features, "gram", "left")
+        .join(lex, ["corpus", "gram"], "left").join(features, ["corpus", "gram"], "left")
         .withColumn("idf", idf(known + F.col("df_d")))
         .select("dataset_id", "pos", "corpus", "a", "tf", "idf",
                 F.inline(F.concat(own, F.coalesce("in_features", F.expr("array()").cast(
@@ -97,13 +98,13 @@ def similarities(headers: DataFrame, corpora: tuple[str, ...]) -> DataFrame:
         F.sum("s").alias("s"), F.max("ladder").alias("ladder"))
     header_norm = F.max(F.when(F.col("feature") == "", F.col("s"))).over(Window.partitionBy("dataset_id", "pos"))
 
-    feature_rows = F.broadcast(catalog.feature_gram_table(spark))
+    feature_rows = F.broadcast(feature_grams)
     shift = F.col("tf_f") * F.col("tf_f") * (
         idf(F.col("df_lex") + F.col("df_d")) * idf(F.col("df_lex") + F.col("df_d"))
         - idf(F.col("df_lex")) * idf(F.col("df_lex")))
     adjusted = (
         used.withColumnsRenamed({"corpus_d": "corpus", "a_d": "a"})
-        .join(lex, ["corpus", "gram"]).join(feature_rows, "gram")
+        .join(lex, ["corpus", "gram"]).join(feature_rows, ["corpus", "gram"])
         .groupBy("dataset_id", "feature").agg(F.sum(shift).alias("adjust"))
     )
     a = F.col("a")
