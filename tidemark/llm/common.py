@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
@@ -13,7 +15,7 @@ from tidemark.session import materialize
 #: Ranges an exact distributed rank counts rows by; its one-task prefix sum reads at most this many rows a group.
 RANK_BUCKETS = 1024
 
-__all__ = ["RANK_BUCKETS", "batches_of", "discard", "materialize", "ranked", "table"]
+__all__ = ["RANK_BUCKETS", "bytes_of", "discard", "materialize", "ranked", "slices", "table"]
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -45,19 +47,20 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str, buckets: int
             .drop("_bucket", "_before"))
 
 
-def batches_of(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
-    """A ``mapInArrow`` function from one that maps a single batch."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
-    return run
+#: Bytes of text that a Python worker handles at a time.
+SLICE_BYTES = 4_000_000
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``SLICE_BYTES`` of a text column, a longer text by itself."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+        starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(sizes)]):
+            yield batch.slice(a, b - a)
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; null is empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
-
-
-def unsigned_crc32(text: Column) -> Column:
-    return F.crc32(text.cast("binary"))

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bytes_of, materialize
+from tidemark.llm.common import bytes_of, materialize, slices
 
 #: Weight of the lower order against the counts of a context.
 MU = 4.0
@@ -81,7 +81,7 @@ def code_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             return pa.RecordBatch.from_pylist([row], schema=pa.schema(
                 [("block", pa.int64()), *[(c, pa.binary()) for c in ("docs", "known", "trains", "lengths", "words", "codes")]]))
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             for doc, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
                 words = text.lower().split()
                 if ids and size + len(words) + 1 > BLOCK_TOKENS:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bytes_of, materialize, ranked
+from tidemark.llm.common import bytes_of, materialize, ranked, slices
 from tidemark.llm.tokens import load
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, id_co
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder = load(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, counts = encoder.encode(bytes_of(batch.column(1)))
             out: list[tuple] = []
             at = 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bytes_of, materialize
+from tidemark.llm.common import bytes_of, materialize, slices
 from tidemark.llm.tokens import load, unload
 from tidemark.session import scratch_path
 
@@ -155,7 +155,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder = load(tokenizer)
         kind = "<u2" if encoder.library.get_vocab_size() <= 1 << 16 else "<u4"
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, counts = encoder.encode(bytes_of(batch.column(1)))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id).astype(kind)
@@ -181,10 +181,10 @@ def id_counts(tokens: DataFrame) -> dict[int, int]:
         unload()
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.bincount(ids_of(raw, n), minlength=len(total))
-                own[:len(total)] += total
-                total = own
+            ids = [ids_of(raw, n) for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            own = np.bincount(np.concatenate(ids), minlength=len(total))
+            own[:len(total)] += total
+            total = own
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bytes_of, materialize
+from tidemark.llm.common import bytes_of, materialize, slices
 from tidemark.llm.features import SHARES, rows_of
 
 TREES = 100
@@ -29,7 +29,7 @@ STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines
 
 def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             counts, shares = rows_of(bytes_of(batch.column(1)))
             flat = pa.array(shares[:, SPLIT_ON].reshape(-1))
             x = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * len(SPLIT_ON)), flat)

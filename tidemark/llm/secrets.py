@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -77,7 +77,7 @@ def candidates(docs: DataFrame, repository_col: str, owner_col: str, id_col: str
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches, 4):
             spans = [[{"kind": k, "start": a, "end": b, "value": hashlib.sha256(v.encode()).hexdigest(), "random": looks_random(v)}
                       for k, a, b, v in scan(text or "")] for text in batch.column(4).to_pylist()]
             rows = pa.array(range(row, row + len(spans)), pa.int64())

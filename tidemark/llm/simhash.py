@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bytes_of, materialize
+from tidemark.llm.common import bytes_of, materialize, slices
 from tidemark.llm.graph import components
 
 SEED = 42
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     """doc_id, fp, key (a hash of the text): one row per document."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [fingerprint(t, words) for t in bytes_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), batch.column(2)],
                                              names=["doc_id", "fp", "key"])

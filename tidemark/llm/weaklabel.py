@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bytes_of, materialize
+from tidemark.llm.common import bytes_of, materialize, slices
 from tidemark.llm.features import SHARES, rows_of
 from tidemark.llm.rules import calibrated
 
@@ -120,7 +120,7 @@ def vote_table(docs: DataFrame, fit_rows: int, id_col: str, text_col: str) -> Da
     chosen = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)) < int(min(1.0, fit_rows / max(1, n)) * (1 << 40))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = bytes_of(batch.column(1))
             counts, shares = rows_of(texts)
             found = [_HASHER.features(t) if c else None for t, c in zip(texts, batch.column(2).to_pylist())]
@@ -184,7 +184,7 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
     weights = fitted(docs, labels, fit_rows, id_col, text_col)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(badness(weights, bytes_of(batch.column(1))))], names=["doc_id", "score"])
 
     scored = materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, score double"), "scores")
@@ -203,7 +203,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc
     at = docs.columns.index(text_col)
 
     def score(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(badness(weights, bytes_of(batch.column(1))))], names=["doc_id", "score"])
 
     limit = 0.5
@@ -214,7 +214,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc
         limit = limit_of(some.mapInArrow(score, "doc_id long, score double"), labels, loss)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             good = badness(weights, bytes_of(batch.column(at))) < limit
             yield batch.filter(pa.array(good))
 
