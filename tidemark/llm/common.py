@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
@@ -15,7 +15,7 @@ from tidemark.session import materialize
 #: Ranges an exact distributed rank counts rows by; its one-task prefix sum reads at most this many rows a group.
 RANK_BUCKETS = 1024
 
-__all__ = ["RANK_BUCKETS", "bytes_of", "discard", "materialize", "ranked", "slices", "table"]
+__all__ = ["RANK_BUCKETS", "boxed", "bytes_of", "discard", "materialize", "ranked", "slices", "table", "unboxed"]
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -47,6 +47,15 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str, buckets: int
             .drop("_bucket", "_before"))
 
 
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows as one struct ``doc`` beside named keys, so that no column of theirs can clash; ``unboxed`` undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[k.alias(n) for n, k in keys.items()])
+
+
+def unboxed(boxes: DataFrame) -> DataFrame:
+    return boxes.select("doc.*")
+
+
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 4_000_000
 

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import boxed, materialize, unboxed
 
 #: Grid points of a pass and passes: the exponent is exact to ``(1 / (GRID - 1)) ** PASSES``.
 GRID = 33
@@ -125,9 +125,9 @@ def mix(docs: DataFrame, source_col: str = "source", entropy: float | None = Non
 def mixed_documents(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents as often as the mixture takes them, with their own columns only."""
     times = mix(docs, source_col, id_col=id_col, text_col=text_col, **how).groupBy(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key")).agg(
-        (F.max("epoch") + 1).alias("_times"))
-    same = (F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
-            & (F.col("_text_key") == F.col("_key")))
-    found = docs.withColumn("_text_key", F.xxhash64(text_col)).join(times, same)
-    return found.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+        F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("text_key").alias("text")).agg(
+        (F.max("epoch") + 1).alias("times"))
+    own = boxed(docs, doc_id=F.col(id_col).cast("long"), source=F.col(source_col).cast("string"), text_key=F.xxhash64(text_col))
+    same = (F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of"))
+            & (F.col("text_key") == F.col("text")))
+    return unboxed(own.join(times, same).select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))))

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bytes_of, materialize, slices
 from tidemark.llm.features import SHARES, rows_of
 
-TREES = 100
+TREES = 200
 #: Rows a tree is grown from; all trees take ``TREES * TREE_ROWS`` rows at most, those with the smallest hashes.
-TREE_ROWS = 256
+TREE_ROWS = 64
 #: The statistics that the forest splits on.
-SPLIT_ON = tuple(SHARES.index(x) for x in ("symbols", "repeats", "dup_lines", "upper", "digits", "marks", "top_word", "distinct"))
+SPLIT_ON = tuple(SHARES.index(x) for x in ("symbols", "repeats", "upper", "marks"))
 #: Ranges of scores by which labelled rows are counted.
 RANGES = 2000
 MIN_WORDS = 50

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, slices
+from tidemark.llm.common import boxed, materialize, slices, unboxed
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -131,9 +131,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", repository_col: str = "sourc
     live = find_secrets(docs, repository_col, owner_col, id_col, text_col).select(
         "doc_id", "key", F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(
             s["start"].alias("start"), s["end"].alias("end"))).alias("_spans")).where(F.size("_spans") > 0).distinct()
-    live = materialize(live.select(F.col("doc_id").alias("_id"), F.col("key").alias("_text_key"), "_spans"), "live-spans")
-    own = docs.withColumn("_key", F.xxhash64(text_col))
-    held = own.join(live, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key")), "left")
+    live = materialize(live.select(F.col("doc_id").alias("id"), F.col("key").alias("text"), "_spans"), "live-spans")
+    own = boxed(docs, doc_id=F.col(id_col).cast("long"), key=F.xxhash64(text_col))
+    held = own.join(live, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text")), "left")
     schema = docs.schema
     names = docs.columns
     at = names.index(text_col)
@@ -148,8 +148,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", repository_col: str = "sourc
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    marked = held.where(F.col("_spans").isNotNull()).select(*docs.columns, "_spans").mapInArrow(run, schema)
-    return held.where(F.col("_spans").isNull()).select(*docs.columns).unionByName(marked)
+    fields = [F.col("doc").getField(c).alias(c) for c in names]
+    marked = held.where(F.col("_spans").isNotNull()).select(*fields, F.col("_spans")).mapInArrow(run, schema)
+    return unboxed(held.where(F.col("_spans").isNull())).unionByName(marked)
 
 
 def blanked(text: str, spans: list[tuple[int, int]], mark: str) -> str:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bytes_of, materialize, slices
+from tidemark.llm.common import boxed, bytes_of, materialize, slices, unboxed
 from tidemark.llm.graph import components
 
 SEED = 42
@@ -155,8 +155,8 @@ def one_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_co
     Of a group's rows that share the smallest id one stays; rows without id are no one's copy and stay.
     """
     found = near_duplicates(docs, words, id_col, text_col)
-    stay = found.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("key").alias("_key")) \
-        .select(F.col("doc_id").alias("_stays"), "_key").distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(text_col))
-    named = keyed.join(stay, (F.col(id_col).cast("long") == F.col("_stays")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return named.dropDuplicates([id_col, "_text_key"]).drop("_text_key").unionByName(docs.where(F.col(id_col).isNull()))
+    stay = found.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("key").alias("key")) \
+        .select("doc_id", "key").distinct()
+    keyed = boxed(docs, doc_id=F.col(id_col).cast("long"), key=F.xxhash64(text_col))
+    one = keyed.join(stay, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    return unboxed(one).unionByName(docs.where(F.col(id_col).isNull()))
