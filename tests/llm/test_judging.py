@@ -48,7 +48,7 @@ def test_rules_reject_what_labels_call_bad(spark):
 def test_forest_isolates_outliers():
     rng = np.random.default_rng(1)
     rows = np.concatenate([rng.normal(0, 1, (2000, 3)), [[9, 9, 9], [-8, 9, 0]]])
-    scores = rules.Forest(rows).scores(rows)
+    scores = rules.Forest(rows, 100, 256).scores(rows)
     assert set(np.argsort(scores)[-2:]) == {2000, 2001}
     assert len(rules.Forest(np.zeros((0, 3))).scores(rows)) == len(rows)
     assert np.allclose(rules.Forest(np.ones((5, 2))).scores(np.ones((2, 2))), 0.5)

@@ -148,8 +148,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", repository_col: str = "sourc
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    spare = "_".join([*names, "spans"])  # longer than any column's name
     fields = [F.col("doc").getField(c).alias(c) for c in names]
-    marked = held.where(F.col("_spans").isNotNull()).select(*fields, F.col("_spans")).mapInArrow(run, schema)
+    marked = held.where(F.col("_spans").isNotNull()).select(*fields, F.col("_spans").alias(spare)).mapInArrow(run, schema)
     return unboxed(held.where(F.col("_spans").isNull())).unionByName(marked)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, materialize, ranked
 
-PIECES = 4096
+PIECES = 512
 #: Moves into a shard are admitted by this many ranges of a hash.
 RANGES = 1024
 ROUNDS = 8
