@@ -23,7 +23,7 @@ from tidemark.llm.common import discard, materialize, ranked
 PIECES = 512
 #: Moves into a shard are admitted by this many ranges of a hash.
 RANGES = 1024
-ROUNDS = 8
+ROUNDS = 24
 
 
 def choose(shard: Column, values: list[int]) -> Column:
@@ -38,8 +38,9 @@ def shares(n: int, shards: int) -> list[int]:
 def admitted(wishes: list[tuple[int, int, int]], loads: list[int], quotas: list[int]) -> dict[int, int]:
     """For each shard the ranges below which moves into it are admitted.
 
-    ``wishes``: (target, range, rows).  A shard takes what fits below its quota, and half of what is
-    drawn out of it besides, as room is made at the same time; the last step corrects the rest.
+    ``wishes``: (target, range, rows).  A shard takes what fits below its quota.  Documents without
+    neighbours do not count towards it, as they are placed last; where all documents have neighbours,
+    only what others have left makes room.
     """
     room = [max(0, q - load) for q, load in zip(quotas, loads)]
     out = {}
@@ -56,11 +57,12 @@ def admitted(wishes: list[tuple[int, int, int]], loads: list[int], quotas: list[
 def propagate(cells: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     """Rounds of label propagation over cells (hub, piece, start, rows, shard), until nothing moves."""
     shards = len(quotas)
+    full: set[int] = set()  # shards too full for even one more range
     for _ in range(rounds):
         loads = [0] * shards
         for shard, rows in cells.groupBy("shard").agg(F.sum("rows")).collect():
             loads[shard] = rows
-        open_shards = [s for s in range(shards) if loads[s] < quotas[s]]
+        open_shards = [s for s in range(shards) if loads[s] < quotas[s] and s not in full]
         votes = cells.groupBy("hub", "shard").agg(F.sum("rows").alias("votes"))
         # a shard without room draws nobody
         drawing = votes.where(F.col("shard").isin(open_shards)) if open_shards else votes.limit(0)
@@ -85,8 +87,7 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
         discard(wish)
         discard(cells)
         cells = moved
-        if not any(upto.values()):
-            break
+        full |= {r["target"] for r in asked if not upto[r["target"]]}
     return cells
 
 
