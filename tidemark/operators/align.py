@@ -47,6 +47,23 @@ def rename_mapped(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.select(*cols)
 
 
+def first_of_each(headers: DataFrame) -> DataFrame:
+    """(dataset_id, pos, header): of an upload's headers with one cleaned name (``clean``) the first is kept."""
+    return headers.groupBy("dataset_id", "clean").agg(F.min(F.struct("pos", "header")).alias("first")).select(
+        "dataset_id", "first.*")
+
+
+def typed_headers(headers: DataFrame) -> DataFrame:
+    """(dataset_id, pos, industry, feature, kind) for headers named like a schema feature, by ``feature_types``."""
+    spark = headers.sparkSession
+    kinds = [(industry, f, kind) for industry, schema in catalog.SCHEMAS.items()
+             for kind, found in zip(("numeric", "categorical"), feature_types(schema, industry)) for f in found]
+    known = spark.createDataFrame([(*k, catalog.clean(k[1])) for k in kinds],
+                                  "industry string, feature string, kind string, feature_clean string")
+    return headers.join(F.broadcast(known), F.col("clean") == F.col("feature_clean")).select(
+        "dataset_id", "pos", "industry", "feature", "kind")
+
+
 def restore_headers(df: DataFrame, headers: Sequence[str], mapping: Mapping[str, str]) -> list[Column]:
     """Aligned columns under their uploaded names; NULL where nothing was aligned."""
     have = set(df.columns)

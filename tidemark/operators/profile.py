@@ -78,8 +78,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.inline("cols"))
 
 
-def category_label_counts(df: DataFrame, category: str, label: str = "churned") -> DataFrame:
-    return df.groupBy(F.col(category).alias("category")).agg(
+def category_label_counts(df: DataFrame, category: str, label: str = "churned", by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by, F.col(category).alias("category")).agg(
         F.count(F.when(F.col(label) == 0, 1)).alias("retained"),
         F.count(F.when(F.col(label) == 1, 1)).alias("churned"),
         stable_round(F.avg(label) * 100, 2).alias("churn_rate"),

@@ -167,9 +167,7 @@ def rename_mapped(spark, base):
 @query("dedupe_columns", ctes=("hdr",), sql="""
 SELECT dataset_id, pos, header FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, clean ORDER BY pos) AS rk FROM hdr) WHERE rk = 1""")
 def dedupe_columns(spark, base):
-    h = MT.with_clean(U.upload_headers(spark, base))
-    return h.groupBy("dataset_id", "clean").agg(F.min(F.struct("pos", "header")).alias("first")).select(
-        "dataset_id", "first.*")
+    return A.first_of_each(MT.with_clean(U.upload_headers(spark, base)))
 
 
 @query("restore_headers", ctes=("c360",), sql="""
@@ -195,12 +193,7 @@ def schema_align(spark, base):
 SELECT dataset_id, pos, cat.industry, feature, CASE WHEN role = 'text' THEN 'categorical' ELSE 'numeric' END AS kind
 FROM hdr JOIN cat ON fclean = clean WHERE NOT (feature = 'tenure_months' AND industry IN ('saas', 'telecom'))""")
 def feature_types(spark, base):
-    cat = catalog.feature_catalog(spark).select("industry", "feature", "feature_clean", "role")
-    h = MT.with_clean(U.upload_headers(spark, base))
-    withheld = (F.col("feature") == "tenure_months") & F.col("industry").isin(*catalog.SURVIVAL_INDUSTRIES)
-    return h.join(F.broadcast(cat), F.col("clean") == F.col("feature_clean")).where(~withheld).select(
-        "dataset_id", "pos", "industry", "feature",
-        F.when(F.col("role") == "text", "categorical").otherwise("numeric").alias("kind"))
+    return A.typed_headers(MT.with_clean(U.upload_headers(spark, base)))
 
 
 def _untidy_banking(spark, base):

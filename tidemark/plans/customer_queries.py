@@ -17,6 +17,9 @@ NUMERIC = ["tenure_months", "monthly_spend_usd", "discount_pct", "return_rate",
            "days_since_last_activity", "orders_180d", "avg_order_value_usd",
            "support_tickets_90d", "avg_balance_usd"]
 TEXTS = ["region", "customer_segment", "contract_type", "loyalty_tier"]
+ALL_NUMERIC = [*NUMERIC, "app_sessions_30d", "nps_score", "feature_adoption_score", "cart_abandon_rate", "completion_rate",
+               "missed_appointments_12m", "agent_contact_90d", "smart_meter_enabled", "overdrafts_12m", "dropped_calls_30d"]
+ALL_TEXTS = [*TEXTS, "membership_level"]
 
 
 @query("customer_360", ctes=("c360",), sql="SELECT * FROM c360")
@@ -58,7 +61,7 @@ def profile_columns(spark, base):
     return P.profile_columns(table(spark, base, "lineitem"))
 
 
-_NB = ["customer_id", "region", "tenure_months", "support_tickets_90d", "app_sessions_30d", "note"]
+_NB = ["customer_id", "industry", "split", *ALL_TEXTS, "signup_year", *ALL_NUMERIC, "churned", "note"]
 
 
 @query("null_blank_counts", ctes=("c360",), sql=" UNION ALL ".join(
@@ -71,7 +74,7 @@ def null_blank_counts(spark, base):
     return P.null_blank_counts(df.withColumn("note", note).select(*_NB))
 
 
-_CORR = ["tenure_months", "monthly_spend_usd", "orders_180d", "days_since_last_activity"]
+_CORR = ALL_NUMERIC
 
 
 @query("correlation_matrix", ctes=("c360",), sql=" UNION ALL ".join(
@@ -85,15 +88,10 @@ def correlation_matrix(spark, base):
 @query("category_churn_counts", ctes=("c360",), sql=" UNION ALL ".join(
     f"""SELECT '{c}' AS feature, {c} AS category, count(CASE WHEN churned = 0 THEN 1 END) AS retained,
   count(CASE WHEN churned = 1 THEN 1 END) AS churned, {rnd('avg(churned) * 100', 2)} AS churn_rate FROM c360 GROUP BY {c}"""
-    for c in ("contract_type", "customer_segment")))
+    for c in ALL_TEXTS))
 def category_churn_counts(spark, base):
-    df = C.feature_table(spark, base).select("contract_type", "customer_segment", "churned")
-    long = df.unpivot(["churned"], ["contract_type", "customer_segment"], "feature", "category")
-    return long.groupBy("feature", "category").agg(
-        F.count(F.when(F.col("churned") == 0, 1)).alias("retained"),
-        F.count(F.when(F.col("churned") == 1, 1)).alias("churned"),
-        stable_round(F.avg("churned") * 100, 2).alias("churn_rate"),
-    )
+    long = C.feature_table(spark, base).unpivot(["churned"], ALL_TEXTS, "feature", "category")
+    return P.category_label_counts(long, "category", by=["feature"])
 
 
 @query("class_histogram", ctes=("c360",), sql=f"""
@@ -135,10 +133,10 @@ def feature_modes(spark, base):
 
 @query("zero_variance_columns", ctes=("c360",), sql=" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", var_samp({e}) = 0 AS zero_variance FROM c360"
-    for c, e in [("tenure_months", "tenure_months"), ("overdrafts_12m", "overdrafts_12m"), ("constant", "7")]))
+    for c, e in [*zip(ALL_NUMERIC, ALL_NUMERIC), ("constant", "7")]))
 def zero_variance_columns(spark, base):
     df = C.feature_table(spark, base).withColumn("constant", F.lit(7))
-    return P.zero_variance_columns(df, ["tenure_months", "overdrafts_12m", "constant"])
+    return P.zero_variance_columns(df, [*ALL_NUMERIC, "constant"])
 
 
 _HASH = common.key_hash("customer_id")
@@ -184,8 +182,8 @@ def kfold_assign(spark, base):
 @query("binary_columns", ctes=("c360",), sql=" UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(DISTINCT CAST({c} AS VARCHAR)) <= 2 AND
   count(CASE WHEN CAST({c} AS VARCHAR) NOT IN ('0','1','0.0','1.0','true','false','True','False','yes','no','Yes','No') THEN 1 END) = 0 AS is_binary FROM c360"""
-    for c in ("smart_meter_enabled", "churned", "overdrafts_12m", "contract_type", "agent_contact_90d")))
+    for c in [*ALL_NUMERIC, *ALL_TEXTS, "churned"]))
 def binary_columns(spark, base):
     from tidemark.catalog import BINARY_LIKE_VALUES
-    cols = ["smart_meter_enabled", "churned", "overdrafts_12m", "contract_type", "agent_contact_90d"]
+    cols = [*ALL_NUMERIC, *ALL_TEXTS, "churned"]
     return P.binary_columns(C.feature_table(spark, base), cols, BINARY_LIKE_VALUES)

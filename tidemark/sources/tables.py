@@ -17,10 +17,14 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def file_stamp(spark: SparkSession, path: str) -> tuple[int, int]:
-    """(modification time, length) of a file or folder."""
+    """(latest modification time, total length) over a file or all files below a folder."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    status = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop_path)
-    return status.getModificationTime(), status.getLen()
+    files = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hadoop_path, True)
+    latest, total = 0, 0
+    while files.hasNext():
+        status = files.next()
+        latest, total = max(latest, status.getModificationTime()), total + status.getLen()
+    return latest, total
 
 
 _STORED: dict[tuple, str] = {}
