@@ -13,9 +13,13 @@ from tidemark.operators import metrics as M
 from tidemark.operators import models as MD
 from tidemark.operators import preprocess as PP
 from tidemark.operators import profile as P
+from tidemark.operators import align as A
+from tidemark.operators import serving
 from tidemark.operators import survival as SV
+from tidemark.operators.bridge import FeatureBridge
 from tidemark.plans import alignment_queries as AQ
 from tidemark.plans import common  # noqa: F401
+from tidemark.plans import scoring_queries as SQ
 from tidemark.plans.quality_queries import AUC, COVERAGE, DIST, TIER, quantiles
 from tidemark.plans.registry import query, rnd
 
@@ -115,6 +119,52 @@ def feature_importance(spark, base):
                      F.bool_and(F.col("importance").between(0, 1)).alias("in_range")).join(top)
 
 
+# --- serving with fitted models -------------------------------------------------
+def _ecommerce(spark, base, split):
+    df = C.feature_table(spark, base).where(F.col("split") == split)
+    return A.clean_features(df, "ecommerce", ["customer_id", "churned"])
+
+
+@query("score_batch_ml", ctes=("c360",), sql="""
+SELECT count(*) AS n, true AS in_range, true AS has_evidence FROM c360""")
+def score_batch_ml(spark, base):
+    """The uploaded batch scored by the fitted stack, with sets, evidence and what-if."""
+    train, val = _ecommerce(spark, base, "train"), _ecommerce(spark, base, "val")
+    numeric, categorical = A.feature_types(train.columns, "ecommerce")
+    model = MD.fit_stack(train, numeric, categorical, "customer_id", folds=3)
+    _, scored = serving.score_upload(SQ.uploaded_batch(spark, base), train, val, model, SQ.EC_KNN)
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("p_final").between(0, 1) & F.col("p_opt_final").between(0, 1)).alias("in_range"),
+        F.bool_and(F.size("sources") > 0).alias("has_evidence"))
+
+
+@query("bridge_proxy", ctes=("c360",), sql="""
+SELECT count(*) AS n, true AS in_range, true AS blended, true AS reported FROM c360""")
+def bridge_proxy(spark, base):
+    """An upload of low overlap with a label: a proxy model on its own numbers is blended in."""
+    upload = C.feature_table(spark, base).select(
+        F.col("customer_id").alias("Customer_ID"), F.col("region").alias("Region"), F.col("avg_balance_usd").alias("Zeta"),
+        F.col("feature_adoption_score").alias("Kappa"), F.col("completion_rate").alias("Omikron"), F.col("churned").alias("Churn"))
+    out = FeatureBridge("ecommerce", proxy=MD.train_proxy).transform(upload)
+    main = F.lit(0.5)
+    blended = S.blend_proxy(main, F.col(out.proxy_column), F.lit(out.overlap))
+    report = out.report.select(F.col("proxy_model.used").alias("reported"))
+    return out.df.agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col(out.proxy_column).between(0, 1)).alias("in_range"),
+        F.bool_or(F.abs(blended - main) > 1e-6).alias("blended")).join(report)
+
+
+def one_flag(spark, holds: bool):
+    return spark.createDataFrame([(holds,)], "in_range boolean")
+
+
+@query("actionable_weight", sql="SELECT true AS in_range")
+def actionable_weight(spark, base):
+    """Share of the importance that the industry's actionable feature holds."""
+    weight = MD.actionable_weight(MD.importance_table(spark, stacked(spark, base)), "cart_abandon_rate")
+    return one_flag(spark, 0 <= weight <= 100)
+
+
 TRIALS = 3
 
 
