@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 
 from tidemark import api
 from tidemark.operators import lifecycle as L
+from tidemark.operators.bridge import FeatureBridge
+from tidemark.operators.preprocess import Preprocessor
+from tidemark.operators.serving import score_upload
+from tidemark.operators.splitting import kfold, stratified_split
 from tidemark.plans.scoring_queries import ecommerce_risk, reference_rows
 from tidemark.sources import tables as TB
 
@@ -34,6 +38,31 @@ def test_train_industry_end_to_end(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "retail" / "quantiles")).count() == 4
 
 
+def test_uploads_with_text_ids_and_without_ids(spark, base):
+    columns = "Tenure string, Contract string, Recency string, Orders string"
+    rows = [("3", "month_to_month", "400", "0"), ("40", "annual", "Infinity", "3000000000"), (None, "x7", "", "7")]
+    references = reference_rows(spark, base, "train"), reference_rows(spark, base, "val"), ecommerce_risk
+    named = spark.createDataFrame([(f"{i}-VHVEG", *r) for i, r in enumerate(rows)], "customerID string, " + columns)
+    out = score_upload(named, *references, bridge=FeatureBridge("ecommerce"))[1].collect()
+    assert {r.customer_id for r in out} == {f"{i}-VHVEG" for i in range(3)} and all(len(r.sources) == 3 for r in out)
+    plain = score_upload(spark.createDataFrame(rows, columns), *references, bridge=FeatureBridge("ecommerce"))[1]
+    assert plain.count() == 3 and sorted(r.p_final for r in plain.collect()) == sorted(r.p_final for r in out)
+
+
+def test_keys_of_any_kind_split_and_fold(spark):
+    df = spark.createDataFrame([(str(k), i % 2) for i, k in enumerate([4_000_000_000, -7, 2 ** 62, "7590-VHVEG", "x", 5, 6, 8, 9, 10] * 3)],
+                               "key string, churned int").distinct()
+    for rows in (df, df.where("key rlike '^-?[0-9]+$'").withColumn("key", F.col("key").cast("bigint"))):
+        assert stratified_split(rows, "key", "churned").groupBy("part").count().count() == 2
+        assert kfold(rows, "key", "churned", 3).count() == rows.count()
+
+
+def test_broken_numbers_do_not_stop_training(spark):
+    df = spark.createDataFrame([("1", "a"), ("x7", None), ("3", "a"), ("Infinity", "b")], "num string, cat string")
+    model = Preprocessor(numericCols=["num"], categoricalCols=["cat"]).fit(df)
+    assert [round(r.num, 3) for r in model.transform(df).collect()] == [-1.414, 0.0, 1.414, 0.0]
+
+
 def test_ingest_needs_a_target(spark):
     with pytest.raises(ValueError):
         L.ingest(spark.createDataFrame([(1, 2)], "key bigint, tenure int"), "retail", "key")

@@ -15,7 +15,7 @@ from tidemark.operators import knn as K
 from tidemark.operators import preprocess as PP
 from tidemark.operators import scoring as SC
 from tidemark.operators.bridge import Bridged, FeatureBridge
-from tidemark.session import pin
+from tidemark.session import materialize, pin
 
 EVIDENCE = ["segment", "tenure", "contract", "monthly_charges", "detail", "churned_text"]
 
@@ -40,9 +40,11 @@ def score_upload(upload: DataFrame, train: DataFrame, val: DataFrame, scorer: Ca
     """Align, clean, score, attach sets, evidence and the what-if; one lazy table of rows.
 
     ``train`` and ``val`` are cleaned rows of the detected industry with ``key`` and
-    ``churned``; ``features`` span the retrieval space (all numeric ones by default).  The
-    upload needs a column that maps to ``key``.
+    ``churned``; ``features`` span the retrieval space (all numeric ones by default).  Ids of
+    any type will do; an upload without one is numbered by row and written, so that the numbers stay.
     """
+    if not any(catalog.clean(h) in catalog.true_id_words() for h in upload.columns):
+        upload = materialize(upload.withColumn(key, F.monotonically_increasing_id()), "numbered-upload")
     bridged = (bridge or FeatureBridge()).transform(upload)
     ind = bridged.industry
     proxy = [bridged.proxy_column] if bridged.proxy_column else []
