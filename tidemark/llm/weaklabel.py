@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import bytes_of, materialize, slices
 from tidemark.llm.features import SHARES, rows_of
@@ -28,7 +29,7 @@ LABELLERS = (
 )
 BUCKETS = 1 << 13
 #: Documents that the scorer is fitted on, at most.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 ROUNDS = 200
 #: Share of good labelled rows that the scorer may reject at most.
 LOSS = 0.005
@@ -200,22 +201,15 @@ def kept_documents(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc
                    fit_rows: int = FIT_ROWS, loss: float = LOSS) -> DataFrame:
     """The documents that the scorer does not reject, with all their columns."""
     weights = fitted(docs, labels, fit_rows, id_col, text_col)
-    at = docs.columns.index(text_col)
-
-    def score(batches) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(badness(weights, bytes_of(batch.column(1))))], names=["doc_id", "score"])
-
-    limit = 0.5
-    if labels is not None:
-        known = labels.select(F.col("doc_id").alias("_labelled")).where("_labelled is not null").distinct()
-        some = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(
-            known, F.col("_id") == F.col("_labelled"), "left_semi")
-        limit = limit_of(some.mapInArrow(score, "doc_id long, score double"), labels, loss)
+    names = docs.columns
+    at, spare = names.index(text_col), "_".join([*names, "score"])  # longer than any column's name
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
-            good = badness(weights, bytes_of(batch.column(at))) < limit
-            yield batch.filter(pa.array(good))
+            scores = pa.array(badness(weights, bytes_of(batch.column(at))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*names, spare])
 
-    return docs.mapInArrow(run, docs.schema)
+    # every document is scored once and written with its score, which the threshold then reads
+    scored = materialize(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(spare, T.DoubleType())])), "scored")
+    limit = limit_of(scored.select(F.col(id_col).cast("long").alias("doc_id"), F.col(spare).alias("score")), labels, loss)
+    return scored.where(F.col(spare) < F.lit(limit)).select(*names)
