@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import materialize as written
 
 #: Ranges an exact distributed rank counts rows by; its one-task prefix sum reads at most this many rows a group.
 RANK_BUCKETS = 1024
 
-__all__ = ["RANK_BUCKETS", "boxed", "bytes_of", "discard", "materialize", "ranked", "slices", "table", "unboxed"]
+__all__ = ["RANK_BUCKETS", "boxed", "bytes_of", "discard", "materialize", "ranked", "slices", "small_batches", "table", "unboxed"]
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -47,6 +48,26 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str, buckets: int
             .drop("_bucket", "_before"))
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``SLICE_BYTES`` instead of ten thousand rows, for the jobs that run inside."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(SLICE_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back, with batches of texts kept small."""
+    with small_batches(df.sparkSession):
+        return written(df, name)
+
+
 def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
     """The rows as one struct ``doc`` beside named keys, so that no column of theirs can clash; ``unboxed`` undoes it."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[k.alias(n) for n, k in keys.items()])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bytes_of, materialize, slices
+from tidemark.llm.common import bytes_of, materialize, slices, small_batches
 from tidemark.llm.tokens import load, unload
 from tidemark.session import scratch_path
 
@@ -189,7 +189,8 @@ def id_counts(tokens: DataFrame) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
     found = tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return {r[0]: r[1] for r in found.collect()}
+    with small_batches(tokens.sparkSession):
+        return {r[0]: r[1] for r in found.collect()}
 
 
 def write_blocks(tokens: DataFrame, frequencies: np.ndarray, path: str) -> None:
@@ -228,7 +229,8 @@ def write_blocks(tokens: DataFrame, frequencies: np.ndarray, path: str) -> None:
     total = tokens.agg(F.sum(F.length("ids"))).first()[0] or 0
     files = max(1, -(-total // FILE_BYTES), min(spark.sparkContext.defaultParallelism * 2, total // 2_000_000))
     spread = tokens.withColumn("_tie", F.xxhash64("ids")).repartitionByRange(int(files), "doc_id", "_tie")
-    spread.sortWithinPartitions("doc_id", "_tie").select("doc_id", "n", "ids").mapInArrow(run, BLOCKS).write.parquet(path)
+    with small_batches(spark):
+        spread.sortWithinPartitions("doc_id", "_tie").select("doc_id", "n", "ids").mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 def read_blocks(spark, path: str, frequencies: np.ndarray) -> DataFrame:
@@ -287,5 +289,5 @@ def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str |
 
 def digest(spark, path: str, frequencies: np.ndarray) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    return _decoded(spark, path, frequencies, False).join(block_starts(spark, path), ["file", "block"]).select(
+    return materialize(_decoded(spark, path, frequencies, False), "token-digest").join(block_starts(spark, path), ["file", "block"]).select(
         "doc_id", (F.col("_start") + F.col("position")).alias("start"), "n_tokens", "ids_crc32")
