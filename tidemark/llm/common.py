@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -48,6 +48,21 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str, buckets: int
             .drop("_bucket", "_before"))
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What a Python worker remembers from task to task: one thing at a time, so that memories do not add up."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget_kept() -> None:
+    _KEPT.clear()
+
+
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -18,6 +18,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from tidemark.llm.common import forget_kept, kept
+
 #: Distinct pieces kept by a Python worker before its memory is emptied and filled anew.
 CACHE_PIECES = 600_000
 #: Bytes of text whose pieces are held at a time.
@@ -35,19 +37,16 @@ def _byte_chars() -> dict[int, str]:
 
 BYTE_CHARS = _byte_chars()
 
-_LOADED: dict[str, "PieceTokenizer"] = {}
 
 
 def load(path: str) -> "PieceTokenizer":
     """The worker's tokenizer for a file; its memory of pieces outlives a task."""
-    if path not in _LOADED:
-        _LOADED[path] = PieceTokenizer(path)
-    return _LOADED[path]
+    return kept(f"tokenizer {path}", lambda: PieceTokenizer(path))
 
 
 def unload() -> None:
     """Give the memory of pieces back: for tasks that do not encode, in workers that have."""
-    _LOADED.clear()
+    forget_kept()
 
 
 class PieceTokenizer:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bytes_of, materialize, slices
+from tidemark.llm.common import bytes_of, kept, materialize, slices
 from tidemark.llm.features import SHARES, rows_of
 from tidemark.llm.rules import calibrated
 
@@ -34,7 +34,7 @@ ROUNDS = 200
 #: Share of good labelled rows that the scorer may reject at most.
 LOSS = 0.005
 #: Words whose features a Python worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def votes(shares: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -112,9 +112,6 @@ class Hasher:
         return seen, np.sqrt(total[seen] / len(words))
 
 
-_HASHER = Hasher()
-
-
 def vote_table(docs: DataFrame, fit_rows: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, pattern, and for the rows of the fitting sample the features: hash, buckets, values."""
     n = docs.count()
@@ -124,7 +121,8 @@ def vote_table(docs: DataFrame, fit_rows: int, id_col: str, text_col: str) -> Da
         for batch in slices(batches, 1):
             texts = bytes_of(batch.column(1))
             counts, shares = rows_of(texts)
-            found = [_HASHER.features(t) if c else None for t, c in zip(texts, batch.column(2).to_pylist())]
+            hasher = kept("hashed words", Hasher)
+            found = [hasher.features(t) if c else None for t, c in zip(texts, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(votes(shares, counts[:, 0])), batch.column(3),
                 pa.array([f and f[0].astype("<i4").tobytes() for f in found], pa.binary()),
@@ -168,8 +166,9 @@ def fitted(docs: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_ROWS,
 
 def badness(weights: np.ndarray, texts: list[bytes]) -> np.ndarray:
     out = np.ones(len(texts))
+    hasher = kept("hashed words", Hasher)
     for i, t in enumerate(texts):
-        b, v = _HASHER.features(t)
+        b, v = hasher.features(t)
         if len(b):
             out[i] = 1 / (1 + np.exp(-np.clip(float(weights[b] @ v) + weights[-1], -40, 40)))
     return out
