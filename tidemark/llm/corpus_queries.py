@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lmscore, mixing, packing, rans, rules, secrets, sharding, simhash, topk, weaklabel
+from tidemark.llm import lmscore, minhash, mixing, packing, rans, rules, secrets, sharding, simhash, topk, weaklabel
 from tidemark.llm.common import table
 
 CONTEXT = 1024
@@ -78,7 +78,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, SHINGLE_WORDS)
+    return minhash.one_of_each_similar(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
