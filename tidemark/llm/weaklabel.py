@@ -33,6 +33,8 @@ FIT_ROWS = 8_000
 ROUNDS = 200
 #: Share of good labelled rows that the scorer may reject at most.
 LOSS = 0.005
+#: Bytes of a word that are looked at as one; a longer one counts as several, so that none of its bytes is unseen.
+PIECE = 64
 #: Words whose features a Python worker keeps.
 CACHE_WORDS = 200_000
 
@@ -72,7 +74,7 @@ def estimate(patterns: dict[int, int], labellers: int = len(LABELLERS), rounds:
 def shape(word: bytes) -> bytes:
     """Runs of small letters, capitals, other letters and digits as one character each; marks stand for themselves."""
     out, last = bytearray(), 0
-    for c in word[:64]:
+    for c in word:
         k = 97 if 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 101 if c >= 128 else c
         if k != last:
             out.append(k)
@@ -95,6 +97,8 @@ class Hasher:
         words = text.split()
         if not words:
             return np.zeros(0, np.int64), np.zeros(0)
+        if max(map(len, words)) > PIECE:
+            words = [w[k:k + PIECE] for w in words for k in range(0, len(w), PIECE)]
         if len(self.code) > CACHE_WORDS:
             self.__init__()
         codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
