@@ -16,8 +16,11 @@ from tidemark.llm.features import SHARES, rows_of
 TREES = 200
 #: Rows a tree is grown from; all trees take ``TREES * TREE_ROWS`` rows at most, those with the smallest hashes.
 TREE_ROWS = 64
-#: The statistics that the forest splits on.
-SPLIT_ON = tuple(SHARES.index(x) for x in ("symbols", "repeats", "upper", "marks"))
+#: Trees over all statistics; as many columns dilute a tree, there are more of them.
+WIDE_TREES = 400
+#: The statistics that are split on, the first ``NARROW`` of them by a forest of their own as well.
+SPLIT_ON = tuple(SHARES.index(x) for x in ("symbols", "repeats", "upper", "marks", "dup_lines", "digits", "top_word", "distinct"))
+NARROW = 4
 #: Ranges of scores by which labelled rows are counted.
 RANGES = 2000
 MIN_WORDS = 50
@@ -105,6 +108,16 @@ class Forest:
         return 2.0 ** (-total / len(self.roots) / max(mean_depth(self.size), 1e-9))
 
 
+class Forests:
+    """A forest over the first ``NARROW`` columns and one over all; a row is as odd as the forest says that finds it odder."""
+
+    def __init__(self, rows: np.ndarray):
+        self.narrow, self.wide = Forest(rows[:, :NARROW]), Forest(rows, WIDE_TREES)
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        return np.maximum(self.narrow.scores(rows[:, :NARROW]), self.wide.scores(rows))
+
+
 def threshold(counts: dict[tuple[int, int], int], ranges: int, loss: float) -> float:
     """The least score to reject from: most bad rows beyond it, less the share of good ones, which is ``loss`` at most.
 
@@ -133,7 +146,7 @@ def calibrated(scored: DataFrame, labels: DataFrame, loss: float, ranges: int =
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   loss: float = LOSS) -> DataFrame:
-    """doc_id, the base statistics, base_failed, kept, anomaly (the forest's score).
+    """doc_id, the base statistics, base_failed, kept, anomaly (the forests' score).
 
     A null or empty text has no words and fails the base rules; repeated rows are judged alike; a
     column of ``docs`` other than id and text plays no part; without labels only the base rules reject.
@@ -144,7 +157,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     share = min(1.0, 2 * TREES * TREE_ROWS / max(1, stats.count()))
     drawn = stats.where("n_words > 0").select("x", F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 40)).alias("h"))
     sample = drawn.where(F.col("h") < int(share * (1 << 40))).orderBy("h").limit(TREES * TREE_ROWS).collect()
-    forest = Forest(np.array([r[0] for r in sample], np.float64).reshape(len(sample), len(SPLIT_ON)))
+    forest = Forests(np.array([r[0] for r in sample], np.float64).reshape(len(sample), len(SPLIT_ON)))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
