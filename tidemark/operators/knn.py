@@ -234,16 +234,16 @@ def _lsh_sides(queries, refs, width, tables, projections, tile_rows):
     return q, r, materialize(plan, "lsh-plan")
 
 
-def knn_join_lsh(queries: DataFrame, refs: DataFrame, k: int = catalog.NEIGHBOURS, exclude_self: bool = False,
-                 width: float = LSH_WIDTH, tables: int = LSH_TABLES, projections: int = LSH_PROJECTIONS,
-                 tile_rows: int = TILE_ROWS, sides=None) -> DataFrame:
-    """(grp, qid, rid, dist, rank), approximate: neighbours that share a bucket of any table, exactly ranked.
+def _packs(plan: DataFrame, tile_rows: int) -> int:
+    """Groups that the tiles of a written plan (grp, cell, n, v) go to, of about four tiles' rows each at any size."""
+    q_parts, r_parts = F.ceil(F.col("v") / tile_rows), F.ceil(F.col("n") / tile_rows)
+    rows = plan.agg(F.sum(F.col("n") * q_parts + F.col("v") * r_parts)).first()[0]
+    return max(256, -(-int(rows or 0) // (4 * tile_rows)))
 
-    ``width`` is in units of the (scaled) vectors.  Buckets of any size are cut into tiles of
-    ``tile_rows`` on both sides, and a tile emits at most ``k`` rows per query, never its pairs.  A query
-    that shares no bucket with a reference has no rows.
-    """
-    q, r, plan = sides or _lsh_sides(queries, refs, width, tables, projections, tile_rows)
+
+def _packed(q: DataFrame, r: DataFrame, plan: DataFrame, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides cut into tiles, with the pack that a tile goes to."""
+    packs = _packs(plan, tile_rows)
     plan = plan.select("grp", "cell", F.ceil(F.col("n") / tile_rows).cast("int").alias("r_parts"),
                        F.ceil(F.col("v") / tile_rows).cast("int").alias("q_parts"))
 
@@ -253,9 +253,23 @@ def knn_join_lsh(queries: DataFrame, refs: DataFrame, k: int = catalog.NEIGHBOUR
             F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1)).alias(other))
 
     # buckets are grouped into fewer, larger groups of rows, so that a group is worth a call
-    spread = F.pmod(F.xxhash64("grp", "cell", "rp", "qp"), F.lit(256)).cast("int")
+    spread = F.pmod(F.xxhash64("grp", "cell", "rp", "qp"), F.lit(packs)).cast("int")
     q_side = tiles(q, "qp", "q_parts", "rp", "r_parts", "qid").withColumn("pack", spread)
     r_side = tiles(r, "rp", "r_parts", "qp", "q_parts", "rid").withColumn("pack", spread)
+    return q_side, r_side
+
+
+def knn_join_lsh(queries: DataFrame, refs: DataFrame, k: int = catalog.NEIGHBOURS, exclude_self: bool = False,
+                 width: float = LSH_WIDTH, tables: int = LSH_TABLES, projections: int = LSH_PROJECTIONS,
+                 tile_rows: int = TILE_ROWS, sides=None) -> DataFrame:
+    """(grp, qid, rid, dist, rank), approximate: neighbours that share a bucket of any table, exactly ranked.
+
+    ``width`` is in units of the (scaled) vectors.  Buckets of any size are cut into tiles of
+    ``tile_rows`` on both sides, and a tile emits at most ``k`` rows per query, never its pairs.  A query
+    that shares no bucket with a reference has no rows.
+    """
+    q, r, plan = sides or _lsh_sides(queries, refs, width, tables, projections, tile_rows)
+    q_side, r_side = _packed(q, r, plan, tile_rows)
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["grp", "cell", "rp", "qp"]
