@@ -124,3 +124,21 @@ def test_probabilities_sum_to_one_and_help(spark):
             p = (counts[(w,)] + 1) / (n + v + 1)
             total += (counts[(context, w)] + lmscore.MU * p) / (counts[(context,)] + lmscore.MU)
         assert total == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_pieces_whatever_was_met_before(name):
+    """Words of a small alphabet, combining marks among it, in random order: a warm memory gives what a cold one does."""
+    import random
+
+    rng = random.Random(7)
+    words = ["".join(rng.choices(["a", "İ", "ß", "é", "̇", "Σ", "ﬁ", ".", ",", "!", "'", "s", "1", "ǅ"], k=rng.randint(1, 5))) for _ in range(3000)]
+    coder = tokens.PieceTokenizer(tokenizer_file(name))
+    for _ in range(3):
+        rng.shuffle(words)
+        texts = [" ".join(words[i:i + 10]) for i in range(0, len(words), 10)]
+        ids, counts = coder.encode([t.encode() for t in texts])
+        at = 0
+        for t, n in zip(texts, counts.tolist()):
+            assert ids[at:at + n].tolist() == coder.library.encode(t, add_special_tokens=False).ids
+            at += n

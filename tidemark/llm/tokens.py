@@ -14,18 +14,22 @@ tokens are ordinary text.
 from __future__ import annotations
 
 import json
+import string
 from itertools import chain, repeat
 
 import numpy as np
 
 from tidemark.llm.common import forget_kept, kept
 
-#: Distinct pieces kept by a Python worker before its memory is emptied and filled anew.
+#: Distinct pieces kept by a Python worker before those met once are forgotten, and learned in one call.
 CACHE_PIECES = 600_000
+LEARN_PIECES = 20_000
 #: Bytes of text whose pieces are held at a time.
 STEP_BYTES = 2_000_000
 
-PUNCTUATION = frozenset([b".", b",", b";", b"!", b"?"])
+
+#: A run of these after letters is a pre-token of its own (an apostrophe may begin a contraction).
+SIGNS = string.punctuation.replace("'", "")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -38,7 +42,6 @@ def _byte_chars() -> dict[int, str]:
 BYTE_CHARS = _byte_chars()
 
 
-
 def load(path: str) -> "PieceTokenizer":
     """The worker's tokenizer for a file; its memory of pieces outlives a task."""
     return kept(f"tokenizer {path}", lambda: PieceTokenizer(path))
@@ -64,18 +67,27 @@ class PieceTokenizer:
         self.kind = "whole"
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") \
                 and not spec.get("normalizer"):
-            self.kind, self.mark, self.join = "spaced", self.library.encode("\n").ids, "\n"
+            self.kind = "spaced"
         elif pre.get("type") == "Sequence" and (split := pre["pretokenizers"][0]).get("behavior") == "Removed" \
                 and split.get("invert") and '"Lowercase"' in json.dumps(spec.get("normalizer")) and r"[^\s\p{L}\p{N}]+" in split["pattern"].get("Regex", ""):
-            self.kind, self.join = "dropped", "\n\ue000\n"
-            self.mark = self.library.encode("\ue000").ids
-        self.signs: dict[bytes, list[int]] = {}
-        self.forget()
+            self.kind = "dropped"
+        self.code: dict[bytes, int] = {}
+        self.start, self.count, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.bad = np.zeros(0, np.uint32), np.zeros(0, bool)
 
     def forget(self) -> None:
-        self.code: dict = {}
-        self.start, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.pool, self.bad = np.zeros(0, np.uint32), np.zeros(1, bool)
+        """Keep the pieces met most often, at most half of what fits; those met once go."""
+        least = 2
+        while (self.met >= least).sum() > CACHE_PIECES // 2:
+            least *= 2
+        keep = np.flatnonzero(self.met >= least)
+        place = np.full(len(self.met), -1, np.int64)
+        place[keep] = np.arange(len(keep))
+        self.code = {p: at for p, c in self.code.items() if (at := int(place[c])) >= 0}
+        n = self.count[keep]
+        first = np.cumsum(n) - n
+        self.pool = self.pool[np.repeat(self.start[keep] - first, n) + np.arange(int(n.sum()))]
+        self.start, self.count, self.bad, self.met = first, n, self.bad[keep], np.zeros(len(keep), np.int64)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many belong to each text."""
@@ -120,6 +132,7 @@ class PieceTokenizer:
         if len(missed):
             self._learn(list(dict.fromkeys(pieces[i] for i in missed.tolist())))
             codes[missed] = [self.code[pieces[i]] for i in missed.tolist()]
+        self.met += np.bincount(codes, minlength=len(self.met))
         of = np.repeat(np.arange(len(texts)), lengths)
         for i in np.unique(of[self.bad[codes]]).tolist():
             odd[i] = np.zeros(0, np.uint32)
@@ -146,80 +159,52 @@ class PieceTokenizer:
     def _learn(self, new: list[bytes]) -> None:
         """Encode pieces not met before.
 
-        A piece that is one pre-token of letters goes straight to the library's BPE model, with a
-        trailing mark of punctuation apart, which is a pre-token of its own.  Other pieces are
-        joined by a mark whose ids nothing else yields.
+        A piece that, normalised, is one run of letters is one pre-token and goes straight to the library's model, once
+        for all pieces with that run; the signs after it are a pre-token of their own.  The others are encoded as
+        sequences of their own, thousands in one call of the library.
         """
-        spaced = self.kind == "spaced"
-        known: dict[bytes, list[int] | np.ndarray] = {}
-        stems: dict[bytes, list[int]] = {}
-        plain, alone, bad = [], [], []
-        normal = self.library.normalizer
-        model = self.library.model.tokenize
-
-        def letters(piece: bytes, body: bytes) -> list[int] | None:
-            if (ids := stems.get(piece)) is not None:
-                return ids
-            if (c := self.code.get(piece)) is not None and not self.bad[c]:
-                return self.pool[self.start[c]:self.start[c] + self.count[c]].tolist()
-            if not body.isalpha():
-                if body.isascii() or not body.decode().isalpha():
-                    return None
-                if normal is not None:
-                    piece = normal.normalize_str(piece.decode()).encode()
-                    if not piece.decode().isalpha():
-                        return None
-            ids = stems[piece] = [t.id for t in model(piece.decode("latin-1").translate(BYTE_CHARS))]
-            return ids
-
-        for p in new:
-            body = p[1:] if spaced and p[:1] == b" " else p
-            ids = letters(p, body)
-            if ids is None and len(body) > 1 and body[-1:] in PUNCTUATION and body[:-1].decode()[-1:].isalpha():
-                ids = letters(p[:-1], body[:-1])
-                if ids is not None:
-                    ids = ids + self._mark(body[-1:])
-            if ids is not None:
-                known[p] = ids
-                continue
-            text = p.decode()
-            if spaced and text not in ("", "\n") and body.decode().split() != [body.decode()]:
-                bad.append(p)
-            elif text in ("", "\n") or "\ue000" in text:
-                alone.append(p)
-            else:
-                plain.append(p)
-        for k in range(0, len(plain), 20_000):
-            some = plain[k:k + 20_000]
-            ids = np.array(self.library.encode(self.join.join([p.decode() for p in some]),
-                                               add_special_tokens=False).ids, np.uint32)
-            m = len(self.mark)
-            hit = np.ones(max(0, len(ids) - m + 1), bool)
-            for j, x in enumerate(self.mark):
-                hit &= ids[j:len(ids) - m + 1 + j] == x
-            at = np.flatnonzero(hit)
-            if len(at) == len(some) - 1:
-                parts = [ids[a:b] for a, b in zip([0, *(at + m).tolist()], [*at.tolist(), len(ids)])]
+        texts = [p.decode() for p in new]
+        normal, lead = texts, [""] * len(texts)
+        if self.kind == "spaced":
+            lead = [" " if t[:1] == " " else "" for t in texts]
+            normal = [t[len(a):] for t, a in zip(texts, lead)]
+        elif self.library.normalizer is not None:
+            normal = self.library.normalizer.normalize_str(" ".join(texts)).split(" ")
+            if len(normal) != len(texts):  # white space inside a piece
+                normal = [self.library.normalizer.normalize_str(t) for t in texts]
+        found: list = [None] * len(new)
+        stems: dict[str, list[int]] = {}
+        tails: dict[str, list[int]] = {}
+        model, rest, bad = self.library.model.tokenize, [], np.zeros(len(new), bool)
+        for i, (t, before) in enumerate(zip(normal, lead)):
+            stem = t.rstrip(SIGNS)
+            if stem.isalpha():
+                ids = stems.get(before + stem)
+                if ids is None:
+                    ids = stems[before + stem] = [x.id for x in model((before + stem).encode().decode("latin-1").translate(BYTE_CHARS))]
+                if len(stem) < len(t):
+                    signs = t[len(stem):]
+                    if signs not in tails:
+                        tails[signs] = self.library.encode(signs, add_special_tokens=False).ids
+                    ids = ids + tails[signs]
+                found[i] = ids
+            elif self.kind == "spaced" and texts[i] not in ("", "\n") and t.split() != [t]:
+                # other white space inside a piece may belong to a run that the cuts have split: its text is encoded whole
+                bad[i], found[i] = True, []
             else:
-                parts = self._whole(some)
-            known.update(zip(some, parts))
-        if alone:
-            known.update(zip(alone, self._whole(alone)))
-        for p, ids in stems.items():
-            known.setdefault(p, ids)
-        for p in bad:
-            known[p] = []
-        fresh = [p for p in known if p not in self.code]
+                rest.append(i)
+        for k in range(0, len(rest), LEARN_PIECES):
+            some = rest[k:k + LEARN_PIECES]
+            own = self.library.encode([texts[i] for i in some], is_pretokenized=True, add_special_tokens=False)
+            ids = own.ids
+            ends = np.cumsum(np.bincount(np.array(own.word_ids, np.int64), minlength=len(some))).tolist()
+            for i, a, b in zip(some, [0, *ends], ends):
+                found[i] = ids[a:b]
+        n = np.fromiter(map(len, found), np.int64, len(found))
         base, first = len(self.start), len(self.pool)
-        n = np.array([len(known[p]) for p in fresh], np.int64)
-        self.code.update(zip(fresh, range(base, base + len(fresh))))
+        self.code.update(zip(new, range(base, base + len(new))))
         self.start = np.concatenate([self.start, first + np.cumsum(n) - n])
         self.count = np.concatenate([self.count, n])
-        marked = set(bad)
-        self.bad = np.concatenate([self.bad, np.array([p in marked for p in fresh], bool)])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(known[p] for p in fresh), np.uint32, int(n.sum()))])
-
-    def _mark(self, sign: bytes) -> list[int]:
-        if sign not in self.signs:
-            self.signs[sign] = self.library.encode(sign.decode(), add_special_tokens=False).ids
-        return self.signs[sign]
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.bad = np.concatenate([self.bad, bad])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))])
