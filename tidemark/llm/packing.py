@@ -66,7 +66,27 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, id_co
 
 
 def plan(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and how many sequences follow each; every piece of the histogram is used once."""
+    """Patterns and how many sequences follow each; every piece of the histogram is used once.
+
+    Exact fills may spend short pieces that the rest would have needed, so the histogram is planned with fills of up
+    to three, two and one pieces, for all pieces or only for long ones, and the plan with the fewest sequences is kept.
+    """
+    least = -(-sum(k * n for k, n in histogram.items()) // limit)
+    found: list[tuple[tuple[int, ...], int]] | None = None
+    fewest = 0
+    for most in (3, 2, 1, 0):
+        for shortest in (1, limit // 2 + 1, limit * 3 // 4 + 1) if most else (1,):
+            own = _plan(histogram, limit, most, shortest)
+            n = sum(times for _, times in own)
+            if found is None or n < fewest:
+                found, fewest = own, n
+            if fewest == least:
+                return found
+    return found or []
+
+
+def _plan(histogram: dict[int, int], limit: int, most: int, shortest: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan whose exact fills take up to ``most`` pieces beside one of at least ``shortest``."""
     left = np.zeros(limit + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -83,17 +103,17 @@ def plan(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], i
             done.append((lengths, times))
 
     use(limit)
-    for a in range(limit - 1, 0, -1):
+    for a in range(limit - 1, shortest - 1, -1):
         gap = limit - a
-        if left[a] and gap <= a:
+        if most and left[a] and gap <= a:
             use(a, gap)
-        if left[a]:
+        if most > 1 and left[a]:
             low = np.arange(max(1, gap - a), gap // 2 + 1)
             for b in low[(left[low] > 0) & (left[gap - low] > 0)].tolist() if len(low) else []:
                 use(a, gap - b, b)
                 if not left[a]:
                     break
-        if left[a]:
+        if most > 2 and left[a]:
             some = np.flatnonzero(left[:min(a, gap) + 1])
             for b in some[::-1].tolist():
                 rest = gap - b
