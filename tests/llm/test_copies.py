@@ -126,3 +126,16 @@ def test_top_k_of_awkward_vectors(spark, monkeypatch):
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, k=3)
     assert sorted(map(tuple, got.collect())) == brute(plain, 3)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_top_k_of_huge_and_mixed_components(spark):
+    """Scores beyond 64 bits are the nearest 64-bit number; the others stay exact."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** int(rng.choice([-2, 0, 5, 9, 14, 30, 300]))).tolist()) for i in range(90)]
+    whole = {i: [int(np.floor(x * 256.0)) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 90, 10):
+        score = {i: max(topk.LEAST, min(topk.MOST, sum(a * b for a, b in zip(whole[q], whole[i])))) for i in whole if i != q}
+        want += [(q, r, i, score[i]) for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 10 == 0).collect())) == sorted(want)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
-from tidemark.llm.topk import usable
+from tidemark.llm.topk import LEAST, MOST, exact_scores, usable, whole
 
 SHARD_ROWS = 16_384
 BUCKET_ROWS = 2048
@@ -34,34 +34,6 @@ FOCUS = 4
 FAN_IN = 32
 #: Slack of a feasible range against rounding.
 SLACK = 1e-6
-LEAST, MOST = -(1 << 63), (1 << 63) - 1
-#: Sums of products up to this size are whole numbers in double precision.
-EXACT = float(1 << 53)
-
-
-def whole_steps(x: Column, scale: int) -> Column:
-    """floor(scale * x) of each component as a double, which holds it exactly."""
-    def one(v: Column) -> Column:
-        y = v.cast("double") * F.lit(float(scale))
-        return F.when(F.abs(y) < F.lit(EXACT), F.floor(y).cast("double")).otherwise(y)  # larger ones are whole already
-
-    return F.transform(x, one)
-
-
-def exact_scores(rows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """Integer inner products, exact; those beyond 64 bits become the nearest 64-bit number."""
-    if not len(rows):
-        return np.zeros(0, np.int64)
-    bound = float(np.abs(anchor).max(initial=0)) * anchor.size
-    large = np.abs(rows).max(axis=1, initial=0) * bound >= EXACT
-    if not large.any():
-        return (rows @ anchor).astype(np.int64)
-    out = np.zeros(len(rows), np.int64)
-    out[~large] = (rows[~large] @ anchor).astype(np.int64)
-    own = [int(x) for x in anchor.tolist()]
-    for i in np.flatnonzero(large).tolist():
-        out[i] = min(MOST, max(LEAST, sum(int(x) * y for x, y in zip(rows[i].tolist(), own))))
-    return out
 
 
 def lengths(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +182,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"),
                          is_anchor.alias("is_anchor"), v.alias("v")).where(
         F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")))
-    own = materialize(own.select("id", "label", "is_anchor", whole_steps(F.col("v"), scale).alias("v"), F.size("v").alias("dims"))
+    own = materialize(own.select("id", "label", "is_anchor", whole(F.col("v"), scale).alias("v"), F.size("v").alias("dims"))
                       .withColumn("key", F.xxhash64("id", "label", "v")), "vectors")
     n = own.count()
     asked = own.where("is_anchor").select("key", "id", "label", "v", "dims").dropDuplicates(["key"])
