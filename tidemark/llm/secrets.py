@@ -1,8 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Every whole text is scanned once for candidate credentials.  Each candidate value is hashed, and over
-the corpus its distinct repositories and distinct owners are counted: a value that many owners publish
-is a widely copied example, one that stays with its owner and looks random is a live credential.
+the corpus its distinct repositories and distinct owners are counted.  A repository is a document (copies of one
+text are one), unless a column names it; the owner is its source.  A value that many owners publish, or that one
+owner's documents repeat again and again, is a widely copied example; one that stays within few documents of its
+owner and looks random is a live credential.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,14 +29,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: The kinds that ownership decides on: longer runs of the characters credentials are written in, private
 #: keys, and passwords inside addresses.
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END [A-Z ]{0,20}PRIVATE KEY-----")
-URL = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D/:@]{1,64}:([^\x20\x09-\x0D/@]{6,128})@")
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END [A-Z ]*PRIVATE KEY-----")
+URL = re.compile(r"(?<=[a-z0-9+.-])://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/@]{6,})@")
 KINDS = ("assign", "access", "hex", "blob", "pem", "url")
 BASE = KINDS[:3]
 
-#: A value owned by at most so many is owner-specific.
+#: A value of at most so many owners, and in at most so many repositories, is owner-specific.
 LIVE_OWNERS = 2
-LIVE_REPOSITORIES = 4
+LIVE_REPOSITORIES = 8
+#: A value with more than this share of all spans is met by broadcast; there are at most as many as its inverse.
+HOT_SHARE = 1 / 1024
 #: Bits of entropy per character that a random-looking value has at least.
 RANDOM_BITS = 2.5
 
@@ -57,9 +63,12 @@ def scan(text: str) -> list[tuple[str, int, int, str]]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end(), m.group()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end(), m.group()) for m in HEX.finditer(text)]
-    base = [(a, b) for _, a, b, _ in found]
-    found += [("blob", m.start(), m.end(), m.group()) for m in BLOB.finditer(text)
-              if looks_random(m.group()) and not any(a < m.end() and m.start() < b for a, b in base)]
+    starts = sorted(a for _, a, _, _ in found)
+    reach = list(accumulate((b for _, _, b, _ in sorted(found, key=lambda x: x[1])), max))  # the farthest end so far
+    for m in BLOB.finditer(text):
+        before = bisect_left(starts, m.end())  # base spans that begin before the blob ends
+        if not (before and reach[before - 1] > m.start()) and looks_random(m.group()):
+            found.append(("blob", m.start(), m.end(), m.group()))
     if "-----BEGIN" in text:
         found += [("pem", m.start(), m.end(), m.group()) for m in PEM.finditer(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -70,8 +79,9 @@ FOUND = ("row long, doc_id long, repository string, owner string, key long, "
          "spans array<struct<kind: string, start: bigint, end: bigint, value: string, random: boolean>>")
 
 
-def candidates(docs: DataFrame, repository_col: str, owner_col: str, id_col: str, text_col: str) -> DataFrame:
+def candidates(docs: DataFrame, repository_col: str | None, owner_col: str, id_col: str, text_col: str) -> DataFrame:
     """Each document with its candidates; values are kept as digests."""
+    repository = F.xxhash64(text_col) if repository_col is None else F.col(repository_col)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -86,7 +96,7 @@ def candidates(docs: DataFrame, repository_col: str, owner_col: str, id_col: str
                                              names=["row", "doc_id", "repository", "owner", "key", "spans"])
 
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(repository_col).cast("string").alias("repository"),
+        F.col(id_col).cast("long").alias("doc_id"), repository.cast("string").alias("repository"),
         F.col(owner_col).cast("string").alias("owner"), F.xxhash64(text_col).alias("key"),
         F.col(text_col).alias("text")).mapInArrow(run, FOUND)
 
@@ -99,7 +109,19 @@ def ownership(found: DataFrame) -> DataFrame:
                                        F.count_distinct("repository").alias("repositories"), F.sum("n").alias("documents"))
 
 
-def find_secrets(docs: DataFrame, repository_col: str = "source", owner_col: str = "source",
+def with_ownership(spans: DataFrame, values: DataFrame) -> DataFrame:
+    """Spans with the counts of their value.
+
+    Values in a share of all spans are broadcast, at most ``1 / HOT_SHARE`` of them; the others meet in a shuffle.
+    """
+    total = values.agg(F.sum("documents")).first()[0] or 0
+    hot = F.col("documents") > F.lit(total * HOT_SHARE)
+    met = spans.join(F.broadcast(values.where(hot)), "value", "left")
+    rare = met.where(F.col("documents").isNull()).select(*spans.columns).join(values.where(~hot), "value")
+    return met.where(F.col("documents").isNotNull()).unionByName(rare)
+
+
+def find_secrets(docs: DataFrame, repository_col: str | None = None, owner_col: str = "source",
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (hash of the text), spans: kind, start, end, value, owners, repositories, live.
 
@@ -111,7 +133,7 @@ def find_secrets(docs: DataFrame, repository_col: str = "source", owner_col: str
     found = materialize(candidates(docs, repository_col, owner_col, id_col, text_col), "candidates")
     values = materialize(ownership(found), "ownership")
     some = found.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    judged = some.join(values, "value").withColumn(
+    judged = with_ownership(some, values).withColumn(
         "live", F.col("random") & (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES))
     kept = judged.where(F.col("kind").isin(*BASE) | F.col("live"))
     kinds = F.array(*map(F.lit, KINDS))
@@ -122,7 +144,7 @@ def find_secrets(docs: DataFrame, repository_col: str = "source", owner_col: str
         "doc_id", "key", F.coalesce("spans", F.array()).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", repository_col: str = "source", owner_col: str = "source",
+def redact(docs: DataFrame, mark: str = "[SECRET]", repository_col: str | None = None, owner_col: str = "source",
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the values of live spans replaced by ``mark``; widely copied examples stay.
 
