@@ -189,29 +189,61 @@ def answer(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class BackoffAutomaton:
-    """The states and arcs that one block's documents meet."""
-
-    def __init__(self, totals: np.ndarray, train_tokens: int, train_words: int, mu: float = MU):
-        self.totals, self.mu = totals, mu
-        self.floor = train_tokens + train_words + 1
-        self.failure = np.log10(mu / (totals + mu))  # of the state of each n-gram
-
-    def walk(self, index: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token, by the model and by words alone.
-
-        The state before a token is the longest counted context, so a left-to-right walk over all
-        documents of a block needs no step to wait for the one before, and goes as vectors: from
-        the root arc upwards, a state either has the token's arc or lends its failure weight.
-        """
-        base = np.log10((self.totals[index[0]] + 1) / self.floor)
-        score = base.copy()
-        for k in range(1, len(index)):
-            here = np.flatnonzero(index[k] >= 0)
-            context = index[k - 1][here - 1]
-            seen = self.totals[index[k][here]]
-            arc = np.log10((seen + self.mu * 10.0 ** score[here]) / (self.totals[context] + self.mu))
-            score[here] = np.where(seen > 0, arc, score[here] + self.failure[context])
-        return score, base
+    """The states and arcs that one block's documents meet.
+
+    State 0 is the root, state ``d + 1`` the counted n-gram ``d`` as a context.  Each counted n-gram (and each word)
+    is an arc: from the state of its words but the last, over the last word, to the longest counted context that its
+    words end in.  A failure arc leads from a state to the one without its first word.
+    """
+
+    def __init__(self, index: list[np.ndarray], codes: np.ndarray, words: int, totals: np.ndarray, train_tokens: int,
+                 train_words: int, mu: float = MU):
+        n, self.words = len(totals), max(1, words)
+        self.base = np.log10((totals + 1) / (train_tokens + train_words + 1))  # of the n-grams of one word
+        chance = np.zeros(n)
+        target, failure = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
+        keys, arcs = [], []
+        for k, own in enumerate(index):
+            there = np.flatnonzero(own >= 0)
+            d, first = np.unique(own[there], return_index=True)
+            at = there[first]
+            if k == 0:
+                chance[d] = 10.0 ** self.base[d]
+                keys.append(codes[at])
+                arcs.append(d)
+            else:
+                shorter, context = index[k - 1][at], index[k - 1][at - 1]
+                chance[d] = (totals[d] + mu * chance[shorter]) / (totals[context] + mu)
+                target[d] = target[shorter]
+                failure[d + 1] = target[shorter]
+                counted = totals[d] > 0
+                keys.append((context[counted] + 1) * self.words + codes[at[counted]])
+                arcs.append(d[counted])
+            if k + 1 < len(index):
+                state = d[totals[d] > 0]
+                target[state] = state + 1
+        self.arcs = dict(zip(np.concatenate(keys).tolist(), np.concatenate(arcs).tolist()))
+        self.weight, self.target, self.failure = np.log10(chance).tolist(), target.tolist(), failure.tolist()
+        self.lent = np.append(0.0, np.log10(mu / (totals + mu))).tolist()
+
+    def traverse(self, codes: np.ndarray, lengths: np.ndarray) -> list[float]:
+        """log10 probability of each document: one walk from left to right that carries the state."""
+        arcs, weight, target, failure, lent, words = self.arcs.get, self.weight, self.target, self.failure, self.lent, self.words
+        out, at = [], 0
+        codes = codes.tolist()
+        for n in lengths.tolist():
+            state, total = 0, 0.0
+            for w in codes[at:at + n]:
+                arc = arcs(state * words + w)
+                while arc is None:  # the root has an arc for every word
+                    total += lent[state]
+                    state = failure[state]
+                    arc = arcs(state * words + w)
+                total += weight[arc]
+                state = target[arc]
+            out.append(total)
+            at += n
+        return out
 
 
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -241,14 +273,15 @@ def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", tex
             grams = Grams(codes_of[0], codes_of[1], lengths, order)
             totals = np.concatenate([loosen(x, "int64") for x in own.sort_values("part")["totals"]])
             index = grams.by_order()
-            by_token, base = BackoffAutomaton(totals, tokens, words).walk(index)
+            automaton = BackoffAutomaton(index, codes_of[1].astype(np.int64), len(codes_of[0]), totals, tokens, words)
+            base = automaton.base[index[0]]
             starts = np.cumsum(lengths) - lengths
             ids, there = loosen(row["docs"], "int64"), loosen(row["known"], "uint8")
             found.append(pd.DataFrame({
                 "doc_id": pd.array([i if k else None for i, k in zip(ids.tolist(), there.tolist())], "Int64"),
                 "held_out": loosen(row["trains"], "uint8") == 0, "n_tokens": lengths,
                 "n_known": np.add.reduceat((totals[index[0]] > 0).astype(np.int64), starts), "train_tokens": tokens,
-                "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(by_token, starts)}))
+                "base_score": np.add.reduceat(base, starts), "score": automaton.traverse(codes_of[1], lengths)}))
         return pd.concat(found) if found else pd.DataFrame(columns=[c.split()[0] for c in SCORES.split(", ")])
 
     told = answers.where("block >= 0").select("block", "part", "totals")
