@@ -100,8 +100,17 @@ def test_words_of_long_texts_are_cut_between_pieces(monkeypatch):
 
 
 def test_filter_has_all_it_was_given(spark):
-    rows = [("en", [i * 7919, i]) for i in range(5000)]
-    known = C.filter_of(spark.createDataFrame(rows, "lang string, words array<long>").repartition(3))
-    keys = np.array([r[1] for r in rows], np.int64).view(np.uint64)
-    assert known.has(C.mixed(keys, "en")).all()
-    assert known.has(C.mixed(keys + np.uint64(1), "en")).mean() < 0.1
+    rows = [("en" if i % 2 else "de", i * 7919) for i in range(5000)]
+    known = C.filter_of(C.word_keys(spark.createDataFrame(rows, "lang string, id long").repartition(3)))
+    for lang in ("en", "de"):
+        ids = np.array([i for x, i in rows if x == lang], np.uint64)[:, None]
+        assert known.has(C.mixed(ids, lang)).all()
+        assert known.has(C.mixed(ids + np.uint64(1), lang)).mean() < 0.1
+
+
+def test_words_with_one_id_get_another_seed(spark, monkeypatch):
+    real = C.word_id
+    monkeypatch.setattr(C, "word_id", lambda word, seed: 5 if seed == 0 and word in (b"a", b"b") else real(word, seed))
+    rows = [("en", "a b c a b c"), ("en", "b a. a b")] * 3
+    found = C.collocations(spark.createDataFrame(rows, "lang string, text string"), min_count=3, top=9).collect()
+    assert sorted(map(tuple, found)) == brute(rows, 3, 5, 9)

@@ -3,16 +3,18 @@
 1. ``code_blocks`` reads every text once and writes blocks of word numbers with the words they stand for.
 2. ``word_table`` sums words over all blocks; a word's id is a 64-bit hash, drawn anew with another seed
    should a frequent word share its id with any other word.
-3. ``phrase_counts`` counts phrases, first those of two words, then longer ones.  A task inserts its
-   blocks into a trie of word ids, shallow above and ending in hash containers that burst into a level
-   more when they grow.  A full trie gives whole subtrees away as sorted runs, dealt into slots by the
-   hash of a phrase's first two words; the runs of a slot are merged, a slot of many entries in several
-   pieces, so that no task holds more than ``MERGE_ENTRIES`` and those of the last run.
-4. ``collocations`` scores the frequent phrases by joins.
-
-A phrase can be frequent only if all its words and pairs are.  Frequent words, and then pairs, are
-therefore known to tasks by a filter of bits: it never has more than ``FILTER_BITS``, whatever the
-corpus, and what it lets through in error is counted exactly and falls at the threshold.
+3. ``frequent_pairs`` sums the pairs of frequent words by a short hash: a block tells the hashes it has as a sorted run
+   of small differences, and the runs of a range of hashes are merged.
+4. ``phrase_counts`` counts phrases whose pairs all may be frequent.  A task inserts its blocks into a trie of word
+   ids, shallow above and ending in hash containers that burst into a level more when they grow.  A full trie gives
+   whole subtrees away as sorted runs, dealt into slots by the hash of a phrase's first two words; the runs of a slot
+   are merged, a slot of many entries in several pieces, so that no task holds more than ``MERGE_ENTRIES`` and those of
+   the last run.
+5. ``collocations`` scores the frequent phrases by joins.
+
+A phrase can be frequent only if all its words and pairs are.  Frequent words, and then the hashes of pairs, are
+known to tasks by a filter of bits: it never has more than ``FILTER_BITS``, whatever the corpus, and what it lets
+through in error is counted exactly and falls at the threshold.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bytes_of, discard, materialize, slices, small_batches
 from tidemark.llm.lmscore import loosen, squeeze
+from tidemark.session import pin
 
 MIN_COUNT = 100
 LONGEST = 5
@@ -38,7 +41,7 @@ TOP = 2000
 BLOCK_WORDS = 1 << 20
 TEXT_STEP = 1 << 20
 #: Entries of a trie that make it spill, and of a container that make it burst.
-TRIE_ENTRIES = 800_000
+TRIE_ENTRIES = 500_000
 BURST = 4096
 #: Words of the corpus for each slot of prefixes, and entries that are merged at a time.
 SLOT_WORDS = 1 << 21
@@ -139,7 +142,7 @@ def word_id(word: bytes, seed: int) -> int:
 
 
 def word_table(blocks: DataFrame, seed: int) -> DataFrame:
-    """lang, id, n, word, other: ``other`` differs from ``word`` where two words share an id."""
+    """lang, id, word, n: how often each word occurs in all blocks."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +154,13 @@ def word_table(blocks: DataFrame, seed: int) -> DataFrame:
                      pa.array(np.frombuffer(counts, "<u4").astype(np.int64))], names=["lang", "id", "word", "n"])
 
     rows = blocks.select("lang", "words", "counts").mapInArrow(run, "lang string, id long, word string, n long")
-    return rows.groupBy("lang", "id").agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other"))
+    return rows.groupBy("lang", "id", "word").agg(F.sum("n").alias("n"))
+
+
+def shared_ids(words: DataFrame, min_count: int) -> DataFrame:
+    """Ids of several words of a language that occur often enough together to matter."""
+    return words.groupBy("lang", "id").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).where(
+        (F.col("words") > 1) & (F.col("n") >= min_count))
 
 
 def mixed(columns: np.ndarray, lang: str) -> np.ndarray:
@@ -179,30 +188,96 @@ class Filter:
         return (hit[:len(keys)] & hit[len(keys):]).astype(bool)
 
 
-def filter_of(phrases: DataFrame) -> Filter:
-    """A filter that knows all rows (lang, words) of a table; tasks send the driver at most ``FILTER_BITS`` in all."""
-    n = phrases.count()
+def word_keys(words: DataFrame) -> DataFrame:
+    """key: what a filter knows a word (lang, id) by."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, own in batch.to_pandas().groupby("lang")["id"]:
+                key = mixed(own.to_numpy(np.int64).view(np.uint64)[:, None], lang)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    return words.select("lang", "id").mapInArrow(run, "key long")
+
+
+def filter_of(keys: DataFrame) -> Filter:
+    """A filter that knows all rows of a table of keys; tasks send the driver at most ``FILTER_BITS`` in all."""
+    n = keys.count()
     bits = 1 << 12
     while bits < min(FILTER_BITS, n * ENTRY_BITS):
         bits *= 2
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = batch.to_pandas()
-            for lang, own in table.groupby("lang")["words"]:
-                at = Filter.places(mixed(np.stack(own.to_numpy()).astype(np.int64).view(np.uint64), lang), bits)
-                cells, of = np.unique(at >> np.uint64(6), return_inverse=True)
-                masks = np.zeros(len(cells), np.uint64)
-                np.bitwise_or.at(masks, of, np.uint64(1) << (at & np.uint64(63)))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(masks.view(np.int64))], names=["cell", "mask"])
-
-    found = phrases.select("lang", "words").mapInArrow(run, "cell int, mask long").groupBy("cell").agg(
-        F.bit_or("mask").alias("mask")).toArrow()
+            at = Filter.places(batch.column(0).to_numpy().view(np.uint64), bits)
+            cells, of = np.unique(at >> np.uint64(6), return_inverse=True)
+            masks = np.zeros(len(cells), np.uint64)
+            np.bitwise_or.at(masks, of, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(masks.view(np.int64))], names=["cell", "mask"])
+
+    found = keys.select("key").mapInArrow(run, "cell int, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
     cells = np.zeros(bits // 64, np.uint64)
     cells[found.column("cell").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
     return Filter(cells)
 
 
+class Coded:
+    """A block opened: word numbers in order, the id of each number, and which numbers a filter knows."""
+
+    def __init__(self, lang: str, words: bytes, ids: bytes, seed: int, known: Filter):
+        own = words.split(b" ") if words else []
+        names = np.fromiter((word_id(w, seed) for w in own), np.uint64, len(own))
+        self.lang, self.names = lang, np.append(np.uint64(0), names)
+        self.known = np.append(False, known.has(mixed(names[:, None], lang)))
+        self.ids = loosen(ids, "<u4").astype(np.int64)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where pairs of known words begin, and a number for each pair."""
+        at = np.flatnonzero(self.known[self.ids[:-1]] & self.known[self.ids[1:]])
+        return at, self.ids[at] * len(self.names) + self.ids[at + 1]
+
+
+def opened(batches, seed: int, known: Filter) -> Iterator[Coded]:
+    for batch in batches:
+        for lang, words, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            yield Coded(lang, words, ids, seed, known)
+
+
+def pair_runs(blocks: DataFrame, seed: int, known: Filter, bits: int, slots: int) -> DataFrame:
+    """slot, keys, counts: each block's pairs of known words by the first ``bits`` bits of their hash, in ascending order."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for block in opened(batches, seed, known):
+            _, code = block.pairs()
+            distinct, counts = np.unique(code, return_counts=True)
+            names = block.names[np.stack([distinct // len(block.names), distinct % len(block.names)], axis=1)]
+            key = mixed(names, block.lang) >> np.uint64(64 - bits)
+            order = np.argsort(key, kind="stable")
+            key, counts = key[order], np.minimum(counts[order], 0xFFFF).astype("<u2")
+            cuts = np.searchsorted((key * np.uint64(slots)) >> np.uint64(bits), np.arange(slots + 1)).tolist()
+            full = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _, _ in full], pa.int32()),
+                 pa.array([squeeze(np.diff(key[a:b], prepend=np.uint64(0))) for _, a, b in full], pa.binary()),
+                 pa.array([squeeze(counts[a:b]) for _, a, b in full], pa.binary())], names=["slot", "keys", "counts"])
+
+    return blocks.select("lang", "words", "ids").mapInArrow(run, "slot int, keys binary, counts binary")
+
+
+def frequent_pairs(runs: DataFrame, min_count: int) -> DataFrame:
+    """key: the hashes whose pairs occur ``min_count`` times between them."""
+    least = min(min_count, 0xFFFF)  # a block's count stops there, which is frequent enough for any threshold up to it
+
+    def merge(own: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.cumsum(loosen(x, "<u8"), dtype=np.uint64) for x in own["keys"]])
+        counts = np.concatenate([loosen(x, "<u2") for x in own["counts"]]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(keys[order]) > 0))
+        often = np.add.reduceat(counts[order], starts) >= least
+        return pd.DataFrame({"key": keys[order][starts][often].view(np.int64)})
+
+    return runs.groupBy("slot").applyInPandas(merge, "key long")
+
+
 WORD = 8  # bytes of a word id in a key
 
 
@@ -311,34 +386,31 @@ def runs_of(lang: str, entries: list[tuple[bytes, int]], slots: int) -> Iterator
             names=RUN_NAMES)
 
 
-def phrases_in(ids: np.ndarray, names: np.ndarray, known: np.ndarray, lang: str, pairs: Filter | None,
-               lengths: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct phrases of a block by length, with their counts: those of known words and, for longer ones, known pairs."""
-    size = np.int64(len(names))
-    ids = ids.astype(np.int64)
-    at = np.flatnonzero(known[ids[:-1]] & known[ids[1:]])  # where a pair begins
-    code = ids[at] * size + ids[at + 1]
-    for n in range(2, lengths.stop):
+def phrases_in(block: Coded, pairs: Filter, bits: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct phrases of a block by length, with their counts: those whose pairs all may be frequent."""
+    at, code = block.pairs()
+    for n in range(2, longest + 1):
         distinct, first, of, counts = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        rows = at[first]
-        phrases = names[ids[rows[:, None] + np.arange(n)]]
-        if n in lengths and len(rows):
-            yield phrases, counts
-        if n + 1 >= lengths.stop:
-            return
-        if n == 2 and pairs is not None:
-            good = pairs.has(mixed(phrases, lang))[of]
-            at, of = at[good], of[good]
-            follows = np.zeros(len(ids) + 1, bool)
+        phrases = block.names[block.ids[at[first][:, None] + np.arange(n)]]
+        if n == 2:
+            good = pairs.has(mixed(phrases, block.lang) >> np.uint64(64 - bits))
+            phrases, counts = phrases[good], counts[good]
+            here = good[of]
+            at, of = at[here], of[here]
+            follows = np.zeros(len(block.ids) + 1, bool)
             follows[at] = True
+        if not len(phrases):
+            return
+        yield phrases, counts
         on = follows[at + n - 1]  # the last two of the longer phrase are a pair as well
         at, of = at[on], of[on]
-        code = of * size + ids[at + n]
+        if n < longest:
+            code = of * len(block.names) + block.ids[at + n]
 
 
-def phrase_runs(blocks: DataFrame, seed: int, words: Filter, pairs: Filter | None, lengths: range, slots: int,
+def phrase_runs(blocks: DataFrame, seed: int, words: Filter, pairs: Filter, bits: int, longest: int, slots: int,
                 trie_entries: int, burst: int) -> DataFrame:
-    """Sorted runs of all phrases of these lengths, as the tasks' tries spill them."""
+    """Sorted runs of all phrases, as the tasks' tries spill them."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
@@ -350,17 +422,13 @@ def phrase_runs(blocks: DataFrame, seed: int, words: Filter, pairs: Filter | Non
                 del tries[lang]
             yield from runs_of(lang, out, slots)
 
-        for batch in batches:
-            for lang, own, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = own.split(b" ") if own else []
-                names = np.fromiter((word_id(w, seed) for w in own), np.uint64, len(own))
-                known = np.append(False, words.has(mixed(names[:, None], lang)))
-                found = loosen(ids, "<u4")
-                for phrases, counts in phrases_in(found, np.append(np.uint64(0), names), known, lang, pairs, lengths):
-                    for a in range(0, len(phrases), trie_entries):  # a trie never holds more than twice its entries
-                        tries.setdefault(lang, HatTrie(burst)).insert(phrases[a:a + trie_entries], counts[a:a + trie_entries])
-                        while sum(t.size for t in tries.values()) > trie_entries:
-                            yield from spill(max(tries, key=lambda k: tries[k].size), trie_entries // 2)
+        for block in opened(batches, seed, words):
+            lang = block.lang
+            for phrases, counts in phrases_in(block, pairs, bits, longest):
+                for a in range(0, len(phrases), trie_entries):  # a trie never holds more than twice its entries
+                    tries.setdefault(lang, HatTrie(burst)).insert(phrases[a:a + trie_entries], counts[a:a + trie_entries])
+                    while sum(t.size for t in tries.values()) > trie_entries:
+                        yield from spill(max(tries, key=lambda k: tries[k].size), trie_entries // 2)
         for lang in list(tries):
             yield from spill(lang, tries[lang].size)
 
@@ -369,7 +437,7 @@ def phrase_runs(blocks: DataFrame, seed: int, words: Filter, pairs: Filter | Non
 
 def merged(runs: DataFrame, min_count: int, merge_entries: int) -> DataFrame:
     """lang, words, f: the frequent phrases of written runs, merged slot by slot."""
-    totals = runs.groupBy("lang", "slot", "length").agg(F.sum("entries").alias("total"))
+    totals = pin(runs.groupBy("lang", "slot", "length").agg(F.sum("entries").alias("total")))
     pieces = F.ceil(F.col("total") / F.lit(merge_entries)).cast("int")
     held = runs.join(totals.select("lang", "slot", "length", pieces.alias("pieces")), ["lang", "slot", "length"])
 
@@ -407,33 +475,27 @@ def merged(runs: DataFrame, min_count: int, merge_entries: int) -> DataFrame:
 
 def phrase_counts(blocks: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, trie_entries: int = TRIE_ENTRIES,
                   burst: int = BURST, merge_entries: int = MERGE_ENTRIES) -> tuple[DataFrame, DataFrame]:
-    """(words, phrases): lang, id, n, word of all words; lang, words (ids), f of phrases of two and more words."""
-    spark = blocks.sparkSession
+    """(words, phrases): lang, id, word, n of all words; lang, words (ids), f of frequent phrases of two and more words."""
     for seed in range(64):
         words = materialize(word_table(blocks, seed), "words")
-        frequent = words.where(F.col("n") >= min_count)
-        if frequent.where("word <> other").isEmpty():
+        if shared_ids(words, min_count).isEmpty():
             break
+        discard(words)
     else:
         raise RuntimeError("no seed keeps the frequent words apart")
     total = words.agg(F.sum("n")).first()[0] or 0
     slots = 16
     while slots * SLOT_WORDS < total:
         slots *= 2
-    known = filter_of(frequent.select("lang", F.array("id").alias("words")))
-    tables = []
-    pairs = None
-    for lengths in (range(2, 3), range(3, longest + 1)):
-        if not len(lengths):
-            continue
-        runs = materialize(phrase_runs(blocks, seed, known, pairs, lengths, slots, trie_entries, burst), "phrase-runs")
-        with small_batches(spark):
-            tables.append(materialize(merged(runs, min_count, merge_entries), "phrases"))
+    bits = min(44, max(28, int(total).bit_length() + 4))
+    known = filter_of(word_keys(words.where(F.col("n") >= min_count)))
+    with small_batches(blocks.sparkSession):
+        runs = materialize(pair_runs(blocks, seed, known, bits, slots), "pair-runs")
+        keys = materialize(frequent_pairs(runs, min_count), "frequent-pairs")
+        discard(runs)
+        runs = materialize(phrase_runs(blocks, seed, known, filter_of(keys), bits, longest, slots, trie_entries, burst), "phrase-runs")
+        phrases = materialize(merged(runs, min_count, merge_entries), "phrases")
         discard(runs)
-        pairs = filter_of(tables[0])
-    phrases = tables[0]
-    for more in tables[1:]:
-        phrases = phrases.unionByName(more)
     return words, phrases
 
 
