@@ -76,4 +76,13 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, None, None), (2, 3.5, "ok")]
     got = TB.first_available(spark, [("csv", str(tmp_path / "none.csv")), ("csv", str(tmp_path / "a.csv"))])
     assert got.columns == ["id", "x", "note"]
+    (tmp_path / "broken.parquet").write_text("this is no such file")
+
+    def refuse(df):
+        raise ValueError("no target column")
+
+    broken = ("parquet", str(tmp_path / "broken.parquet"))
+    assert TB.first_available(spark, [broken, ("csv", str(tmp_path / "a.csv"))]).columns == ["id", "x", "note"]
+    with pytest.raises(FileNotFoundError, match="no target column"):
+        TB.first_available(spark, [broken, ("csv", str(tmp_path / "a.csv"))], refuse)
     assert TB.resolve_data_dir(spark, [str(tmp_path / "none"), str(tmp_path)], env="TIDEMARK_UNSET") == str(tmp_path)

@@ -171,13 +171,28 @@ def schema_align(df: DataFrame, industry: str, keep: Sequence[str] = ()) -> Data
 
 def valid_targets(df: DataFrame, label: str, vocabulary: str = "augment") -> DataFrame:
     """Map label spellings to 0/1 and drop the rows whose label does not map."""
-    return df.withColumn(label, S.map_target_values(F.col(label), vocabulary, "drop")).dropna(subset=[label])
+    return df.withColumn(label, S.map_target_values(F.col(label).cast("string"), vocabulary, "drop")).dropna(subset=[label])
 
 
 def cast_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: S.cast_training_flag(F.col(c)) for c in columns})
 
 
+def flags_or_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Text columns as numbers: by flag words where any value of the column is one, else value by value.
+
+    In a column of flags whatever is no flag word takes the default, numbers too; a column without one is parsed.
+    One aggregate looks at all columns.
+    """
+    def flag(c: str) -> Column:
+        return S.lookup(F.lower(F.trim(F.col(c).cast("string"))), catalog.TRAINING_FLAG_WORDS)
+
+    row = df.agg(*[F.count(flag(c)).alias(c) for c in columns]).first() if columns else {}
+    return df.withColumns({
+        c: F.coalesce((flag(c) if row[c] else S.to_number(F.col(c))).cast("double"), F.lit(float(catalog.DEFAULTS.get(c) or 0)))
+        for c in columns})
+
+
 # ---------------------------------------------------------------------------
 # Overlap and provenance per upload
 # ---------------------------------------------------------------------------

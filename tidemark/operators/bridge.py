@@ -11,6 +11,9 @@ from tidemark import catalog
 from tidemark.functions import scalars as S
 from tidemark.operators import align, matcher
 from tidemark.operators.impute import CorrelationImputer
+from tidemark.session import materialize
+
+ROW = "__row"
 
 
 @dataclass
@@ -43,6 +46,11 @@ class FeatureBridge:
                  imputer: CorrelationImputer | None = None, proxy=None):
         self.industry, self.training, self.imputer, self.proxy = industry, training, imputer, proxy
 
+    def mapping(self, df: DataFrame, keep: tuple[str, ...] = ()) -> dict[str, str]:
+        """The schema's feature for each header that has one, by the industry given."""
+        headers = [c for c in df.columns if c not in keep and catalog.clean(c) not in catalog.target_words()]
+        return matcher.map_columns(df.sparkSession, headers, self.industry)
+
     def transform(self, df: DataFrame, keep: tuple[str, ...] = ()) -> Bridged:
         spark = df.sparkSession
         headers = [c for c in df.columns if c not in keep]
@@ -52,15 +60,19 @@ class FeatureBridge:
         mapping = matcher.map_columns(spark, features, industry)
         if target is not None:
             mapping[target] = "churned"
+        schema = catalog.SCHEMAS[industry]
+        overlap = len(set(mapping.values()) & set(schema)) / len(schema)
+        wants_proxy = overlap < 0.40 and target is not None and self.proxy is not None
+        if wants_proxy:
+            # ids may repeat or be missing: proxy scores find their rows by a number that is written with them
+            df = materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered-upload")
         mapped_df = align.rename_mapped(df, mapping)
         if target is not None:
             mapped_df = mapped_df.withColumn("churned", S.map_target_values(F.col("churned").cast("string")))
         if "signup_year" in mapped_df.columns:
             mapped_df = mapped_df.withColumn("signup_year", S.extract_year(F.col("signup_year")))
-        schema = catalog.SCHEMAS[industry]
         have = set(mapped_df.columns)
         mapped, missing = [c for c in schema if c in have], [c for c in schema if c not in have]
-        overlap = len(mapped) / len(schema)
 
         imputer = self.imputer
         if imputer is None and self.training is not None:
@@ -73,17 +85,14 @@ class FeatureBridge:
         bridged = mapped_df.withColumns(values) if values else mapped_df
 
         proxy_column, auc = None, None
-        if overlap < 0.40 and target is not None and self.proxy is not None:
+        if wants_proxy:
             label = S.map_target_values(F.col(f"`{target}`").cast("string"))
-            skip = {target, *keep, *align.id_like_names(headers)}
+            skip = {target, ROW, *keep, *align.id_like_names(headers)}
             usable = [c for c in align.numeric_names(df) if c not in skip]
-            # an upload without a row key of its own gets one, so that proxy scores find their rows
-            own_key = list(keep) or ([] if "customer_id" not in mapped_df.columns else ["customer_id"])
-            named = {f: h for h, f in mapping.items()}
-            labelled = df.select(*[F.col(f"`{named.get(k, k)}`").alias(k) for k in own_key], label.alias("churned"), *usable)
-            if own_key and align.proxy_gate(labelled.drop(*own_key), "churned", overlap).first().train_proxy:
-                scored, auc = self.proxy(labelled, "churned", usable, own_key)
-                bridged, proxy_column = bridged.join(scored, own_key), "proxy_probability"
+            labelled = df.select(ROW, label.alias("churned"), *usable)
+            if align.proxy_gate(labelled.drop(ROW), "churned", overlap).first().train_proxy:
+                scored, auc = self.proxy(labelled, "churned", usable, [ROW])
+                bridged, proxy_column = bridged.join(scored, ROW, "left"), "proxy_probability"
         extra = [c for c in (*keep, "churned", "customer_id", proxy_column) if c and c in bridged.columns]
         aligned = bridged.select(*extra, *[F.col(c) for c in schema])
         report = self._report(spark, industry, overlap, mapping, mapped, missing, sources, auc)

@@ -89,14 +89,14 @@ def confident_rate(sets: DataFrame, by: Sequence[str]) -> DataFrame:
     return sets.groupBy(*by, "level_pct").agg((F.avg(decided) * 100).alias("confident_rate"))
 
 
-def guardrail(cov: DataFrame) -> DataFrame:
+def guardrail(cov: DataFrame, tolerance: float = catalog.GUARDRAIL) -> DataFrame:
     deviation = F.abs(F.col("coverage") - F.col("level_pct") / 100.0)
-    return cov.withColumns({"deviation": deviation, "passed": stable_round(deviation, 9) <= catalog.GUARDRAIL})
+    return cov.withColumns({"deviation": deviation, "passed": stable_round(deviation, 9) <= tolerance})
 
 
-def require_guardrail(cov: DataFrame) -> None:
+def require_guardrail(cov: DataFrame, tolerance: float = catalog.GUARDRAIL) -> None:
     """Raise when any group and level breaches the guardrail."""
-    bad = guardrail(cov).where(~F.col("passed")).orderBy(F.col("deviation").desc()).limit(5).collect()
+    bad = guardrail(cov, tolerance).where(~F.col("passed")).orderBy(F.col("deviation").desc()).limit(5).collect()
     if bad:
         raise CalibrationQualityError("; ".join(
             f"target coverage {r['level_pct']}%, empirical {r['coverage']:.4f}" for r in bad))

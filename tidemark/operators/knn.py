@@ -204,7 +204,7 @@ def _tiled_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool,
 # ---------------------------------------------------------------------------
 # Approximate join: bucketed random projections with exact re-ranking
 # ---------------------------------------------------------------------------
-LSH_TABLES, LSH_PROJECTIONS, LSH_WIDTH = 16, 3, 4.0
+LSH_TABLES, LSH_PROJECTIONS, LSH_WIDTH = 24, 3, 4.0
 
 
 def _buckets(df: DataFrame, key: str, dims: int, width: float, tables: int, projections: int, seed: int = 17) -> DataFrame:

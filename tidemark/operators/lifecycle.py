@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import traceback
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions import scalars as S
-from tidemark.operators import align, conformal, matcher, metrics, models, profile, splitting
+from tidemark.operators import align, conformal, matcher, metrics, models, profile, serving, splitting
+from tidemark.operators.store import Store, Version
 from tidemark.session import materialize
 from tidemark.sources import tables
 
@@ -86,13 +88,13 @@ def finish(industry, model, val, test, key, trials=(), path=None) -> TrainedIndu
 
 
 def train_all(industries: Sequence[str], train_one: Callable[[str], TrainedIndustry]) -> tuple[dict, dict[str, str]]:
-    """Train every industry; a failure is recorded and does not stop the others."""
+    """Train every industry; a failure is recorded with its traceback and does not stop the others."""
     done, failed = {}, {}
     for industry in industries:
         try:
             done[industry] = train_one(industry)
-        except Exception as error:  # noqa: BLE001
-            failed[industry] = f"{type(error).__name__}: {error}"
+        except Exception:  # noqa: BLE001
+            failed[industry] = traceback.format_exc()
     return done, failed
 
 
@@ -113,10 +115,10 @@ def route_upload(df: DataFrame, filename: str, key: str, label: str = "churned")
 
 def augment(base: str, upload: DataFrame, filename: str, industry: str, key: str,
             refit: Callable[[DataFrame, DataFrame], TrainedIndustry]) -> tuple[dict, TrainedIndustry]:
-    """Extend an industry's training table and refit; nothing is committed unless it passes.
+    """Extend a plain training table and refit; nothing is appended unless the refit passes.
 
-    ``base`` holds the table partitioned by ``part``.  The guardrail runs inside ``refit``
-    on base plus increment, and only then is the increment appended.
+    ``base`` holds the table partitioned by ``part``.  The guardrail runs inside ``refit`` on base plus increment, and
+    only then is the increment appended.  ``augment_store`` also publishes rows, model and serving tables at once.
     """
     spark = upload.sparkSession
     rows = materialize(route_upload(upload, filename, key), "increment")
@@ -127,3 +129,60 @@ def augment(base: str, upload: DataFrame, filename: str, industry: str, key: str
     counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {"industry": industry, "train_records_added": counts.get("train", 0),
             "val_records_added": counts.get("val", 0)}, trained
+
+
+@dataclass
+class Refitted:
+    """A model refitted on a table's rows and how it covers the calibration rows."""
+
+    model: models.StackedModel
+    coverage: DataFrame
+
+
+def refit(industry: str, train: DataFrame, val: DataFrame, key: str, folds: int = 5, params: dict | None = None,
+          tolerance: float = catalog.GUARDRAIL) -> Refitted:
+    """Refit the stack on cleaned ``train`` rows and recalibrate on ``val``; raises where the guardrail is breached."""
+    numeric, categorical = align.feature_types(train.columns, industry)
+    model = models.fit_stack(train, numeric, categorical, key, folds=folds, params=params)
+    scored = materialize(model.probabilities(val).select("churned", "p", F.lit(industry).alias("industry")), "calibration")
+    sets = conformal.prediction_sets(scored, conformal.calibrate(scored, ["industry"]), ["industry"])
+    cover = materialize(conformal.coverage(sets, ["industry"]), "coverage")
+    conformal.require_guardrail(cover, tolerance)
+    return Refitted(model, cover)
+
+
+def training_rows(store: Store, version: Version) -> DataFrame:
+    """All rows (with ``part``) that a version was fitted on: those of its first upload and of each increment."""
+    rows = None
+    for path in version.meta["rows"]:
+        own = store.spark.read.parquet(path)
+        rows = own if rows is None else tables.augmented(rows, own)
+    return rows
+
+
+def augment_store(store: Store, upload: DataFrame, filename: str, industry: str, key: str, batch: str,
+            features: Sequence[str] | None = None, **how) -> tuple[dict, Version]:
+    """Extend an industry's training rows by a labelled upload, refit, recalibrate, and publish all of it or nothing.
+
+    The increment, the model and the serving tables are written into a folder that nothing names yet; only a refit
+    that passes the guardrail is published, with the list of row folders, in one manifest.  A rejected or interrupted
+    upload leaves no trace, a ``batch`` published before is answered from its version and changes nothing, and
+    ``Store.rollback`` brings an earlier version back.  The first upload of an empty store starts the table.
+
+    ``upload`` has ``key``, ``churned`` and columns of the schema; rows without a known label are dropped.  The file's
+    name decides whether rows train, calibrate or are split.  ``how`` goes to ``refit``.
+    """
+    if (done := store.of_batch(batch)) is not None:
+        return done.meta["counts"], done
+    before, folder = store.current(), store.stage()
+    routed = route_upload(upload, filename, key)
+    align.clean_features(routed, industry, [key, "churned", "part"]).write.parquet(f"{folder}/rows")
+    rows = store.spark.read.parquet(f"{folder}/rows")
+    merged = rows if before is None else tables.augmented(training_rows(store, before), rows)
+    train, val = (merged.where(F.col("part") == p).drop("part") for p in ("train", "val"))
+    fitted = refit(industry, train, val, key, **how)
+    state = serving.fit_state(industry, train, val, fitted.model, features, key)
+    n = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {"industry": industry, "train_records_added": n.get("train", 0), "val_records_added": n.get("val", 0)}
+    paths = [*(before.meta["rows"] if before else []), f"{folder}/rows"]
+    return counts, serving.publish_state(store, state, batch, before, {"rows": paths, "counts": counts}, folder)

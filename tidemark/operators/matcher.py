@@ -189,6 +189,33 @@ def detect_industries(headers: DataFrame, scores: DataFrame | None = None) -> Da
         F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def match_details(headers: DataFrame, n: int = 5, matches: DataFrame | None = None) -> DataFrame:
+    """(dataset_id, industry, rank, matched, total_similarity, score, details): all industries, the best first.
+
+    The score is the similarity of the accepted matches times the share of the schema they cover; ``details`` are the
+    first ``n`` of them in header order (header, feature, similarity).  Rows beyond those are cut off before anything is
+    collected, so a wide upload never makes a long list.
+    """
+    spark = headers.sparkSession
+    best = materialize((best_matches(headers) if matches is None else matches).where(
+        F.col("similarity") > catalog.DETECT_THRESHOLD), "best-matches")
+    first = best.withColumn("place", F.row_number().over(Window.partitionBy("dataset_id", "industry").orderBy("pos"))).where(
+        F.col("place") <= n)
+    shown = first.join(headers.select("dataset_id", "pos", "header"), ["dataset_id", "pos"]).groupBy("dataset_id", "industry").agg(
+        F.sort_array(F.collect_list(F.struct("place", "header", "feature", stable_round(F.col("similarity"), 3).alias("similarity")))).alias("details"))
+    sums = best.groupBy("dataset_id", "industry").agg(F.count(F.lit(1)).alias("matched"), F.sum("similarity").alias("total_similarity"))
+    listed = F.array(*[F.struct(F.lit(i).alias("industry"), F.lit(k).alias("industry_pos")) for k, i in enumerate(catalog.INDUSTRIES)])
+    width = F.create_map(*[x for i in catalog.INDUSTRIES for x in (F.lit(i), F.lit(len(catalog.SCHEMAS[i])))])
+    every = headers.select("dataset_id").distinct().select("dataset_id", F.inline(listed))
+    rows = every.join(sums, ["dataset_id", "industry"], "left").join(shown, ["dataset_id", "industry"], "left").withColumns({
+        "matched": F.coalesce("matched", F.lit(0).cast("bigint")), "total_similarity": F.coalesce("total_similarity", F.lit(0.0)),
+        "details": F.transform(F.coalesce("details", F.expr("array()").cast(shown.schema["details"].dataType)),
+                               lambda d: d.dropFields("place"))})
+    rows = rows.withColumn("score", stable_round(F.col("total_similarity") * F.col("matched") / width[F.col("industry")], 9))
+    rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.desc("score"), "industry_pos"))
+    return rows.select("dataset_id", "industry", rank.alias("rank"), "matched", "total_similarity", "score", "details")
+
+
 def column_mapping(headers: DataFrame, industries: DataFrame) -> DataFrame:
     """(dataset_id, pos, header, feature, similarity, method) of the accepted matches.
 

@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier,
 )
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +21,17 @@ from tidemark.functions.scalars import to_number
 from tidemark.operators import metrics
 from tidemark.operators.preprocess import Preprocessor
 from tidemark.operators.splitting import kfold, stratified_split
+from tidemark.operators.target_stats import OrderedLearner
 from tidemark.session import materialize
 
-# Settings used when a model is refitted on augmented data, and the search space.
+# Settings used when a model is refitted on augmented data, and each learner's search space.
 REFIT = {"maxIter": 50, "maxDepth": 4, "stepSize": 0.08, "subsamplingRate": 0.8, "numTrees": 50}
+_ROUNDS, _DEPTH = [50, 100, 150], [3, 4, 5, 6]
+_STEP, _SHARE = [0.05, 0.10, 0.15, 0.20], [0.7, 0.8, 0.9, 1.0]
 SEARCH_SPACE = {
-    "maxIter": [50, 100, 150], "maxDepth": [3, 4, 5, 6], "stepSize": [0.05, 0.10, 0.15, 0.20],
-    "subsamplingRate": [0.7, 0.8, 0.9, 1.0], "numTrees": [50, 100, 150],
+    "gbt": {"maxIter": _ROUNDS, "maxDepth": _DEPTH, "stepSize": _STEP, "subsamplingRate": _SHARE, "featureShare": _SHARE},
+    "rf": {"numTrees": _ROUNDS, "maxDepth": _DEPTH, "subsamplingRate": _SHARE, "featureShare": _SHARE},
+    "encoded": {"maxIter": _ROUNDS, "maxDepth": _DEPTH, "stepSize": _STEP, "subsamplingRate": _SHARE},
 }
 LEARNERS = ("gbt", "rf", "encoded")
 SEED = 42
@@ -47,36 +51,35 @@ def bins_for(df: DataFrame, categorical: Sequence[str]) -> int:
     return int(max(row) * 1.1) + 3
 
 
-def learner(name: str, numeric: Sequence[str], categorical: Sequence[str], label: str, p: dict) -> Pipeline:
+def learner(name: str, numeric: Sequence[str], categorical: Sequence[str], label: str, p: dict, key: str) -> Pipeline | OrderedLearner:
     """One base learner on preprocessed columns.
 
-    ``gbt`` sees one-hot categories, ``rf`` native categorical splits, ``encoded`` target
-    statistics.  Unseen categories are kept as their own level.
+    ``gbt`` sees one-hot categories, ``rf`` native categorical splits, ``encoded`` ordered target statistics of
+    rows with a unique ``key``.  Unseen categories are kept as their own level.
     """
     cat = list(categorical)
     index = [f"__ix_{name}_{c}" for c in cat]
     stages: list = []
-    if cat:
+    if cat and name != "encoded":
         stages.append(StringIndexer(inputCols=cat, outputCols=index, handleInvalid="keep"))
     inputs = list(numeric)
     if cat and name == "gbt":
         hot = [f"__hot_{name}_{c}" for c in cat]
         stages.append(OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True))
         inputs += hot
-    elif cat and name == "encoded":
-        enc = [f"__enc_{name}_{c}" for c in cat]
-        stages.append(TargetEncoder(inputCols=index, outputCols=enc, labelCol=label, targetType="binary",
-                                    handleInvalid="keep", smoothing=1.0))
-        inputs += enc
-    else:
+    elif name != "encoded":
         inputs += index
     stages.append(VectorAssembler(inputCols=inputs, outputCol=f"__vec_{name}"))
     depth = max(2, p["maxDepth"] - 1) if name == "encoded" else p["maxDepth"]
     common = dict(labelCol=label, maxDepth=depth, subsamplingRate=p["subsamplingRate"], seed=SEED)
+    if p.get("featureShare", 1.0) < 1.0:
+        common["featureSubsetStrategy"] = str(p["featureShare"])
     if name == "rf":
         trees = RandomForestClassifier(numTrees=p["numTrees"], maxBins=max(256, p.get("maxBins", 0)), **common)
     else:
         trees = GBTClassifier(maxIter=p["maxIter"], stepSize=p["stepSize"], maxBins=max(64, p.get("maxBins", 0)), **common)
+    if name == "encoded":
+        return OrderedLearner(_named(trees, name), numeric, cat, label, key, f"__enc_{name}_", f"__vec_{name}")
     stages.append(_named(trees, name))
     return Pipeline(stages=stages)
 
@@ -144,20 +147,42 @@ def _parallel(tasks: Sequence[Callable], threads: int) -> list:
         return list(pool.map(lambda t: t(), [inheritable_thread_target(t) for t in tasks]))
 
 
-def fit_stack(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: str,
-              label: str = "churned", folds: int = 5, params: dict | None = None, threads: int = 4) -> StackedModel:
-    """Out-of-fold base probabilities train the combiner; base learners are refitted on all rows.
+def settings(params: dict | None, name: str) -> dict:
+    """One learner's settings: the refit's, then those given to all, then its own."""
+    params = params or {}
+    shared = {k: v for k, v in params.items() if k not in LEARNERS}
+    return {**REFIT, **shared, **params.get(name, {})}
 
-    The preprocessed rows are written once, then read by every fit.
-    """
-    p = {"maxBins": bins_for(df, categorical), **REFIT, **(params or {})}
+
+@dataclass
+class Prepared:
+    """Rows preprocessed once, with folds, as any number of fits read them."""
+
+    preprocessor: object
+    rows: DataFrame
+    numeric: list[str]
+    categorical: list[str]
+    key: str
+    label: str
+    folds: int
+    bins: int
+
+
+def prepare(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: str, label: str = "churned", folds: int = 5) -> Prepared:
     num, cat = list(numeric), list(categorical)
     rows = df.select(key, F.col(label).cast("double").alias(label), *num, *cat)
     pre = Preprocessor(numericCols=num, categoricalCols=cat).fit(rows)
     ready = materialize(kfold(pre.transform(rows), key, label, folds), "stack-rows")
+    return Prepared(pre, ready, num, cat, key, label, folds, bins_for(ready, cat))
+
+
+def fit_prepared(own: Prepared, params: dict | None = None, threads: int = 4) -> StackedModel:
+    """Out-of-fold base probabilities train the combiner; base learners are refitted on all rows."""
+    num, cat, key, label, folds, ready = own.numeric, own.categorical, own.key, own.label, own.folds, own.rows
 
     def fit(name: str, part: DataFrame) -> Callable:
-        return lambda: learner(name, num, cat, label, p).fit(part)
+        p = {"maxBins": own.bins, **settings(params, name)}
+        return lambda: learner(name, num, cat, label, p, key).fit(part)
 
     jobs = [fit(n, ready.where(F.col("fold") != f)) for f in range(folds) for n in LEARNERS]
     jobs += [fit(n, ready) for n in LEARNERS]
@@ -175,7 +200,16 @@ def fit_stack(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                               probabilityCol="__prob_meta", rawPredictionCol="__raw_meta",
                               regParam=1.0 / max(1, oof.count()), standardization=False).fit(vec.transform(oof))
     base = dict(zip(LEARNERS, fitted[-len(LEARNERS):]))
-    return StackedModel(pre, base, meta, num, cat)
+    return StackedModel(own.preprocessor, base, meta, num, cat)
+
+
+def fit_stack(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: str,
+              label: str = "churned", folds: int = 5, params: dict | None = None, threads: int = 4) -> StackedModel:
+    """The stack of all learners; the preprocessed rows are written once, then read by every fit.
+
+    ``params`` are settings of all learners, or of one under its name.
+    """
+    return fit_prepared(prepare(df, numeric, categorical, key, label, folds), params, threads)
 
 
 def auc_of(df: DataFrame, score: str, label: str) -> float:
@@ -184,45 +218,94 @@ def auc_of(df: DataFrame, score: str, label: str) -> float:
 
 
 def random_trials(n: int, seed: int = SEED, space: dict | None = None) -> list[dict]:
+    """Settings drawn from a space: of each learner from its own, or of all from one flat space."""
     rng = random.Random(seed)
-    return [{k: rng.choice(v) for k, v in (space or SEARCH_SPACE).items()} for _ in range(n)]
+    space = space or SEARCH_SPACE
 
+    def draw(own: dict) -> dict:
+        return {k: draw(v) if isinstance(v, dict) else rng.choice(v) for k, v in own.items()}
 
-def tune(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: str, label: str = "churned",
-         trials: int = 3, folds: int = 3, space: dict | None = None) -> tuple[dict, list[dict]]:
-    """Joint search over all learners' settings on one stratified hold-out, by AUC.
+    return [draw(space) for _ in range(n)]
 
-    Returns the best settings and every trial with its score.
+
+@dataclass
+class Trials:
+    """A search's trials, and the hold-out probabilities that each was judged by (trial, fold, label, p)."""
+
+    best: dict
+    done: list[dict]
+    scores: DataFrame
+
+
+def _judged(model: StackedModel, hold: DataFrame, trial: int, fold: int, label: str) -> tuple[DataFrame, float]:
+    rows = materialize(model.probabilities(hold).select(
+        F.lit(trial).alias("trial"), F.lit(fold).alias("fold"), F.col(label).alias("label"), "p"), "trial-scores")
+    return rows, auc_of(rows, "p", "label")
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def search(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: str, label: str = "churned",
+           trials: int = 3, folds: int = 3, space: dict | None = None, threads: int = 2) -> Trials:
+    """Search over all learners' own settings on one stratified hold-out, by AUC.
+
+    The training part is preprocessed once for all trials, which run ``threads`` at a time.
     """
     parts = materialize(
         stratified_split(df.select(key, label, *numeric, *categorical), key, label, 20), "tuning-rows")
     train, hold = parts.where("part = 'train'").drop("part"), parts.where("part = 'test'").drop("part")
-    done = []
-    for i, p in enumerate(random_trials(trials, space=space)):
-        model = fit_stack(train, numeric, categorical, key, label, folds, p)
-        done.append({"trial": i, **p, "auc": auc_of(model.probabilities(hold), "p", label)})
-    best = max(done, key=lambda t: t["auc"])
-    return {k: best[k] for k in (space or SEARCH_SPACE)}, done
+    ready = prepare(train, numeric, categorical, key, label, folds)
+    drawn = random_trials(trials, space=space)
+    found = _parallel([lambda i=i, p=p: _judged(fit_prepared(ready, p, 2), hold, i, 0, label) for i, p in enumerate(drawn)], threads)
+    done = [{"trial": i, "params": p, "auc": auc, "pruned": False} for i, (p, (_, auc)) in enumerate(zip(drawn, found))]
+    return Trials(max(done, key=lambda t: t["auc"])["params"], done, _union([s for s, _ in found]))
+
+
+def search_cv(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: str, label: str = "churned",
+              trials: int = 5, folds: int = 3, space: dict | None = None, threads: int = 2) -> Trials:
+    """Search by the mean AUC of folds: all trials take a fold at the same time, and those below its median stop there.
+
+    Each fold's training rows are preprocessed once for all trials.
+    """
+    ready = materialize(kfold(df.select(key, label, *numeric, *categorical), key, label, folds, "outer"), "cv-rows")
+    done = [{"trial": i, "params": p, "folds": [], "pruned": False} for i, p in enumerate(random_trials(trials, space=space))]
+    scores = []
+    for f in range(folds):
+        own = prepare(ready.where(F.col("outer") != f).drop("outer"), numeric, categorical, key, label, folds)
+        hold = ready.where(F.col("outer") == f).drop("outer")
+        going = [t for t in done if not t["pruned"]]
+        found = _parallel([lambda t=t: _judged(fit_prepared(own, t["params"], 2), hold, t["trial"], f, label) for t in going], threads)
+        for t, (rows, auc) in zip(going, found):
+            t["folds"].append(auc)
+            scores.append(rows)
+        middle = sorted(t["folds"][f] for t in going)[(len(going) - 1) // 2]
+        for t in going:
+            t["pruned"] = f + 1 < folds and t["folds"][f] < middle
+    for t in done:
+        t["auc"] = sum(t["folds"]) / len(t["folds"])
+    best = max([t for t in done if not t["pruned"]], key=lambda t: t["auc"])
+    return Trials(best["params"], done, _union(scores))
+
+
+def _listed(found: Trials) -> tuple[dict, list[dict]]:
+    return found.best, [{**t["params"], **{k: v for k, v in t.items() if k != "params"}} for t in found.done]
+
+
+def tune(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: str, label: str = "churned",
+         trials: int = 3, folds: int = 3, space: dict | None = None) -> tuple[dict, list[dict]]:
+    """The best settings of ``search`` and every trial with its settings and score."""
+    return _listed(search(df, numeric, categorical, key, label, trials, folds, space))
 
 
 def tune_cv(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: str, label: str = "churned",
             trials: int = 5, folds: int = 3, space: dict | None = None) -> tuple[dict, list[dict]]:
-    """The single-data-set search: mean fold AUC, a trial stops once below the median so far."""
-    ready = materialize(kfold(df.select(key, label, *numeric, *categorical), key, label, folds, "outer"), "cv-rows")
-    done: list[dict] = []
-    for i, p in enumerate(random_trials(trials, space=space)):
-        scores: list[float] = []
-        pruned = False
-        for f in range(folds):
-            model = fit_stack(ready.where(F.col("outer") != f), numeric, categorical, key, label, folds, p)
-            scores.append(auc_of(model.probabilities(ready.where(F.col("outer") == f)), "p", label))
-            peers = sorted(t["folds"][f] for t in done if len(t["folds"]) > f)
-            if peers and scores[-1] < peers[len(peers) // 2]:
-                pruned = True
-                break
-        done.append({"trial": i, **p, "folds": scores, "auc": sum(scores) / len(scores), "pruned": pruned})
-    best = max([t for t in done if not t["pruned"]] or done, key=lambda t: t["auc"])
-    return {k: best[k] for k in (space or SEARCH_SPACE)}, done
+    """The best settings of ``search_cv`` and every trial with its settings, scores and whether it was pruned."""
+    return _listed(search_cv(df, numeric, categorical, key, label, trials, folds, space))
 
 
 def train_proxy(df: DataFrame, label: str, columns: Sequence[str], keep: Sequence[str],

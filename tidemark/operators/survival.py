@@ -1,20 +1,21 @@
 """Time-to-churn: risk sets and Cox proportional hazards by group.
 
-Durations are whole months, so a group has at most a few hundred distinct ones.  Every
-Newton step is one aggregate over the rows, grouped by duration; only those grouped sums
-reach the driver.
+Durations are whole months, so a group has at most a few hundred distinct ones.  A Newton step is
+two passes over the written rows: vectors by group and duration, then one matrix a group; both are
+added up within a partition as matrices, and only the sums reach the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import materialize, pin
 
 PENALIZER = 0.1
 
@@ -27,41 +28,61 @@ def risk_sets(df: DataFrame, by: Sequence[str], duration: str = "tenure_months",
     return per.withColumn("at_risk", F.sum("leaving").over(w))
 
 
-def _sums(df: DataFrame, by: str, x: Sequence[str], betas: dict[str, np.ndarray]):
-    """Grouped sums of one Newton step for all groups at once."""
-    groups = list(betas)
-    score = None
-    for i, c in enumerate(x):
-        b = F.element_at(F.create_map(*[v for g in groups for v in (F.lit(g), F.lit(float(betas[g][i])))]), F.col(by))
-        term = F.col(c) * b
-        score = term if score is None else score + term
-    rows = df.withColumn("__e", F.exp(score))
-    e, died = F.col("__e"), F.col("__event") == 1
-    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    out = rows.groupBy(by, "__t").agg(
-        F.sum(died.cast("int")).alias("d"),
-        F.sum(e).alias("r0"), F.array(*[F.sum(e * F.col(c)) for c in x]).alias("r1"),
-        F.array(*[F.sum(e * F.col(x[i]) * F.col(x[j])) for i, j in pairs]).alias("r2"),
-        F.coalesce(F.sum(F.when(died, e)), F.lit(0.0)).alias("e0"),
-        F.array(*[F.coalesce(F.sum(F.when(died, e * F.col(c))), F.lit(0.0)) for c in x]).alias("e1"),
-        F.array(*[F.coalesce(F.sum(F.when(died, e * F.col(x[i]) * F.col(x[j]))), F.lit(0.0)) for i, j in pairs]).alias("e2"),
-        F.array(*[F.coalesce(F.sum(F.when(died, F.col(c))), F.lit(0.0)) for c in x]).alias("x1"),
-        F.coalesce(F.sum(F.when(died, score)), F.lit(0.0)).alias("xb"),
-    ).collect()
-    found: dict[str, list] = {g: [] for g in groups}
-    for r in rows_sorted(out):
-        found[r[by]].append(r)
-    return found
-
-
-def rows_sorted(rows):
-    return sorted(rows, key=lambda r: -r["__t"])
-
-
-def _square(upper: Sequence[float], p: int) -> np.ndarray:
-    m = np.zeros((p, p))
-    m[np.triu_indices(p)] = upper
-    return m + np.triu(m, 1).T
+def _summed(parts: DataFrame, keys: Sequence[str]) -> list:
+    """Rows (*keys, values) of all partitions, added up by key and place."""
+    each = parts.select(*keys, F.posexplode("values").alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"])
+    return each.groupBy(*keys).agg(listed.alias("values")).collect()
+
+
+def _vectors(df: DataFrame, by: str, x: Sequence[str], betas: dict[str, np.ndarray]) -> dict[str, list[tuple[int, np.ndarray]]]:
+    """For each group and duration, the latest first: events, sums of exp(score) and of score, and three sums of covariates.
+
+    A partition adds its rows up as matrices; what is shuffled is one list of numbers for each group and duration in it.
+    """
+    names = list(x)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for g, part in batch.groupby(by):
+                m = part[names].to_numpy(float)
+                score = m @ betas[g]
+                e, died = np.exp(score), (part["__event"].to_numpy() == 1).astype(float)
+                order = np.argsort(part["__t"].to_numpy(), kind="stable")
+                t, first = np.unique(part["__t"].to_numpy()[order], return_index=True)
+                columns = np.column_stack([died, e, e * died, score * died, e[:, None] * m, (e * died)[:, None] * m, died[:, None] * m])
+                for k, own in zip(t.tolist(), np.add.reduceat(columns[order], first)):
+                    found[g, k] = found[g, k] + own if (g, k) in found else own
+        if found:
+            yield pd.DataFrame({by: [g for g, _ in found], "__t": [t for _, t in found], "values": [v.tolist() for v in found.values()]})
+
+    parts = df.select(by, "__t", "__event", *names).mapInPandas(run, f"{by} string, __t int, values array<double>")
+    out: dict[str, list[tuple[int, np.ndarray]]] = {g: [] for g in betas}
+    for r in sorted(_summed(parts, [by, "__t"]), key=lambda r: -r["__t"]):
+        out[r[by]].append((r["__t"], np.array(r["values"])))
+    return out
+
+
+def _matrices(df: DataFrame, by: str, x: Sequence[str], betas: dict[str, np.ndarray],
+              weights: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """For each group the sum of exp(score) x x' over rows, weighted by duration and event: one matrix a group."""
+    names, p = list(x), len(x)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for g, part in batch.groupby(by):
+                t, w, less = weights[g]
+                m = part[names].to_numpy(float)
+                at = np.searchsorted(t, part["__t"].to_numpy())
+                scale = np.exp(m @ betas[g]) * (w[at] - less[at] * (part["__event"].to_numpy() == 1))
+                found[g] = found.get(g, np.zeros((p, p))) + (m * scale[:, None]).T @ m
+        if found:
+            yield pd.DataFrame({by: list(found), "values": [v.ravel().tolist() for v in found.values()]})
+
+    parts = df.select(by, "__t", "__event", *names).mapInPandas(run, f"{by} string, values array<double>")
+    return {r[by]: np.array(r["values"]).reshape(p, p) for r in _summed(parts, [by])}
 
 
 #: The last events of one time, whose terms are added one by one; the others by the midpoint rule.
@@ -97,25 +118,30 @@ def tied(d: int, r0: float, e0: float) -> dict[str, float]:
             "f_inv2": (r0 * inv2 - inv) / e0, "ff_inv2": (r0 * r0 * inv2 - 2 * r0 * inv + d) / e0 ** 2}
 
 
-def efron(rows: Sequence, p: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log partial likelihood, gradient and Hessian from grouped sums, latest duration first."""
-    r0, r1, r2 = 0.0, np.zeros(p), np.zeros((p, p))
-    ll, grad, hess = 0.0, np.zeros(p), np.zeros((p, p))
-    for r in rows:
-        r0, r1, r2 = r0 + r.r0, r1 + np.asarray(r.r1), r2 + _square(r.r2, p)
-        d = int(r.d)
+def efron(rows: Sequence[tuple[int, np.ndarray]], p: int):
+    """Log partial likelihood, gradient, the part of the Hessian that sums tell, and row weights for the other part.
+
+    The Hessian also needs the sum of exp(score) x x' over all subjects at risk at each event time.  A subject is at
+    risk up to its own duration, so over all times it counts with the running total of the times' weights: one
+    matrix for the group in place of one for each duration.
+    """
+    r0, r1 = 0.0, np.zeros(p)
+    ll, grad, outer = 0.0, np.zeros(p), np.zeros((p, p))
+    inv, less = np.zeros(len(rows)), np.zeros(len(rows))
+    for k, (_, v) in enumerate(rows):
+        d, e0 = int(v[0]), float(v[2])
+        e1, x1 = v[4 + p:4 + 2 * p], v[4 + 2 * p:]
+        r0, r1 = r0 + float(v[1]), r1 + v[4:4 + p]
         if d == 0:
             continue
-        ll += r.xb
-        grad += np.asarray(r.x1)
-        e1, e2 = np.asarray(r.e1), _square(r.e2, p)
-        t = tied(d, r0, r.e0)
+        t = tied(d, r0, e0)
+        ll += float(v[3]) - t["log"]
+        grad += x1 - t["inv"] * r1 + t["f_inv"] * e1
         cross = np.outer(r1, e1)
-        ll -= t["log"]
-        grad -= t["inv"] * r1 - t["f_inv"] * e1
-        hess -= t["inv"] * r2 - t["f_inv"] * e2
-        hess += t["inv2"] * np.outer(r1, r1) - t["f_inv2"] * (cross + cross.T) + t["ff_inv2"] * np.outer(e1, e1)
-    return ll, grad, hess
+        outer += t["inv2"] * np.outer(r1, r1) - t["f_inv2"] * (cross + cross.T) + t["ff_inv2"] * np.outer(e1, e1)
+        inv[k], less[k] = t["inv"], t["f_inv"]
+    times = np.array([t for t, _ in rows][::-1])
+    return ll, grad, outer, (times, np.cumsum(inv[::-1]), less[::-1])
 
 
 def cox_fit(df: DataFrame, by: str, covariates: Sequence[str], duration: str = "tenure_months",
@@ -129,24 +155,22 @@ def cox_fit(df: DataFrame, by: str, covariates: Sequence[str], duration: str = "
     covariates without variance in a group are left out of it.
     """
     spark = df.sparkSession
-    complete = df.where(F.col(duration).isNotNull()).select(
+    p = len(covariates)
+    complete = df.where(F.col(duration).isNotNull() & F.col(by).isNotNull()).select(
         F.col(by).cast("string").alias(by), F.col(duration).cast("int").alias("__t"),
         F.col(event).cast("int").alias("__event"), *[F.col(c).cast("double").alias(c) for c in covariates])
-    stats = {r[by]: r for r in complete.groupBy(by).agg(
+    fitted = pin(complete.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.avg(c) for c in covariates]).alias("mean"),
-        F.array(*[F.coalesce(F.stddev_samp(c), F.lit(0.0)) for c in covariates]).alias("sd")).collect()}
-    p = len(covariates)
+        F.array(*[F.coalesce(F.stddev_samp(c), F.lit(0.0)) for c in covariates]).alias("sd")))
+    stats = {r[by]: r for r in fitted.collect()}
 
-    def per_group(values: str, i: int, default: float):
-        pairs = [v for g, r in stats.items() for v in (
-            F.lit(g), F.lit(float(r[values][i] if not (values == "sd" and r[values][i] < 1e-12) else default)))]
-        return F.element_at(F.create_map(*pairs), F.col(by))
+    def standard(i: int) -> Column:
+        sd = F.col("sd")[i]
+        return F.coalesce((F.col(covariates[i]) - F.col("mean")[i]) / F.when(sd < 1e-12, F.lit(1.0)).otherwise(sd), F.lit(0.0))
 
-    scaled = complete.withColumns({
-        c: F.coalesce((F.col(c) - per_group("mean", i, 0.0)) / per_group("sd", i, 1.0), F.lit(0.0))
-        for i, c in enumerate(covariates)})
-    scaled = materialize(scaled, "cox-rows")  # read once per step
+    scaled = complete.join(fitted, by).select(by, "__t", "__event", *[standard(i).alias(c) for i, c in enumerate(covariates)])
+    scaled = materialize(scaled, "cox-rows")  # read twice per step
     active = {g: [i for i in range(p) if r.sd[i] >= 1e-12] for g, r in stats.items()}
     betas = {g: np.zeros(p) for g in stats}
     last: dict[str, float] = {}
@@ -156,19 +180,26 @@ def cox_fit(df: DataFrame, by: str, covariates: Sequence[str], duration: str = "
     settled: set[str] = set()
     open_groups = set(stats)
     for _ in range(steps):
-        sums = _sums(scaled.where(F.col(by).isin(*open_groups)), by, covariates, {g: betas[g] for g in open_groups})
+        sums = _vectors(scaled.where(F.col(by).isin(*open_groups)), by, covariates, {g: betas[g] for g in open_groups})
+        uphill: dict[str, tuple] = {}
         for g in sorted(open_groups):
             ix = active[g]
-            ll, grad, hess = efron(sums[g], p)
-            weight = stats[g].n * penalizer
-            ll -= weight / 2 * float(betas[g] @ betas[g])
+            ll, grad, outer, weights = efron(sums[g], p)
+            strength = stats[g].n * penalizer
+            ll -= strength / 2 * float(betas[g] @ betas[g])
             if g in last and ll < last[g] - 1e-9 * abs(last[g]) and np.abs(moved[g]).max(initial=0.0) > tolerance:
                 moved[g] = moved[g] / 2  # too far: back by half
                 betas[g][ix] -= moved[g]
                 continue
             last[g] = ll
-            grad = (grad - weight * betas[g])[ix]
-            hess = hess[np.ix_(ix, ix)] - weight * np.eye(len(ix))
+            uphill[g] = grad - strength * betas[g], outer, weights
+        if uphill:
+            risk = _matrices(scaled.where(F.col(by).isin(*uphill)), by, covariates, {g: betas[g] for g in uphill},
+                             {g: w for g, (_, _, w) in uphill.items()})
+        for g, (grad, outer, _) in uphill.items():
+            ix = active[g]
+            grad = grad[ix]
+            hess = (outer - risk[g])[np.ix_(ix, ix)] - stats[g].n * penalizer * np.eye(len(ix))
             curvature[g], score[g] = hess, grad / max(1, stats[g].n)
             step = np.linalg.solve(-hess, grad)
             if float(np.linalg.norm(step)) < tolerance:

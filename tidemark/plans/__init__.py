@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = ("customer_queries", "learning_queries", "quality_queries", "header_queries",
-            "alignment_queries", "scoring_queries", "model_queries")
+            "alignment_queries", "scoring_queries", "model_queries", "state_queries")
 
 
 def _load() -> None:

@@ -109,6 +109,16 @@ def binary_cast(spark, base):
     return A.cast_flags(U.untidy_customers(spark, base).select("id", "flag"), ["flag"])
 
 
+_FLAG_COLUMN = "lower(trim(flag)) IN ('true','1','1.0','yes')"
+
+
+@query("flags_or_numbers", ctes=("dirty",), sql=f"""
+SELECT id, CASE WHEN {_FLAG_COLUMN} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS flag, coalesce({NUM}, 0.0::DOUBLE) AS num FROM dirty""")
+def flags_or_numbers(spark, base):
+    """One text column of flags and one of numbers, told apart by whether any value is a flag word."""
+    return A.flags_or_numbers(U.untidy_customers(spark, base).select("id", "flag", "num"), ["flag", "num"])
+
+
 @query("coerce_numeric", ctes=("dirty",), sql=f"SELECT id, coalesce({NUM}, 5000.0::DOUBLE) AS value FROM dirty")
 def coerce_numeric(spark, base):
     return U.untidy_customers(spark, base).select("id", S.coerce_numeric(F.col("num"), 5000.0).alias("value"))

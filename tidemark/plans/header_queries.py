@@ -170,6 +170,23 @@ def industry_scores(spark, base):
         c: stable_round(F.col(c), 6) for c in ("total_similarity", "score")})
 
 
+@query("match_details", ctes=("bestm", "sigh", "hdr"), sql=f"""
+WITH m AS (SELECT * FROM bestm WHERE similarity > 0.40),
+t AS (SELECT dataset_id, industry, count(*) AS matched, sum(similarity) AS total_similarity FROM m GROUP BY ALL),
+f AS (SELECT dataset_id, industry, string_agg(header || ' > ' || feature || ' ' || CAST({rnd('similarity', 3)} AS VARCHAR), ' / ' ORDER BY pos) AS details
+  FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, industry ORDER BY pos) AS place FROM m) JOIN hdr USING (dataset_id, pos) WHERE place <= 5 GROUP BY ALL),
+x AS (SELECT dataset_id, industry, industry_pos, coalesce(matched, 0) AS matched, coalesce(total_similarity, 0) AS total_similarity,
+  {rnd('coalesce(total_similarity, 0) * coalesce(matched, 0) / 21', 9)} AS score, coalesce(details, '') AS details
+  FROM sigh LEFT JOIN t USING (dataset_id, industry) LEFT JOIN f USING (dataset_id, industry))
+SELECT dataset_id, industry, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY score DESC, industry_pos) AS INTEGER) AS rank, matched,
+  {rnd('total_similarity', 6)} AS total_similarity, {rnd('score', 6)} AS score, details FROM x""")
+def match_details(spark, base):
+    text = F.transform("details", lambda d: F.concat(d["header"], F.lit(" > "), d["feature"], F.lit(" "), d["similarity"].cast("string")))
+    return MT.match_details(U.upload_headers(spark, base)).withColumns({
+        "total_similarity": stable_round(F.col("total_similarity"), 6), "score": stable_round(F.col("score"), 6),
+        "details": F.array_join(text, " / ")})
+
+
 @query("detect_industry", ctes=("det",), sql=f"SELECT dataset_id, industry, {rnd('score', 6)} AS score FROM det")
 def detect_industry(spark, base):
     return MT.detect_industries(U.upload_headers(spark, base)).withColumn("score", stable_round(F.col("score"), 6))

@@ -8,6 +8,7 @@ from tidemark import catalog
 from tidemark.functions import scalars as S
 
 from tidemark.operators import conformal as CF
+from tidemark.operators import dashboard as DB
 from tidemark.operators import lifecycle as L
 from tidemark.operators import metrics as M
 from tidemark.operators import models as MD
@@ -16,6 +17,7 @@ from tidemark.operators import profile as P
 from tidemark.operators import align as A
 from tidemark.operators import serving
 from tidemark.operators import survival as SV
+from tidemark.operators import target_stats as TS
 from tidemark.operators.bridge import FeatureBridge
 from tidemark.plans import alignment_queries as AQ
 from tidemark.plans import common  # noqa: F401
@@ -25,6 +27,7 @@ from tidemark.plans.registry import query, rnd
 
 from tidemark.session import materialize, scratch_path
 from tidemark.sources import customers as C
+from tidemark.sources import tables as TB
 from tidemark.sources import uploads as U
 from tidemark.streaming import jobs
 
@@ -55,7 +58,7 @@ def _one_learner(spark, base, name):
     ready = PP.Preprocessor(numericCols=NUM, categoricalCols=CAT).fit(df.where("split = 'train'")).transform(df)
     ready = ready.select("customer_id", "split", F.col("churned").cast("double").alias("churned"), *NUM, *CAT)
     train = ready.where("split = 'train'")
-    model = MD.learner(name, NUM, CAT, "churned", MD.REFIT | {"maxBins": MD.bins_for(train, CAT)}).fit(train)
+    model = MD.learner(name, NUM, CAT, "churned", MD.REFIT | {"maxBins": MD.bins_for(train, CAT)}, "customer_id").fit(train)
     return MD.add_probability(model, ready, name).withColumn("model", F.lit(name)).withColumnRenamed(f"p_{name}", "p")
 
 
@@ -138,19 +141,41 @@ def score_batch_ml(spark, base):
         F.bool_and(F.size("sources") > 0).alias("has_evidence"))
 
 
+_TS_ORDER = f"ORDER BY {common.key_hash('customer_id')}, customer_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _ts_sql(c: str) -> str:
+    w = f"OVER (PARTITION BY {c} {_TS_ORDER})"
+    return rnd(f"(coalesce(sum(churned) {w}, 0) + prior) / (count(*) {w} + 1)", 9) + f" AS ts_{c}"
+
+
+@query("ordered_statistics", ctes=("c360",), sql=f"""
+SELECT customer_id, {', '.join(_ts_sql(c) for c in CAT)}
+FROM (SELECT *, avg(churned) OVER () AS prior FROM c360 WHERE split = 'train')""")
+def ordered_statistics(spark, base):
+    """What the third learner sees of a training row's categories: the labels of the rows before it."""
+    train = C.feature_table(spark, base).where("split = 'train'")
+    out = TS.ordered(train, "customer_id", CAT, "churned")
+    return out.select("customer_id", *[S.stable_round(F.col(f"ts_{c}"), 9).alias(f"ts_{c}") for c in CAT])
+
+
 @query("bridge_proxy", ctes=("c360",), sql="""
-SELECT count(*) AS n, true AS in_range, true AS blended, true AS reported FROM c360""")
+SELECT count(*) AS n, count(DISTINCT CASE WHEN customer_id % 5 > 0 THEN customer_id // 3 END) AS ids,
+  CAST(sum(CASE WHEN customer_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS without_id, true AS in_range, true AS blended, true AS reported FROM c360""")
 def bridge_proxy(spark, base):
-    """An upload of low overlap with a label: a proxy model on its own numbers is blended in."""
+    """An upload of low overlap with a label: a proxy model on its own numbers is blended in, row by row, whatever the ids."""
+    ids = F.when(F.col("customer_id") % 5 > 0, F.floor(F.col("customer_id") / 3))  # repeated and missing ones
     upload = C.feature_table(spark, base).select(
-        F.col("customer_id").alias("Customer_ID"), F.col("region").alias("Region"), F.col("avg_balance_usd").alias("Zeta"),
+        ids.alias("Customer_ID"), F.col("region").alias("Region"), F.col("avg_balance_usd").alias("Zeta"),
         F.col("feature_adoption_score").alias("Kappa"), F.col("completion_rate").alias("Omikron"), F.col("churned").alias("Churn"))
     out = FeatureBridge("ecommerce", proxy=MD.train_proxy).transform(upload)
     main = F.lit(0.5)
     blended = S.blend_proxy(main, F.col(out.proxy_column), F.lit(out.overlap))
     report = out.report.select(F.col("proxy_model.used").alias("reported"))
     return out.df.agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(F.col(out.proxy_column).between(0, 1)).alias("in_range"),
+        F.count(F.lit(1)).alias("n"), F.count_distinct("customer_id").alias("ids"),
+        F.count(F.when(F.col("customer_id").isNull(), 1)).alias("without_id"),
+        F.bool_and(F.col(out.proxy_column).between(0, 1)).alias("in_range"),
         F.bool_or(F.abs(blended - main) > 1e-6).alias("blended")).join(report)
 
 
@@ -168,13 +193,26 @@ def actionable_weight(spark, base):
 TRIALS = 3
 
 
-@query("tuning_trials", sql="SELECT CAST(range AS INTEGER) AS trial, true AS in_space, true AS auc_in_range FROM range(3)")
+def trial_rows(spark, found: MD.Trials):
+    """Each trial with its AUC against the one that its hold-out probabilities give."""
+    space = MD.SEARCH_SPACE
+    own = spark.createDataFrame(
+        [(t["trial"], t["auc"], t["pruned"], t["params"] == found.best,
+          all(t["params"][n][k] in v for n in MD.LEARNERS for k, v in space[n].items()) and set(t["params"]) == set(space)) for t in found.done],
+        "trial int, auc double, pruned boolean, chosen boolean, in_space boolean")
+    again = M.roc_auc(found.scores, ["trial", "fold"], "p", "label").groupBy("trial").agg(
+        F.avg("roc_auc").alias("again"), F.count(F.lit(1)).alias("folds"))
+    return own.join(again, "trial").withColumn("recomputed", F.abs(F.col("auc") - F.col("again")) < 1e-9)
+
+
+@query("tuning_trials", sql="""
+SELECT CAST(range AS INTEGER) AS trial, CAST(1 AS BIGINT) AS folds, true AS in_space, true AS recomputed, false AS pruned, true AS best_is_chosen FROM range(3)""")
 def tuning_trials(spark, base):
     train = C.feature_table(spark, base).where("split = 'train'")
-    best, done = MD.tune(train, NUM, CAT, "customer_id", trials=TRIALS, folds=3)
-    top = max(t["auc"] for t in done)
-    rows = [(t["trial"], all(t[k] in v for k, v in MD.SEARCH_SPACE.items()), 0.0 <= t["auc"] <= top) for t in done]
-    return spark.createDataFrame(rows, "trial int, in_space boolean, auc_in_range boolean")
+    rows = trial_rows(spark, MD.search(train, NUM, CAT, "customer_id", trials=TRIALS, folds=3))
+    top = rows.agg(F.max("again").alias("top"))
+    return rows.join(top).select("trial", "folds", "in_space", "recomputed", "pruned",
+                                 (~F.col("chosen") | (F.abs(F.col("again") - F.col("top")) < 1e-9)).alias("best_is_chosen"))
 
 
 @query("proxy_scores", ctes=("c360",), sql=audit_sql("proxy"))
@@ -332,3 +370,57 @@ def industry_dashboard(spark, base):
         impact, "industry", "left")
 
 
+
+
+def dashboard_state(spark, base) -> str:
+    """The state of the customers after three batches, one of them sent twice."""
+    path = scratch_path(spark, "dashboard")
+    rows, scored = C.feature_table(spark, base), C.scored_customers(spark, base)
+    for batch in (0, 1, 2, 1):
+        mine = F.col("customer_id") % 3 == batch
+        DB.append(path, f"b{batch}", rows.where(mine), scored.where(mine))
+    return path
+
+
+_SETS_OF = "FROM sets WHERE split = '{}' GROUP BY industry, level_pct"
+
+
+@query("dashboard_incremental", ctes=("c360", "scored", "sets"), sql=f"""
+SELECT industry, total_customers, churn_rate, avg_monthly, avg_tenure, retained_customers, churned_customers, accuracy_pct, auc_pct, brier_score,
+  calibration_score, level_pct, coverage, avg_set_size, retained, churned, uncertain, (churned + uncertain) * 50 AS outreach_cost,
+  churned * 200 + uncertain * 50 AS saved_value, churned * 200 + uncertain * 50 - (churned + uncertain) * 50 AS net_benefit, confident_rate_train, confident_rate_val
+FROM (SELECT industry, count(*) AS total_customers, {rnd('avg(churned) * 100', 2)} AS churn_rate, {rnd('avg(monthly_spend_usd)', 2)} AS avg_monthly,
+  {rnd('avg(tenure_months)', 1)} AS avg_tenure, count(CASE WHEN churned = 0 THEN 1 END) AS retained_customers, count(CASE WHEN churned = 1 THEN 1 END) AS churned_customers
+  FROM c360 GROUP BY industry)
+LEFT JOIN (SELECT industry, {rnd('avg(CASE WHEN (p >= 0.5) = (churned = 1) THEN 1.0::DOUBLE ELSE 0 END) * 100', 2)} AS accuracy_pct,
+  {rnd('avg(power(p - churned, 2))', 4)} AS brier_score, {rnd('(1 - avg(power(p - churned, 2))) * 100', 1)} AS calibration_score
+  FROM scored WHERE split = 'test' GROUP BY industry) USING (industry)
+LEFT JOIN (SELECT industry, {rnd('roc_auc * 100', 2)} AS auc_pct FROM ({AUC})) USING (industry)
+LEFT JOIN (SELECT industry, level_pct, {rnd(f'{COVERAGE} * 100', 2)} AS coverage, {rnd('avg(in0::INTEGER + in1::INTEGER)', 4)} AS avg_set_size {_SETS_OF.format('test')}) USING (industry)
+LEFT JOIN ({DIST}) USING (industry, level_pct)
+LEFT JOIN (SELECT industry, level_pct, {rnd('avg(CASE WHEN in0 <> in1 THEN 1.0::DOUBLE ELSE 0 END) * 100', 2)} AS confident_rate_train {_SETS_OF.format('train')}) USING (industry, level_pct)
+LEFT JOIN (SELECT industry, level_pct, {rnd('avg(CASE WHEN in0 <> in1 THEN 1.0::DOUBLE ELSE 0 END) * 100', 2)} AS confident_rate_val {_SETS_OF.format('val')}) USING (industry, level_pct)""")
+def dashboard_incremental(spark, base):
+    """All numbers of the dashboard from the states that three batches added up to, a row for each level."""
+    out = DB.assemble(*DB.state(spark, dashboard_state(spark, base)))
+    return out.select("*", F.inline_outer("levels")).drop("levels")
+
+
+@query("dashboard_full")
+def dashboard_full(spark, base):
+    """One row per industry: with the model's importances, its learners' accuracies and the files besides."""
+    df, model = C.feature_table(spark, base), stacked(spark, base)
+    industries = df.select("industry").distinct()
+    importances = industries.join(MD.importance_table(spark, model))
+    test = _stack_scores(spark, base).where("split = 'test'").join(df.select("customer_id", "industry"), "customer_id")
+    learners = M.accuracy(test, ["industry", "model"]).select(
+        "industry", F.col("model").alias("learner"), S.stable_round(F.col("accuracy") * 100, 2).alias("accuracy_pct"))
+    path = scratch_path(spark, "splits")
+    TB.write_splits(df, path)
+    kinds = {"train": "Train Set (RAG Reference)", "val": "Validation Set (UQ Calibration)", "test": "Test Set (Out-of-sample)"}
+    files = None
+    for split, kind in kinds.items():
+        own = TB.file_catalog(spark, path, kind).where(F.col("path").contains(f"/split={split}/")).withColumn(
+            "industry", F.regexp_extract("path", "/industry=([^/]+)/", 1)).select("industry", "name", "kind", "rows", "size_kb")
+        files = own if files is None else files.unionByName(own)
+    return DB.assemble(*DB.state(spark, dashboard_state(spark, base)), importances, learners, files)

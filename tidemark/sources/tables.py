@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,12 +77,26 @@ def resolve_data_dir(spark: SparkSession, candidates: Sequence[str], env: str =
     return next((p for p in options if path_exists(spark, p)), options[-1])
 
 
-def first_available(spark: SparkSession, sources: Sequence[tuple[str, str]]) -> DataFrame:
-    """Ordered source selection: (format, path) candidates, first one that exists wins."""
+def first_available(spark: SparkSession, sources: Sequence[tuple[str, str]],
+                    prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Ordered source selection: of (format, path) candidates the first one that exists, reads and can be prepared.
+
+    A candidate is read up to its first row, so that one that is there but broken is passed over; ``prepare`` may
+    refuse one by raising.  If none is left, the error names each candidate and what was wrong with it.
+    """
+    wrong: list[str] = []
     for fmt, path in sources:
-        if path_exists(spark, path):
-            return read_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
-    raise FileNotFoundError(f"none of {[p for _, p in sources]} exists")
+        if not path_exists(spark, path):
+            wrong.append(f"{path}: not there")
+            continue
+        try:
+            df = read_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
+            df = df if prepare is None else prepare(df)
+            df.limit(1).collect()
+            return df
+        except (PySparkException, Py4JJavaError, ValueError) as error:
+            wrong.append(f"{path}: {str(error).splitlines()[0]}")
+    raise FileNotFoundError("no source can be used: " + "; ".join(wrong))
 
 
 def write_splits(df: DataFrame, path: str, by: Sequence[str] = ("industry", "split"),
