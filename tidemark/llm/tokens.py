@@ -21,8 +21,8 @@ import numpy as np
 
 from tidemark.llm.common import forget_kept, kept
 
-#: Distinct pieces kept by a Python worker before those met once are forgotten, and learned in one call.
-CACHE_PIECES = 600_000
+#: Distinct pieces kept by a Python worker before those met once are forgotten, and learned at a time.
+CACHE_PIECES = 400_000
 LEARN_PIECES = 20_000
 #: Bytes of text whose pieces are held at a time.
 STEP_BYTES = 2_000_000
@@ -130,7 +130,9 @@ class PieceTokenizer:
         codes = np.fromiter(map(self.code.get, pieces, repeat(-1)), np.int64, len(pieces))
         missed = np.flatnonzero(codes < 0)
         if len(missed):
-            self._learn(list(dict.fromkeys(pieces[i] for i in missed.tolist())))
+            new = list(dict.fromkeys(pieces[i] for i in missed.tolist()))
+            for k in range(0, len(new), LEARN_PIECES):
+                self._learn(new[k:k + LEARN_PIECES])
             codes[missed] = [self.code[pieces[i]] for i in missed.tolist()]
         self.met += np.bincount(codes, minlength=len(self.met))
         of = np.repeat(np.arange(len(texts)), lengths)
@@ -161,7 +163,7 @@ class PieceTokenizer:
 
         A piece that, normalised, is one run of letters is one pre-token and goes straight to the library's model, once
         for all pieces with that run; the signs after it are a pre-token of their own.  The others are encoded as
-        sequences of their own, thousands in one call of the library.
+        sequences of their own, all in one call of the library.
         """
         texts = [p.decode() for p in new]
         normal, lead = texts, [""] * len(texts)
@@ -193,12 +195,11 @@ class PieceTokenizer:
                 bad[i], found[i] = True, []
             else:
                 rest.append(i)
-        for k in range(0, len(rest), LEARN_PIECES):
-            some = rest[k:k + LEARN_PIECES]
-            own = self.library.encode([texts[i] for i in some], is_pretokenized=True, add_special_tokens=False)
+        if rest:
+            own = self.library.encode([texts[i] for i in rest], is_pretokenized=True, add_special_tokens=False)
             ids = own.ids
-            ends = np.cumsum(np.bincount(np.array(own.word_ids, np.int64), minlength=len(some))).tolist()
-            for i, a, b in zip(some, [0, *ends], ends):
+            ends = np.cumsum(np.bincount(np.array(own.word_ids, np.int64), minlength=len(rest))).tolist()
+            for i, a, b in zip(rest, [0, *ends], ends):
                 found[i] = ids[a:b]
         n = np.fromiter(map(len, found), np.int64, len(found))
         base, first = len(self.start), len(self.pool)
