@@ -24,6 +24,7 @@ HEADLINE = [
     "classification_report", "conformal_quantiles", "conformal_coverage", "business_impact", "knn_join",
     "knn_join_tiled", "neighbour_vote", "what_if", "score_batch", "batch_summary", "industry_dashboard",
     "risk_set_table", "cox_hazard_ratios", "stream_score_batch", "stacking_scores",
+    "score_batch_saved", "dashboard_incremental", "ordered_statistics", "knn_index_recall",
 ]
 
 

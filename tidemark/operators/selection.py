@@ -63,9 +63,11 @@ def order_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str], t
     counted = inside.groupBy(*keys, "n", "target", "rank", "value").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*keys, "target").orderBy(F.col("value").asc_nulls_first())
     running = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return running.groupBy(*keys, "n", "target").agg(
-        F.min(F.when((F.col("upto") >= F.col("rank")) & (F.col("rank") >= 1), F.col("value"))).alias("value")
-    )
+    found = running.groupBy(*keys, "n", "target", "rank").agg(
+        F.min(F.when((F.col("upto") >= F.col("rank")) & (F.col("rank") >= 1), F.col("value"))).alias("value"))
+    # a bracket is twice as wide as the sketch may err; should one miss its rank all the same, that must not pass for NULL
+    missed = F.when(F.col("rank").between(1, F.col("n")), F.raise_error(F.lit("a bracket has missed its rank")).cast("double"))
+    return found.select(*keys, "n", "target", F.coalesce("value", missed).alias("value"))
 
 
 def _double(x: float) -> str:
@@ -104,12 +106,18 @@ def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Data
     )
 
 
-def ordinal(df: DataFrame, key: str, name: str = "ordinal", buckets: int = 256) -> DataFrame:
+#: Rows of a key range that ``ordinal`` numbers in one task, about.
+RANGE_ROWS = 1_000_000
+
+
+def ordinal(df: DataFrame, key: str, name: str = "ordinal", buckets: int | None = None) -> DataFrame:
     """Number the rows 1..n by a unique numeric key.
 
     Equi-depth key ranges from a sketch are numbered independently and shifted by the
-    counts of the ranges before them, so no task sorts more than its range.
+    counts of the ranges before them, so no task sorts more than its range; there are as many ranges as the rows
+    need, 256 at least.
     """
+    buckets = buckets or max(256, -(-df.count() // RANGE_ROWS))
     marks = [i / buckets for i in range(1, buckets)]
     row = df.select(F.percentile_approx(F.col(key).cast("double"), marks, 10_000).alias("q")).first()
     cuts = sorted({float(v) for v in (row.q or [])})

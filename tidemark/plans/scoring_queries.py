@@ -337,3 +337,24 @@ def bridge_imputed(spark, base):
     training = df.where(F.col("split") == "train").select(*MAPPED)
     out = FeatureBridge("ecommerce", training).transform(upload)
     return out.df.select("customer_id", "region", "tenure_months", *_FILLED, "contract_type", "age")
+
+
+_X1, _X2, _Y = "tenure_months", "monthly_spend_usd", "orders_180d"
+
+
+@query("bridge_correlated", ctes=("c360",), sql=f"""
+WITH t AS (SELECT * FROM c360 WHERE split = 'train'),
+m AS (SELECT median({_X1})::DOUBLE AS m1, median({_X2})::DOUBLE AS m2, median({_Y})::DOUBLE AS my FROM t),
+z AS (SELECT coalesce({_X1}, m1) - m1 AS a, coalesce({_X2}, m2) - m2 AS b, coalesce({_Y}, my) - my AS y FROM t, m),
+s AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS mean_y, sum(a * a) - sum(a) * sum(a) / count(*) + 1 AS saa, sum(b * b) - sum(b) * sum(b) / count(*) + 1 AS sbb,
+  sum(a * b) - sum(a) * sum(b) / count(*) AS sab, sum(a * y) - sum(a) * sum(y) / count(*) AS say, sum(b * y) - sum(b) * sum(y) / count(*) AS sby FROM z),
+w AS (SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS wa, (saa * sby - sab * say) / (saa * sbb - sab * sab) AS wb FROM s)
+SELECT customer_id, CAST(round_even(greatest(my + mean_y + wa * (coalesce({_X1}, m1) - m1 - ma) + wb * (coalesce({_X2}, m2) - m2 - mb), 0), 0) AS INTEGER) AS {_Y},
+  'correlation' AS source FROM c360, m, w""")
+def bridge_correlated(spark, base):
+    """A feature that the upload lacks, predicted by ridge regression from the two it has."""
+    df = C.feature_table(spark, base)
+    training = df.where(F.col("split") == "train").select(_X1, _X2, _Y)
+    upload = df.select(F.col("customer_id").alias("Customer_ID"), F.col(_X1).alias("Tenure"), F.col(_X2).alias("MonthlyCharges"))
+    out = FeatureBridge("ecommerce", training).transform(upload)
+    return out.df.select("customer_id", _Y, F.lit(out.sources[_Y]).alias("source"))
