@@ -191,8 +191,8 @@ def answer(pdf: pd.DataFrame) -> pd.DataFrame:
 class BackoffAutomaton:
     """The states and arcs that one block's documents meet.
 
-    State 0 is the root, state ``d + 1`` the counted n-gram ``d`` as a context.  Each counted n-gram (and each word)
-    is an arc: from the state of its words but the last, over the last word, to the longest counted context that its
+    State 0 is the root, state ``d + 1`` the counted n-gram ``d`` as a context.  Each counted n-gram (and, at the root,
+    each word) is an arc: from the state of its words but the last, over the last word, to the longest counted context that its
     words end in.  A failure arc leads from a state to the one without its first word.
     """
 
@@ -209,8 +209,9 @@ class BackoffAutomaton:
             at = there[first]
             if k == 0:
                 chance[d] = 10.0 ** self.base[d]
-                keys.append(codes[at])
-                arcs.append(d)
+                root = np.zeros(self.words, np.int64)
+                root[codes[at]] = d
+                self.root = root.tolist()
             else:
                 shorter, context = index[k - 1][at], index[k - 1][at - 1]
                 chance[d] = (totals[d] + mu * chance[shorter]) / (totals[context] + mu)
@@ -222,23 +223,24 @@ class BackoffAutomaton:
             if k + 1 < len(index):
                 state = d[totals[d] > 0]
                 target[state] = state + 1
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), np.concatenate(arcs).tolist()))
+        self.arcs = dict(zip(np.concatenate(keys).tolist(), np.concatenate(arcs).tolist())) if keys else {}
         self.weight, self.target, self.failure = np.log10(chance).tolist(), target.tolist(), failure.tolist()
         self.lent = np.append(0.0, np.log10(mu / (totals + mu))).tolist()
 
     def traverse(self, codes: np.ndarray, lengths: np.ndarray) -> list[float]:
         """log10 probability of each document: one walk from left to right that carries the state."""
-        arcs, weight, target, failure, lent, words = self.arcs.get, self.weight, self.target, self.failure, self.lent, self.words
+        arcs, root, words = self.arcs.get, self.root, self.words
+        weight, target, failure, lent = self.weight, self.target, self.failure, self.lent
         out, at = [], 0
         codes = codes.tolist()
         for n in lengths.tolist():
             state, total = 0, 0.0
             for w in codes[at:at + n]:
-                arc = arcs(state * words + w)
-                while arc is None:  # the root has an arc for every word
+                while state and (arc := arcs(state * words + w)) is None:
                     total += lent[state]
                     state = failure[state]
-                    arc = arcs(state * words + w)
+                if not state:
+                    arc = root[w]  # the root has an arc for every word
                 total += weight[arc]
                 state = target[arc]
             out.append(total)
