@@ -139,7 +139,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.one_of_each_similar(docs)
+    """One document of each group that fingerprints within 2 bits (those of ``op5``) or similar shingle sets connect."""
+    found = simhash.near_duplicates(docs, SHINGLE_WORDS)
+    return minhash.one_of_each_similar(docs, united=found)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
