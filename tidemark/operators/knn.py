@@ -3,10 +3,11 @@
 Distances are quantised to 1e-6 and ties go to the smaller reference id, so results do not
 depend on partitioning or summation order.
 
-* References that provably fit (``rows x features`` below ``broadcast_values``) are
-  broadcast and every query batch is ranked against them with vectorised arithmetic.
-* Larger references are cut into cells around pivot rows.  The k-th nearest pivot bounds
-  a query's neighbour distance, so only cells that reach into this ball are visited.
+* Of references with one vector only the first ids can be among the nearest; the others are left out first.
+* References that provably fit (``rows x features`` below ``broadcast_values``) are broadcast as a k-d tree
+  (``kd.py``) that every query batch is searched in.
+* Larger references are cut into the cells of a k-d tree over a sample.  A query's own cell gives a distance
+  that its neighbours lie within, and only cells whose box reaches into this ball are visited.
   Cells are split into tiles of bounded size on both sides; a tile emits at most k rows per
   query, never its pairs.
 """
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions.scalars import similarity_pct, stable_round
+from tidemark.operators.kd import BLOCK, QUANTUM, Tree, box_visits, distances, reach  # noqa: F401
 from tidemark.session import materialize
 
 BROADCAST_VALUES = 4_000_000
 TILE_ROWS = 8_192
-BLOCK = 2_000_000
-QUANTUM = 1e6
+#: Cells of larger references, and rows of the sample that each is cut from.
+MAX_CELLS = 2_048
+CELL_SAMPLE = 32
 
 
 def vectors(df: DataFrame, key: str, features: Sequence[str], by: str | None, label: str = "id") -> DataFrame:
@@ -45,14 +48,6 @@ def _stack(vec: pd.Series) -> np.ndarray:
     return np.stack(vec.to_numpy()).astype(float, copy=False)
 
 
-def distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(q), len(r)))
-    for i in range(q.shape[1]):
-        gap = q[:, i, None] - r[None, :, i]
-        total += gap * gap
-    return np.sqrt(total)
-
-
 def _pieces(part: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
     """Slices whose rows times ``width`` stay within a block of memory."""
     step = max(1, BLOCK // max(1, width))
@@ -60,31 +55,40 @@ def _pieces(part: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
         yield part.iloc[lo:lo + step]
 
 
-def nearest(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray, k: int,
-            exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray, k: int, exclude_self: bool,
+            limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, reference id, distance) of the k nearest; ``rid`` ascending."""
-    out = []
-    step = max(1, BLOCK // max(1, len(rid)))
-    for lo in range(0, len(qid), step):
-        d = np.floor(distances(q[lo:lo + step], r) * QUANTUM + 0.5) / QUANTUM
-        if exclude_self:
-            d[qid[lo:lo + step, None] == rid[None, :]] = np.inf
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1:k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
-        row, col = np.nonzero((d <= kth) & np.isfinite(d))
-        order = np.lexsort((col, d[row, col], row))
-        row, col = row[order], col[order]
-        start = np.searchsorted(row, row, side="left")
-        keep = np.arange(len(row)) - start < k
-        row, col = row[keep], col[keep]
-        out.append((qid[lo:lo + step][row], rid[col], d[row, col]))
-    if not out:
-        return qid[:0], rid[:0], np.array([])
-    return tuple(np.concatenate(x) for x in zip(*out))
+    row, col, dist = Tree(rid, r, k + int(exclude_self)).nearest(qid, q, k, exclude_self, limit)
+    return qid[row], rid[col], dist
+
+
+def first_copies(refs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The references that can be anyone's neighbours: finite vectors, of equal ones the first by id.
+
+    Ranks are limited before the shuffle, so one vector of any number of rows is no large group.
+    """
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    same = Window.partitionBy("grp", "vec").orderBy("rid")
+    place = F.dense_rank().over(same) if exclude_self else F.row_number().over(same)
+    return refs.where(F.col("grp").isNotNull() & F.col("vec").isNotNull() & finite).withColumn("__place", place).where(
+        F.col("__place") <= k + int(exclude_self)).drop("__place")
+
+
+def _by_group(df: DataFrame, *names: str) -> dict[str, tuple[np.ndarray, ...]]:
+    """Columns and vectors of a small table as arrays: {grp: (*names, vec)}."""
+    rows = df.toArrow().combine_chunks()
+    out = {}
+    for g, at in pd.Series(rows["grp"].to_pandas()).groupby(rows["grp"].to_pandas()).indices.items():
+        part = rows.take(at)
+        vec = part["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+        out[g] = (*(part[c].to_pandas().to_numpy() for c in names), vec.reshape(len(at), -1))
+    return out
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int = catalog.NEIGHBOURS, exclude_self: bool = False,
              broadcast_values: int = BROADCAST_VALUES, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(grp, qid, rid, dist, rank) from ``(grp, qid, vec)`` and ``(grp, rid, vec)``."""
+    refs = materialize(first_copies(refs.select("grp", "rid", "vec"), k, exclude_self), "knn-kept")
     size = refs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     if size.n == 0:
         return queries.limit(0).select("grp", "qid", F.lit(None).cast(_kind(refs, "rid")).alias("rid"),
@@ -95,8 +99,8 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int = catalog.NEIGHBOURS, e
 
 
 def _broadcast_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    rows = refs.orderBy("grp", "rid").toPandas()  # size checked by the caller
-    groups = {g: (p.rid.to_numpy(), _stack(p.vec)) for g, p in rows.groupby("grp")}
+    # size checked by the caller
+    groups = {g: Tree(rid, r, k + int(exclude_self)) for g, (rid, r) in _by_group(refs.orderBy("grp", "rid"), "rid").items()}
     shared = queries.sparkSession.sparkContext.broadcast(groups)
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,11 +108,12 @@ def _broadcast_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: b
             for g, part in batch.groupby("grp"):
                 if g not in shared.value:
                     continue
-                rid, r = shared.value[g]
-                qid, hit, dist = nearest(part.qid.to_numpy(), _stack(part.vec), rid, r, k, exclude_self)
+                tree, qid = shared.value[g], part.qid.to_numpy()
+                row, col, dist = tree.nearest(qid, _stack(part.vec), k, exclude_self)
+                qid = qid[row]
                 first = np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]]) if len(qid) else np.array([], dtype=int)
                 starts = np.repeat(first, np.diff(np.r_[first, len(qid)]))
-                yield pd.DataFrame({"grp": g, "qid": qid, "rid": hit, "dist": dist,
+                yield pd.DataFrame({"grp": g, "qid": qid, "rid": tree.rid[col], "dist": dist,
                                     "rank": (np.arange(len(qid)) - starts + 1).astype(np.int32)})
 
     return queries.select("grp", "qid", "vec").mapInPandas(
@@ -118,85 +123,107 @@ def _broadcast_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: b
 def _tiled_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool, n: int, dims: int,
                 broadcast_values: int, tile_rows: int) -> DataFrame:
     spark = refs.sparkSession
-    wanted = int(min(2_048, max(16, np.sqrt(n)), max(16, broadcast_values // dims)))
-    share = min(1.0, wanted / n)
+    wanted = CELL_SAMPLE * int(min(MAX_CELLS, max(16, -(-n // tile_rows)), max(16, broadcast_values // dims)))
     token = F.pmod(F.xxhash64("grp", "rid"), F.lit(2 ** 31)) / F.lit(float(2 ** 31))
     first = Window.partitionBy("grp").orderBy("__t", "rid")
-    picked = refs.withColumn("__t", token).where(F.col("__t") < share).withColumn("__r", F.row_number().over(first)).where(
-        F.col("__r") <= wanted).select("grp", "vec").toPandas()
-    pivots = {g: _stack(p.vec) for g, p in picked.groupby("grp")}
-    shared = spark.sparkContext.broadcast(pivots)
-    need = k + int(exclude_self)
+    picked = refs.withColumn("__t", token).where(F.col("__t") < min(1.0, wanted / n)).withColumn(
+        "__r", F.row_number().over(first)).where(F.col("__r") <= wanted).select("grp", "vec")
+    trees = {g: Tree(np.arange(len(x)), x, 1, CELL_SAMPLE) for g, (x,) in _by_group(picked).items()}
+    shared = spark.sparkContext.broadcast(trees)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for g, part in batch.groupby("grp"):
-                if g not in shared.value:
-                    yield part.assign(cell=np.int32(-1), reach=0.0)
-                    continue
-                for piece in _pieces(part, len(shared.value[g])):
-                    d = distances(_stack(piece.vec), shared.value[g])
-                    yield piece.assign(cell=d.argmin(axis=1).astype(np.int32), reach=d.min(axis=1))
-
-    placed = materialize(
-        refs.select("grp", "rid", "vec").mapInPandas(
-            assign, f"grp string, rid {_kind(refs, 'rid')}, vec array<double>, cell int, reach double"), "knn-refs")
-    # One row per pivot at most: bounded by the number of pivots and groups.
-    cells = placed.groupBy("grp", "cell").agg(F.max("reach").alias("radius"), F.count(F.lit(1)).alias("n")).toPandas()
-    radius = {}
-    for g, part in cells.groupby("grp"):
-        r = np.full(len(pivots.get(g, ())), -np.inf)
-        inside = part[part.cell >= 0]
-        r[inside.cell.to_numpy()] = inside.radius.to_numpy()
-        radius[g] = r
-    limits = spark.sparkContext.broadcast(radius)
+                yield part.assign(cell=shared.value[g].home(_stack(part.vec)).astype(np.int32) if g in shared.value else np.int32(-1))
+
+    placed = materialize(refs.select("grp", "rid", "vec").mapInPandas(
+        assign, f"grp string, rid {_kind(refs, 'rid')}, vec array<double>, cell int"), "knn-refs")
+    asked = queries.select("grp", "qid", "vec").mapInPandas(
+        assign, f"grp string, qid {_kind(queries, 'qid')}, vec array<double>, cell int")
+    # One row per cell: bounded by their number.
+    boxes = _by_group(cell_boxes(placed, dims, "cell").select("grp", "cell", F.concat("low", "high").alias("vec")), "cell")
+    limits = {}
+    for g, (cell, box) in boxes.items():
+        levels = trees[g].levels if g in trees else 0
+        low, high = (np.full((2 << levels, box.shape[1] // 2), f) for f in (np.inf, -np.inf))
+        at = np.maximum(cell, 0) + (1 << levels)
+        low[at], high[at] = np.split(box, 2, axis=1)
+        for i in range((1 << levels) - 1, 0, -1):
+            low[i], high[i] = np.minimum(low[2 * i], low[2 * i + 1]), np.maximum(high[2 * i], high[2 * i + 1])
+        limits[g] = low, high, levels, int(min(0, cell.min()))
+    reached = spark.sparkContext.broadcast(limits)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for g, part in batch.groupby("grp"):
-                if g not in limits.value:
+                if g not in reached.value:
                     continue
-                if g not in shared.value:
-                    yield part.assign(cell=np.int32(-1))[["grp", "qid", "vec", "cell"]]
-                    continue
-                for piece in _pieces(part, len(shared.value[g]) * dims):
-                    d = distances(_stack(piece.vec), shared.value[g])
-                    bound = (np.partition(d, need - 1, axis=1)[:, need - 1:need] if d.shape[1] >= need
-                             else np.full((len(d), 1), np.inf))
-                    row, cell = np.nonzero(d - limits.value[g][None, :] <= bound + 2.0 / QUANTUM)
-                    out = piece.iloc[row].assign(cell=cell.astype(np.int32))
-                    yield out[["grp", "qid", "vec", "cell"]]
-
-    routed = materialize(
-        queries.select("grp", "qid", "vec").mapInPandas(
-            route, f"grp string, qid {_kind(queries, 'qid')}, vec array<double>, cell int"), "knn-queries")
-    visits = routed.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("v"))
-    plan = placed.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")).join(visits, ["grp", "cell"]).select(
-        "grp", "cell", F.ceil(F.col("n") / tile_rows).cast("int").alias("r_parts"),
-        F.ceil(F.col("v") / tile_rows).cast("int").alias("q_parts"))
-    plan = F.broadcast(plan)  # one row per pivot at most
+                low, high, levels, base = reached.value[g]
+                for piece in _pieces(part, low.size):
+                    row, cell = box_visits(_stack(piece.vec), piece.limit.to_numpy(), low, high, levels)
+                    yield piece.iloc[row].assign(cell=(cell + base).astype(np.int32))[["grp", "qid", "vec", "limit", "cell"]]
 
-    def tiles(df: DataFrame, own: str, own_parts: str, other: str, other_parts: str, key: str) -> DataFrame:
-        return df.join(plan, ["grp", "cell"]).select(
-            "grp", "cell", key, "vec",
-            F.pmod(F.xxhash64(key), F.col(own_parts)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1)).alias(other))
+    return cell_join(asked, placed, lambda bounds: bounds.mapInPandas(
+        route, f"grp string, qid {_kind(queries, 'qid')}, vec array<double>, limit double, cell int"), k, exclude_self, tile_rows)
 
-    r_side = tiles(placed, "rp", "r_parts", "qp", "q_parts", "rid")
-    q_side = tiles(routed, "qp", "q_parts", "rp", "r_parts", "qid")
+
+def cell_boxes(placed: DataFrame, dims: int, cell: str) -> DataFrame:
+    """(grp, cell, low, high): the box that the references of each cell lie in."""
+    side = lambda f: F.filter(F.array(*[f(F.get("vec", F.lit(i))) for i in range(dims)]), lambda x: x.isNotNull())
+    return placed.groupBy("grp", cell).agg(side(F.min).alias("low"), side(F.max).alias("high"))
+
+
+def cell_join(asked: DataFrame, placed: DataFrame, route, k: int, exclude_self: bool, tile_rows: int) -> DataFrame:
+    """(grp, qid, rid, dist, rank) of queries (grp, qid, vec, cell) and references (grp, rid, vec, cell), written.
+
+    ``cell`` is a query's own; ``route`` takes (grp, qid, vec, limit), limits being squares of a distance that the
+    neighbours lie within, to (grp, qid, vec, limit, cell): all cells that reach there.
+    """
+    kinds = f"grp string, qid {_kind(asked, 'qid')}"
+    counts = placed.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+    def tiles(queries: DataFrame, one: bool) -> tuple[DataFrame, DataFrame]:
+        """Both sides cut into tiles; of the references' parts all, or the first."""
+        visits = queries.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("v"))
+        plan = materialize(counts.join(visits, ["grp", "cell"], "right").select(
+            "grp", "cell", F.coalesce(F.ceil(F.col("n") / tile_rows), F.lit(1)).cast("int").alias("r_parts"),
+            F.ceil(F.col("v") / tile_rows).cast("int").alias("q_parts")), "knn-plan")
+        r_part = F.pmod(F.xxhash64("rid"), F.col("r_parts")).cast("int").alias("rp")
+        q_part = F.pmod(F.xxhash64("qid"), F.col("q_parts")).cast("int").alias("qp")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+        r = placed.join(plan, ["grp", "cell"]).select("grp", "cell", "rid", "vec", r_part, every("q_parts").alias("qp"))
+        if one:
+            q = queries.join(plan, ["grp", "cell"]).select("grp", "cell", "qid", "vec", F.lit(0).alias("rp"), q_part)
+            return q, r.where("rp = 0")
+        return queries.join(plan, ["grp", "cell"]).select(
+            "grp", "cell", "qid", "vec", "limit", every("r_parts").alias("rp"), q_part), r
+
+    def bound(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        limit = np.full(len(left), np.inf)
+        if len(left) and len(right):
+            right = right.sort_values("rid")
+            tree = Tree(right.rid.to_numpy(), _stack(right.vec), k + int(exclude_self))
+            row, _, dist = tree.nearest(left.qid.to_numpy(), _stack(left.vec), k, exclude_self)
+            full = np.flatnonzero(np.bincount(row, minlength=len(left)) >= k)
+            limit[full] = reach(dist[np.searchsorted(row, full, side="right") - 1] ** 2)
+        return left[["grp", "qid", "vec"]].assign(limit=limit)
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"grp": [], "qid": [], "rid": [], "dist": []})
         if left.empty or right.empty:
-            return empty
+            return pd.DataFrame({"grp": [], "qid": [], "rid": [], "dist": []})
         right = right.sort_values("rid")
         qid, rid, dist = nearest(left.qid.to_numpy(), _stack(left.vec), right.rid.to_numpy(), _stack(right.vec),
-                                 k, exclude_self)
+                                 k, exclude_self, left.limit.to_numpy())
         return pd.DataFrame({"grp": left.grp.iloc[0], "qid": qid, "rid": rid, "dist": dist})
 
     keys = ["grp", "cell", "rp", "qp"]
+    asked = materialize(asked.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))), "knn-asked")
+    q_side, r_side = tiles(asked, True)
+    bounds = materialize(q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(
+        bound, f"{kinds}, vec array<double>, limit double"), "knn-bounds")
+    q_side, r_side = tiles(materialize(route(bounds), "knn-queries"), False)
     found = q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(
-        match, f"grp string, qid {_kind(queries, 'qid')}, rid {_kind(refs, 'rid')}, dist double")
+        match, f"{kinds}, rid {_kind(placed, 'rid')}, dist double")
     w = Window.partitionBy("grp", "qid").orderBy("dist", "rid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -8,7 +8,9 @@
 * Share and reach are measured: for a bounded sample of queries all lists are searched exactly, and where the true
   neighbours lie, and how their sketches differ, gives the recall of every setting at once.
 
-A share of 1 with all bits allowed makes the join exact.  Centres meet rows by group and chunk in a shuffle; nothing
+A share of 1 with all bits allowed makes the join exact; it then goes only to lists whose box reaches as near as the
+neighbours in the query's own list.  Otherwise a query is sent once to each slab, a run of lists of about a tile's rows,
+with the lists that it probes there.  Centres meet rows by group and chunk in a shuffle; nothing
 is broadcast, and lists of any size are cut into tiles.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import catalog
-from tidemark.operators import knn
+from tidemark.operators import kd, knn
 from tidemark.session import materialize
 
 #: References of a group that its centres are fitted on, and queries of a group that a share is measured by.
@@ -32,6 +34,8 @@ MAX_LISTS = 4_096
 ROUNDS = 10
 #: Rows of a group that meet its centres in one task.
 CHUNK_ROWS = 32_768
+#: The same where a row leaves once for each list or slab that it goes to.
+ROUTED_ROWS = 4_096
 #: Bits of a sketch, a multiple of 64.
 SKETCH_BITS = 256
 #: Share of the sample's neighbours that the probed lists hold, and whose sketches are near enough.
@@ -125,9 +129,9 @@ def fit_centres(refs: DataFrame, lists: int | None = None, sample_rows: int = SA
     return sample.groupBy("grp").applyInPandas(fit, "grp string, list int, centre array<double>")
 
 
-def _meet(rows: DataFrame, centres: DataFrame, key: str, run, schema: str) -> DataFrame:
+def _meet(rows: DataFrame, centres: DataFrame, key: str, run, schema: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Rows in chunks against all centres of their group: ``run(rows, centres)``."""
-    chunks = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_ROWS)).cast("int").alias("chunks"))
+    chunks = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows)).cast("int").alias("chunks"))
     left = rows.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64(key, F.lit(5)), F.col("chunks")).cast("int")).drop("chunks")
     right = centres.join(chunks, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     right = right.select(*[F.col(c).alias(f"c_{c}") for c in right.columns])
@@ -155,56 +159,88 @@ def build(refs: DataFrame, lists: int | None = None, sample_rows: int = SAMPLE_R
 
 
 def route(index: Index, queries: DataFrame, k: int, everything: bool = False) -> DataFrame:
-    """(grp, qid, vec, code, reach, list, before): the lists that a query probes, and the references in lists probed before."""
-    names = ["grp", "qid", "vec", "code", "reach", "list", "before"]
+    """(grp, qid, vec, code, reach, slab, lists, before): the lists of each slab that a query probes, and the references in
+    lists probed before each of them."""
+    names = ["grp", "qid", "vec", "code", "reach", "slab", "lists", "before"]
 
     def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or own.empty:
             return _no_rows(*names)
         own = own.sort_values("c_list")
-        centres, n = knn._stack(own.c_centre), own.c_n.to_numpy()
+        centres, n, lists, slab = knn._stack(own.c_centre), own.c_n.to_numpy(), own.c_list.to_numpy(), own.c_slab.to_numpy()
         total, share, reach = float(own.c_total.iloc[0]), float(own.c_share.iloc[0]), int(own.c_reach.iloc[0])
         out = []
         for piece in knn._pieces(rows, len(centres)):
             x = knn._stack(piece.vec)
             piece = piece.assign(code=sketches(x, centres), reach=SKETCH_BITS if everything else reach)
             order = np.argsort(_squares(x, centres), axis=1, kind="stable")
-            before = np.cumsum(n[order], axis=1) - n[order]
-            wanted = (n[order] > 0) & (everything | (before <= share * total) | (before < k))
-            row, at = np.nonzero(wanted)
-            out.append(piece.iloc[row].assign(list=own.c_list.to_numpy()[order[row, at]], before=before[row, at])[names])
+            met = np.cumsum(n[order], axis=1) - n[order]
+            before = np.empty_like(met)
+            np.put_along_axis(before, order, met, axis=1)
+            row, at = np.nonzero((n > 0) & (everything | (before <= share * total) | (before < k)))
+            # slabs are runs of lists, so that a row's lists of one slab are a run as well
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (slab[at[1:]] != slab[at[:-1]])]) if len(row) else row
+            parts = [np.split(v, first[1:]) if len(row) else [] for v in (lists[at], before[row, at])]
+            out.append(piece.iloc[row[first]].assign(slab=slab[at[first]], lists=pd.Series(parts[0], dtype=object).to_numpy(),
+                                                     before=pd.Series(parts[1], dtype=object).to_numpy())[names])
         return pd.concat(out)
 
     asked = queries.select("grp", "qid", "vec").where(complete(F.col("vec")))
     kind = knn._kind(queries, "qid")
-    return _meet(asked, index.centres, "qid", run,
-                 f"grp string, qid {kind}, vec array<double>, code array<long>, reach int, list int, before long")
+    return _meet(asked, _slabs(index), "qid", run, f"grp string, qid {kind}, vec array<double>, code array<long>, reach int, "
+                 "slab int, lists array<int>, before array<long>", ROUTED_ROWS)
+
+
+def _slabs(index: Index) -> DataFrame:
+    """The centres with the slab of their list: lists in order, a new slab after each ``knn.TILE_ROWS`` references."""
+    before = F.sum("n").over(Window.partitionBy("grp").orderBy("list")) - F.col("n")
+    return index.centres.withColumn("slab", F.floor(before / knn.TILE_ROWS).cast("int"))
+
+
+def _probes(routed: DataFrame) -> DataFrame:
+    """Routed queries with a row for each list that they probe."""
+    return routed.withColumn("__p", F.explode(F.arrays_zip("lists", "before"))).select(
+        "grp", "qid", "code", F.col("__p.lists").alias("list"), F.col("__p.before").alias("before"))
 
 
 def _best_of_tile(left: pd.DataFrame, right: pd.DataFrame, k: int, exclude_self: bool):
-    """(query ids, reference ids, distances, pairs compared) of one tile: exact distances where sketches are near enough."""
+    """(query ids, reference ids, distances, pairs compared) of one tile: exact distances where sketches are near enough.
+
+    Of the pairs whose sketches are near enough a matrix product tells which can be among the ``k`` nearest of the tile.
+    """
     right = right.sort_values("rid")
     qid, rid, q, r = left.qid.to_numpy(), right.rid.to_numpy(), knn._stack(left.vec), knn._stack(right.vec)
     a, b = (np.stack(x.code.to_numpy()).astype(np.int64).view(np.uint64) for x in (left, right))
     reach = left.reach.to_numpy()
+    lists, column = np.unique(right.list.to_numpy(), return_inverse=True)
+    probed = np.zeros((len(qid), len(lists)), bool)
+    for i, own in enumerate(left.lists):
+        probed[i] = np.isin(lists, own, assume_unique=True)
+    middle = r.mean(axis=0)
+    rm, qm = r - middle, q - middle
+    norms, own_norms = (rm * rm).sum(axis=1), (qm * qm).sum(axis=1)
+    wrong = kd.slack(q.shape[1], own_norms + norms.max())
     found, compared = [], 0
     step = max(1, knn.BLOCK // len(rid))
     for lo in range(0, len(qid), step):
-        near = np.ones((min(step, len(qid) - lo), len(rid)), bool) if reach.min() >= SKETCH_BITS \
-            else _apart(a[lo:lo + step], b) <= reach[lo:lo + step, None]
+        here = slice(lo, lo + step)
+        near = probed[here][:, column]
+        if reach.min() < SKETCH_BITS:
+            near &= _apart(a[here], b) <= reach[here, None]
         if exclude_self:
-            near &= qid[lo:lo + step, None] != rid[None, :]
+            near &= qid[here, None] != rid[None, :]
+        compared += int(np.count_nonzero(near))
+        squares = qm[here] @ rm.T
+        squares *= -2.0
+        squares += norms
+        squares += own_norms[here, None]
+        squares[~near] = np.inf
+        if len(rid) > k:
+            kth = np.partition(squares, k - 1, axis=1)[:, k - 1]
+            near &= squares <= (kd.reach(np.maximum(kth, 0.0) + wrong[here]) + wrong[here])[:, None]
         row, col = np.nonzero(near)
-        total = np.zeros(len(row))
-        for i in range(q.shape[1]):  # in the order of the exact join, so that distances are the same to the last bit
-            gap = q[lo + row, i] - r[col, i]
-            total += gap * gap
-        d = np.floor(np.sqrt(total) * knn.QUANTUM + 0.5) / knn.QUANTUM
-        order = np.lexsort((col, d, row))
-        row, col, d = row[order], col[order], d[order]
-        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-        found.append((qid[lo + row[keep]], rid[col[keep]], d[keep]))
-        compared += len(row)
+        row, col, d = kd.first_of_each(row, col, kd.quantised(kd.pair_squares(q[lo + row], r[col])), k)
+        found.append((qid[lo + row], rid[col], d))
     return (*(np.concatenate(x) for x in zip(*found)), compared)
 
 
@@ -213,34 +249,29 @@ def _ranked(index: Index, routed: DataFrame, k: int, exclude_self: bool, tile_ro
 
     A tile also says how many pairs it compared: a row without ids, with the number in ``dist``.
     """
-    plan = materialize(index.rows.groupBy("grp", "list").agg(F.count(F.lit(1)).alias("n")).join(
-        routed.groupBy("grp", "list").agg(F.count(F.lit(1)).alias("v")), ["grp", "list"]), "index-plan")
-    packs = knn._packs(plan, tile_rows)
-    parts = plan.select("grp", "list", F.ceil(F.col("n") / tile_rows).cast("int").alias("r_parts"),
-                        F.ceil(F.col("v") / tile_rows).cast("int").alias("q_parts"))
-    # lists are grouped into packs of a few tiles' rows, so that a group is worth a call
-    pack = F.pmod(F.xxhash64("grp", "list", "rp", "qp"), F.lit(packs)).cast("int")
+    rows = index.rows.join(F.broadcast(_slabs(index).select("grp", "list", "slab")), ["grp", "list"])
+    parts = materialize(rows.groupBy("grp", "slab").agg(F.count(F.lit(1)).alias("n")).join(
+        routed.groupBy("grp", "slab").agg(F.count(F.lit(1)).alias("v")), ["grp", "slab"]).select(
+        "grp", "slab", F.ceil(F.col("n") / tile_rows).cast("int").alias("r_parts"),
+        F.ceil(F.col("v") / tile_rows).cast("int").alias("q_parts")), "index-plan")
 
     def tiles(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        return df.join(parts, ["grp", "list"]).withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own[0]}_parts")).cast("int")) \
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other[0]}_parts") - 1))).drop("r_parts", "q_parts").withColumn("pack", pack)
+        return df.join(parts, ["grp", "slab"]).withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own[0]}_parts")).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other[0]}_parts") - 1))).drop("r_parts", "q_parts")
 
-    q_side = tiles(routed.select("grp", "qid", "vec", "code", "reach", "list"), "qid", "qp", "rp")
-    r_side = tiles(index.rows, "rid", "rp", "qp")
-    names = ["grp", "list", "rp", "qp"]
+    q_side = tiles(routed.select("grp", "qid", "vec", "code", "reach", "slab", "lists"), "qid", "qp", "rp")
+    r_side = tiles(rows, "rid", "rp", "qp")
+    names = ["grp", "slab", "rp", "qp"]
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = dict(tuple(right.groupby(names))) if len(right) else {}
-        out = []
-        for key, part in (left.groupby(names) if len(left) else ()):
-            if key in own:
-                qid, rid, dist, compared = _best_of_tile(part, own[key], k, exclude_self)
-                out.append(pd.DataFrame({"grp": key[0], "qid": pd.Series([*qid.tolist(), None], dtype=object),
-                                         "rid": pd.Series([*rid.tolist(), None], dtype=object), "dist": np.append(dist, float(compared))}))
-        return pd.concat(out) if out else _no_rows("grp", "qid", "rid", "dist")
+        if left.empty or right.empty:
+            return _no_rows("grp", "qid", "rid", "dist")
+        qid, rid, dist, compared = _best_of_tile(left, right, k, exclude_self)
+        return pd.DataFrame({"grp": left.grp.iloc[0], "qid": pd.Series([*qid.tolist(), None], dtype=object),
+                             "rid": pd.Series([*rid.tolist(), None], dtype=object), "dist": np.append(dist, float(compared))})
 
     schema = f"grp string, qid {knn._kind(routed, 'qid')}, rid {knn._kind(index.rows, 'rid')}, dist double"
-    return q_side.groupBy("pack").cogroup(r_side.groupBy("pack")).applyInPandas(match, schema)
+    return q_side.groupBy(*names).cogroup(r_side.groupBy(*names)).applyInPandas(match, schema)
 
 
 def _first(hits: DataFrame, k: int) -> DataFrame:
@@ -254,10 +285,57 @@ def search(index: Index, queries: DataFrame, k: int = catalog.NEIGHBOURS, exclud
 
     Queries of a group without references, and those without a complete vector, have no rows.
     """
+    if index.centres.where((F.col("share") < 1) | (F.col("reach") < SKETCH_BITS)).isEmpty():
+        return _searched(index, queries, k, exclude_self, tile_rows)
     routed = materialize(route(index, queries, k + int(exclude_self)), "index-routed")
     return _first(_ranked(index, routed, k, exclude_self, tile_rows), k)
 
 
+def _searched(index: Index, queries: DataFrame, k: int, exclude_self: bool, tile_rows: int) -> DataFrame:
+    """The exact search: lists are the cells of the exact join, and boxes say which of them a query needs."""
+    kept = knn.first_copies(index.rows.select("grp", "rid", "vec", "list"), k, exclude_self)
+    placed = materialize(kept.withColumnRenamed("list", "cell"), "index-kept")
+    dims = placed.agg(F.max(F.size("vec"))).first()[0]
+    boxes = knn.cell_boxes(placed, int(dims or 1), "cell").join(
+        placed.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")), ["grp", "cell"])
+    boxes = materialize(boxes.withColumnRenamed("cell", "list"), "index-boxes")
+    centres = index.centres.select("grp", "list", "centre").join(boxes, ["grp", "list"])
+    kinds = f"grp string, qid {knn._kind(queries, 'qid')}, vec array<double>"
+
+    def assign(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or own.empty:
+            return _no_rows("grp", "qid", "vec", "cell")
+        own = own.sort_values("c_list")
+        return rows[["grp", "qid", "vec"]].assign(
+            cell=own.c_list.to_numpy()[_nearest_centre(knn._stack(rows.vec), knn._stack(own.c_centre))])
+
+    def reached(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or own.empty:
+            return _no_rows("grp", "qid", "vec", "limit", "cell")
+        low, high, lists, n = knn._stack(own.c_low), knn._stack(own.c_high), own.c_list.to_numpy(), own.c_n.to_numpy()
+        out = []
+        for piece in knn._pieces(rows, len(own)):
+            x, limit = knn._stack(piece.vec), piece.limit.to_numpy().copy()
+            squares, far = np.zeros((len(x), len(own))), np.zeros((len(x), len(own)))
+            for i in range(x.shape[1]):
+                below, above = low[None, :, i] - x[:, i, None], x[:, i, None] - high[None, :, i]
+                gap, span = np.maximum(np.maximum(below, above), 0.0), np.maximum(-below, -above)
+                squares += gap * gap
+                far += span * span
+            short = np.flatnonzero(np.isinf(limit))
+            if len(short) and not exclude_self and n.sum() >= k:  # own list too short: the boxes that hold k rows for sure
+                order = np.argsort(far[short], axis=1)
+                enough = (np.cumsum(n[order], axis=1) >= k).argmax(axis=1)
+                limit[short] = kd.reach(far[short, order[np.arange(len(short)), enough]])
+            row, at = np.nonzero(squares <= limit[:, None])
+            out.append(piece.iloc[row].assign(cell=lists[at])[["grp", "qid", "vec", "limit", "cell"]])
+        return pd.concat(out)
+
+    asked = _meet(queries.select("grp", "qid", "vec").where(complete(F.col("vec"))), centres, "qid", assign, f"{kinds}, cell int")
+    return knn.cell_join(asked, placed, lambda bounds: _meet(
+        bounds, centres, "qid", reached, f"{kinds}, limit double, cell int", ROUTED_ROWS), k, exclude_self, tile_rows)
+
+
 def calibrate(index: Index, queries: DataFrame, k: int = catalog.NEIGHBOURS, exclude_self: bool = False,
               recall: float = SAMPLE_RECALL, sample_queries: int = SAMPLE_QUERIES, tile_rows: int = knn.TILE_ROWS) -> Index:
     """The index with each group's share and reach set to the least that hold ``recall`` of a sample's neighbours each.
@@ -270,7 +348,7 @@ def calibrate(index: Index, queries: DataFrame, k: int = catalog.NEIGHBOURS, exc
     exact = _first(_ranked(index, routed, k, exclude_self, tile_rows), k)
     found = exact.select("grp", "qid", "rid").join(
         index.rows.select("grp", "rid", "list", F.col("code").alias("there")), ["grp", "rid"])
-    needed = found.join(routed.select("grp", "qid", "list", "before", "code"), ["grp", "qid", "list"]).withColumn(
+    needed = found.join(_probes(routed), ["grp", "qid", "list"]).withColumn(
         "apart", F.aggregate(F.zip_with("code", "there", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, x: t + x))
     totals = index.centres.groupBy("grp").agg(F.first("total").alias("all"))
     settings = needed.join(totals, "grp").groupBy("grp").agg(
@@ -292,7 +370,7 @@ def recall(index: Index, queries: DataFrame, exact: DataFrame, k: int = catalog.
     measured = exact.select("grp", "qid", "rid").join(found, ["grp", "qid", "rid"], "left").groupBy("grp").agg(
         F.countDistinct("qid").alias("queries"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
     compared = hits.where(F.col("rid").isNull()).groupBy("grp").agg(F.sum("dist").cast("long").alias("compared"))
-    met = routed.groupBy("grp", "list").agg(F.count(F.lit(1)).alias("v")).join(
+    met = routed.select("grp", F.explode("lists").alias("list")).groupBy("grp", "list").agg(F.count(F.lit(1)).alias("v")).join(
         index.centres.select("grp", "list", "n", "total"), ["grp", "list"]).groupBy("grp").agg(
         F.sum(F.col("n") * F.col("v")).alias("met"), F.first("total").alias("refs"))
     return measured.join(met, "grp").join(compared, "grp").select("grp", "queries", "refs", "met", "compared", "recall")
