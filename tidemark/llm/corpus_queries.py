@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     bytebpe, collocations, hardneg, lmscore, minhash, mixing, packing, rans, rules, secrets, sharding, simhash, topk,
     weaklabel)
-from tidemark.llm.common import table
+from tidemark.llm.common import materialize, table
 
 CONTEXT = 1024
 SHINGLE_WORDS = 3
@@ -140,7 +140,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that fingerprints within 2 bits (those of ``op5``) or similar shingle sets connect."""
-    found = simhash.near_duplicates(docs, SHINGLE_WORDS)
+    found = materialize(simhash.near_duplicates(docs, SHINGLE_WORDS).select("key", "root").distinct(), "united")
     return minhash.one_of_each_similar(docs, united=found)
 
 
