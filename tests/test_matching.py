@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -94,3 +95,38 @@ def test_validation(spark):
     assert A.id_like_names(["paid_amount", "Phone", "tenure"]) == ["paid_amount", "Phone"]
     whole = spark.createDataFrame([("paid_amount",), ("user_id",)], "n string").where(A.id_like(F.col("n"), True))
     assert [r.n for r in whole.collect()] == ["user_id"]
+
+
+def shuffled_by(df):
+    """The key lists of all shuffles by upload in a frame's plan; those of the lexicon have a fixed size."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    keys = [re.sub(r"#\w+", "", k) for k in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)]
+    return [k for k in keys if "dataset_id" in k]
+
+
+def upload_rows(spark):
+    """Two uploads of unlike width, repeated and missing keys and names, and a header that is not matched."""
+    names = [*HEADERS, *HEADERS[:3], None, "", "status", "tenure", "region"]
+    rows = [(1, i % 9, n) for i, n in enumerate(names)] + [(2, i, n) for i, n in enumerate(HEADERS[:4])]
+    rows += [(None, 1, "tenure"), (2, None, "plan type"), (2, 9, "id")]
+    return MT.with_clean(spark.createDataFrame(rows, "dataset_id bigint, pos int, header string"))
+
+
+@pytest.mark.parametrize("corpora", [("detect",), catalog.INDUSTRIES])
+def test_wide_uploads_come_apart_with_the_same_similarities(spark, monkeypatch, corpora):
+    h = upload_rows(spark).withColumns({"corpus": F.lit(corpora[0]), "wanted": F.col("clean") != "id"})
+
+    def found():
+        return sorted((repr(tuple(r)) for r in MT.similarities(h, corpora).collect()))
+
+    whole = found()
+    monkeypatch.setattr(MT, "WIDE", 5)
+    assert [wide for _, wide in MT.by_upload(h)] == [False, True]
+    assert found() == whole and len(whole) > 20
+
+
+def test_headers_are_shuffled_once_before_their_grams(spark):
+    h = upload_rows(spark)
+    sims = MT.similarities(MT.detection_headers(h.drop("clean")), ("detect",))
+    assert shuffled_by(sims) == ["dataset_id"]
+    assert shuffled_by(MT.best_matches(h.drop("clean"))) == ["dataset_id"]

@@ -3,11 +3,14 @@
 The input is a table ``(dataset_id, pos, header)`` holding the columns of any number of
 uploads.  Similarity is exact name (1.0), known synonym (0.95), else the cosine of character
 2-4-gram TF-IDF vectors whose corpus is the lexicon plus the upload's own headers.  The
-cosine is a join on shared n-grams; the lexicon tables have a fixed size and are broadcast.
+cosine is a join on shared n-grams; the lexicon tables have a fixed size and are broadcast,
+and headers are shuffled once, by upload, before their n-grams are made.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ from tidemark import catalog
 from tidemark.functions.scalars import char_ngrams, clean_name, stable_round
 from tidemark.session import materialize, spread
 
+#: Headers that a task holds on average, and those of one upload that a task may hold.
+TASK_HEADERS = 10_000
+WIDE = 4_096
+
 
 def with_clean(headers: DataFrame) -> DataFrame:
     return headers.withColumn("clean", clean_name(F.col("header")))
@@ -37,6 +44,37 @@ def synonym_matches(headers: DataFrame) -> DataFrame:
     ).select("dataset_id", "pos", "header", "feature")
 
 
+def by_upload(headers: DataFrame) -> list[tuple[DataFrame, bool]]:
+    """The headers with their upload's number of them (``n_headers``), dealt out by upload, and whether they are not.
+
+    A task holds whole uploads, so whatever is grouped by upload needs no further shuffle.  Uploads wider than ``WIDE``
+    come apart, dealt out by header and marked: their groups are summed by joins, so that none is one task's.
+    """
+    known = headers.where(F.col("dataset_id").isNotNull())
+    counts = known.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_headers"))
+    row = counts.agg(F.sum("n_headers").alias("rows"), F.max("n_headers").alias("widest")).first()
+    least = -(-(row["rows"] or 0) // TASK_HEADERS)
+    if (row["widest"] or 0) <= WIDE:
+        return [(_total(spread(known, "dataset_id", least=least), ["dataset_id"], F.count(F.lit(1)), "n_headers", False), False)]
+    sized = known.join(counts, "dataset_id")
+    wide = F.col("n_headers") > WIDE
+    return [(spread(sized.where(~wide), "dataset_id", least=least), False),
+            (spread(sized.where(wide), "dataset_id", "pos", least=least), True)]
+
+
+def _total(df: DataFrame, keys: list[str], total: Column, name: str, wide: bool) -> DataFrame:
+    """Every row with the total of its group: within the task that holds its upload, or by a join if none does.
+
+    Size estimates ignore what exploding adds, so the planner might broadcast the groups of all uploads; the hint keeps
+    the join shuffled whatever the estimate.
+    """
+    if not wide:
+        return df.withColumn(name, total.over(Window.partitionBy(*keys)))
+    sums = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(total.alias(name)).hint("merge")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return df.join(sums, same).drop(*[f"__{k}" for k in keys])
+
+
 def similarities(headers: DataFrame, corpora: tuple[str, ...]) -> DataFrame:
     """(dataset_id, pos, feature, similarity, method) for every related pair.
 
@@ -44,82 +82,66 @@ def similarities(headers: DataFrame, corpora: tuple[str, ...]) -> DataFrame:
     upload) and ``wanted``: every row shapes the document frequencies, wanted rows are
     matched.  Features outside the corpus' schemas do not appear.
     """
+    parts = [_similarities(rows, corpora, wide) for rows, wide in by_upload(headers)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _similarities(headers: DataFrame, corpora: tuple[str, ...], wide: bool) -> DataFrame:
     spark = headers.sparkSession
     sizes = F.create_map(*[x for c in corpora for x in (F.lit(c), F.lit(len(catalog.corpus_documents(c))))])
-    counts = headers.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_headers"))
-    h = headers.join(counts, "dataset_id").withColumn(
-        "a", F.log(1.0 + sizes[F.col("corpus")] + F.col("n_headers")))
-
-    grams = (
-        spread(h, "dataset_id", "pos")
-        .select("dataset_id", "pos", "corpus", "a", "wanted", char_ngrams(F.col("clean")).alias("g"))
-        .withColumn("gram", F.explode(F.array_distinct("g")))
-        .withColumn("tf", F.size(F.filter("g", lambda x: x == F.col("gram"))).cast("double"))
-        .drop("g")
-    )
-    # Both readers below take this aggregate with the same columns, so its shuffle is reused.
-    used = (
-        grams.withColumnsRenamed({"corpus": "corpus_d", "a": "a_d"})
-        .groupBy("dataset_id", "gram", "corpus_d", "a_d").agg(F.count(F.lit(1)).alias("df_d"))
-    )
-    lex = F.broadcast(catalog.corpus_gram_table(spark, corpora))
+    entry = "array<struct<feature:string,tf_f:double,ladder:double>>"
+    none = F.lit(None).cast("double")
+    ladder = F.broadcast(catalog.name_ladder(spark).groupBy("alias_clean").agg(
+        F.collect_list(F.struct("feature", none.alias("tf_f"), "ladder")).alias("named")))
     # only features of the upload's own corpus are expanded: 21 of an industry, not all 75
-    feature_grams = catalog.feature_gram_table(spark, corpora)
-    features = F.broadcast(feature_grams.groupBy("corpus", "gram").agg(
-        F.collect_list(F.struct("feature", "tf_f")).alias("in_features")))
+    in_features = catalog.feature_gram_table(spark, corpora).groupBy("corpus", "gram").agg(
+        F.collect_list(F.struct("feature", "tf_f", none.alias("ladder"))).alias("in_features"))
+    lex = F.broadcast(catalog.corpus_gram_table(spark, corpora).join(in_features, ["corpus", "gram"], "left"))
     norms = F.broadcast(catalog.feature_norm_table(spark, corpora))
 
     def idf(df: Column) -> Column:
         return F.col("a") - F.log(1.0 + df) + 1.0
 
+    # One row per distinct gram of a header, and one without a gram that carries its names.
+    once = F.transform("d", lambda x: F.struct(x.alias("gram"), F.lit(1.0).alias("tf")))
+    often = F.transform("d", lambda x: F.struct(x.alias("gram"), F.size(F.filter("g", lambda y: y == x)).cast("double").alias("tf")))
+    names = F.array(F.struct(F.lit("").alias("gram"), F.lit(0.0).alias("tf")))
+    grams = (
+        headers.withColumn("a", F.log(1.0 + sizes[F.col("corpus")] + F.col("n_headers")))
+        .join(ladder, F.col("clean") == F.col("alias_clean"), "left")
+        .withColumn("g", F.coalesce(char_ngrams(F.col("clean")), F.array().cast("array<string>")))
+        .withColumn("d", F.array_distinct("g"))
+        .select("dataset_id", "pos", "corpus", "a", "wanted", "named",
+                F.inline(F.concat(F.when(F.size("g") == F.size("d"), once).otherwise(often), names)))
+    )
+    named = F.when(F.col("wanted"), F.col("named"))
+    # Dot products with every feature sharing a gram; the header's own norm rides along under the empty feature name.
+    own = F.array(F.struct(F.lit("").alias("feature"), F.lit(0.0).alias("tf_f"), none.alias("ladder")))
+    found = F.when(F.col("gram") == "", F.coalesce(named, F.array().cast(entry))).otherwise(
+        F.concat(own, F.coalesce("in_features", F.array().cast(entry))))
     known = F.coalesce("df_lex", F.lit(0))
-    # Size estimates ignore what exploding adds, so the planner might broadcast the n-grams
-    # of all uploads; the hint keeps this join shuffled whatever the estimate.
-    # Dot products with every feature sharing a gram; the header's own norm rides along
-    # under the empty feature name, so one shuffle serves both.
-    own = F.array(F.struct(F.lit("").alias("feature"), F.lit(0.0).alias("tf_f")))
     weights = (
-        grams.where("wanted").join(used.hint("merge"), ["dataset_id", "gram"])
-        .join(lex, ["corpus", "gram"], "left").join(features, ["corpus", "gram"], "left")
-        .withColumn("idf", idf(known + F.col("df_d")))
-        .select("dataset_id", "pos", "corpus", "a", "tf", "idf",
-                F.inline(F.concat(own, F.coalesce("in_features", F.expr("array()").cast(
-                    "array<struct<feature:string,tf_f:double>>")))))
-    )
-    squared = F.col("tf") * F.col("tf") * F.col("idf") * F.col("idf")
-    part = F.when(F.col("feature") == "", squared).otherwise(
-        F.col("tf") * F.col("tf_f") * F.col("idf") * F.col("idf"))
-    cosine_parts = weights.select("dataset_id", "pos", "corpus", "a", "feature", part.alias("s"),
-                                  F.lit(None).cast("double").alias("ladder"))
-    ladder_table = F.broadcast(catalog.name_ladder(spark))
-    named = h.where("wanted").join(ladder_table, F.col("clean") == F.col("alias_clean")).select(
-        "dataset_id", "pos", "corpus", "a", "feature", F.lit(0.0).alias("s"), "ladder")
-    pairs = cosine_parts.unionByName(named).groupBy("dataset_id", "pos", "corpus", "a", "feature").agg(
-        F.sum("s").alias("s"), F.max("ladder").alias("ladder"))
-    header_norm = F.max(F.when(F.col("feature") == "", F.col("s"))).over(Window.partitionBy("dataset_id", "pos"))
-
-    feature_rows = F.broadcast(feature_grams)
-    shift = F.col("tf_f") * F.col("tf_f") * (
-        idf(F.col("df_lex") + F.col("df_d")) * idf(F.col("df_lex") + F.col("df_d"))
-        - idf(F.col("df_lex")) * idf(F.col("df_lex")))
-    adjusted = (
-        used.withColumnsRenamed({"corpus_d": "corpus", "a_d": "a"})
-        .join(lex, ["corpus", "gram"]).join(feature_rows, ["corpus", "gram"])
-        .groupBy("dataset_id", "feature").agg(F.sum(shift).alias("adjust"))
+        _total(grams, ["dataset_id", "gram"], F.count(F.lit(1)), "df_d", wide)
+        .join(lex, ["corpus", "gram"], "left")
+        .withColumns({"used": idf(known + F.col("df_d")), "unused": idf(known)})
+        .select("dataset_id", "pos", "corpus", "a", "wanted", "tf", "df_d", (F.col("used") * F.col("used")).alias("w"),
+                (F.col("unused") * F.col("unused")).alias("w0"), F.inline(found))
     )
+    part = F.col("tf") * F.when(F.col("feature") == "", F.col("tf")).otherwise(F.col("tf_f")) * F.col("w")
+    # A gram that the upload uses shifts the norm of its features, once for all headers that have it.
+    shift = F.col("tf_f") * F.col("tf_f") * (F.col("w") - F.col("w0")) / F.col("df_d")
+    pairs = weights.groupBy("dataset_id", "pos", "corpus", "a", "wanted", "feature").agg(
+        F.coalesce(F.sum(part), F.lit(0.0)).alias("s"), F.sum(shift).alias("shift"), F.max("ladder").alias("ladder"))
+    pairs = _total(pairs, ["dataset_id", "feature"], F.sum("shift"), "adjust", wide).where("wanted").drop("wanted")
+    pairs = _total(pairs, ["dataset_id", "pos"], F.max(F.when(F.col("feature") == "", F.col("s"))), "h2", wide)
     a = F.col("a")
     feature_norm = a * a * F.col("s0") + 2 * a * F.col("s1") + F.col("s2") + F.coalesce("adjust", F.lit(0.0))
     cosine = F.coalesce(F.col("s") / F.sqrt(F.col("h2") * feature_norm), F.lit(0.0))
-    return (
-        pairs.withColumn("h2", header_norm).where("feature <> ''")
-        .join(norms, ["corpus", "feature"])
-        .join(adjusted, ["dataset_id", "feature"], "left")
-        .select(
-            "dataset_id", "pos", "feature",
-            stable_round(F.coalesce("ladder", cosine), 9).alias("similarity"),
-            F.when(F.col("ladder") == catalog.EXACT_SIMILARITY, "exact")
-            .when(F.col("ladder").isNotNull(), "synonym").otherwise("ngram").alias("method"),
-        )
+    return pairs.where("feature <> ''").join(norms, ["corpus", "feature"]).select(
+        "dataset_id", "pos", "feature",
+        stable_round(F.coalesce("ladder", cosine), 9).alias("similarity"),
+        F.when(F.col("ladder") == catalog.EXACT_SIMILARITY, "exact")
+        .when(F.col("ladder").isNotNull(), "synonym").otherwise("ngram").alias("method"),
     )
 
 

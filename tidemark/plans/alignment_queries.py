@@ -15,7 +15,7 @@ from tidemark.operators.preprocess import TypeCaster
 from tidemark.operators.selection import ordinal
 from tidemark.plans import common, header_queries  # noqa: F401
 from tidemark.plans.registry import define_cte, query, rnd
-from tidemark.session import scratch_path
+from tidemark.session import materialize, scratch_path
 from tidemark.sources import customers as C
 from tidemark.sources import tables as TB
 from tidemark.sources import uploads as U
@@ -281,7 +281,7 @@ SELECT dataset_id, industry, count(CASE WHEN mapped THEN 1 END) AS mapped_featur
 def upload_status(spark, base):
     def build(spark, base):
         h = U.upload_headers(spark, base)
-        industries = MT.detect_industries(h)
+        industries = materialize(MT.detect_industries(h), "industries")  # read twice below
         return A.feature_status(MT.column_mapping(h, industries), industries)
     return TB.stored(spark, base, "upload-status", ("part",), build)
 

@@ -52,8 +52,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows over all cores ahead of a step that expands each of them many times.
+def spread(df: DataFrame, *keys: str, least: int = 0) -> DataFrame:
+    """Spread rows over all cores, in ``least`` partitions or more, ahead of a step that expands each of them many times.
 
     A small file is one partition, and adaptive execution would merge a plain repartition
     back into one by its size before the expansion.
@@ -62,7 +62,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if spark.sparkContext.master.startswith("local"):
         parts = min(parts, spark.sparkContext.defaultParallelism)
-    return df.repartition(parts, *keys)
+    return df.repartition(max(parts, least), *keys)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
