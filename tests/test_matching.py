@@ -130,3 +130,20 @@ def test_headers_are_shuffled_once_before_their_grams(spark):
     sims = MT.similarities(MT.detection_headers(h.drop("clean")), ("detect",))
     assert shuffled_by(sims) == ["dataset_id"]
     assert shuffled_by(MT.best_matches(h.drop("clean"))) == ["dataset_id"]
+
+
+def test_tfidf_is_dealt_out_by_upload_and_equals_definition(spark, monkeypatch):
+    names = [catalog.clean(n) for n in HEADERS]
+    df = Counter(g for n in names for g in set(catalog.char_ngrams(n)))
+    want = {}
+    for i, n in enumerate(names):
+        v = {g: c * (math.log((1 + len(names)) / (1 + df[g])) + 1) for g, c in Counter(catalog.char_ngrams(n)).items()}
+        want |= {(i, g): x / math.sqrt(sum(y * y for y in v.values())) for g, x in v.items()}
+    h = MT.with_clean(MT.header_frame(spark, HEADERS))
+    assert shuffled_by(MT.tfidf(h)) == ["dataset_id"]
+    with monkeypatch.context() as small:
+        small.setattr(MT, "TASK_HEADERS", 1)
+        assert MT.tfidf(h).rdd.getNumPartitions() >= len(HEADERS)
+    for width in (MT.WIDE, 3):
+        monkeypatch.setattr(MT, "WIDE", width)
+        assert {(r.pos, r.gram): r.weight for r in MT.tfidf(h).collect()} == pytest.approx(want)

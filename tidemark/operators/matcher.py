@@ -326,12 +326,13 @@ def similarity_score(spark, left: str, right: str, names: list[str] | None = Non
 
 def tfidf(headers: DataFrame) -> DataFrame:
     """(dataset_id, pos, gram, weight): smoothed, L2-normalised TF-IDF with one corpus per upload."""
-    n = headers.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("nn"))
-    grams = headers.join(n, "dataset_id").select(
-        "dataset_id", "pos", "nn", F.explode(char_ngrams(F.col("clean"))).alias("gram"))
-    tf = grams.groupBy("dataset_id", "pos", "gram", "nn").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("dataset_id", "gram").agg(F.count(F.lit(1)).alias("df"))
-    x = F.col("tf") * (F.log((1.0 + F.col("nn")) / (1.0 + F.col("df"))) + 1.0)
-    weighted = tf.join(df.hint("merge"), ["dataset_id", "gram"]).withColumn("x", x)
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("dataset_id", "pos")))
-    return weighted.select("dataset_id", "pos", "gram", (F.col("x") / norm).alias("weight"))
+    return reduce(DataFrame.unionByName, [_tfidf(rows, wide) for rows, wide in by_upload(headers)])
+
+
+def _tfidf(headers: DataFrame, wide: bool) -> DataFrame:
+    grams = headers.select("dataset_id", "pos", "n_headers", F.explode(char_ngrams(F.col("clean"))).alias("gram"))
+    tf = grams.groupBy("dataset_id", "pos", "gram", "n_headers").agg(F.count(F.lit(1)).alias("tf"))
+    x = F.col("tf") * (F.log((1.0 + F.col("n_headers")) / (1.0 + F.col("df"))) + 1.0)
+    weighted = _total(tf, ["dataset_id", "gram"], F.count(F.lit(1)), "df", wide).withColumn("x", x)
+    normed = _total(weighted, ["dataset_id", "pos"], F.sum(F.col("x") * F.col("x")), "squares", wide)
+    return normed.select("dataset_id", "pos", "gram", (F.col("x") / F.sqrt("squares")).alias("weight"))
