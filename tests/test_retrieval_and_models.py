@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.operators import knn as K
 from tidemark.operators import lifecycle as L
 from tidemark.operators import models as MD
@@ -91,6 +92,18 @@ def test_stack_scores_and_round_trips(labelled, tmp_path):
     assert gap < 1e-9
 
 
+def test_rows_of_many_fits_lie_in_as_few_partitions_as_they_need(labelled, monkeypatch):
+    def prepared():
+        return MD.prepare(labelled, ["tenure_months", "monthly_spend_usd"], ["region"], "customer_id", folds=2)
+
+    cores = labelled.sparkSession.sparkContext.defaultParallelism
+    few = prepared()
+    assert few.rows.rdd.getNumPartitions() == 1 and few.threads == max(MD.FITS, 2 * cores) and few.rows.count() == 400
+    monkeypatch.setattr(session, "PASS_ROWS", 10)
+    many = prepared()
+    assert many.rows.rdd.getNumPartitions() % cores == 0 and many.threads == MD.FITS and many.rows.count() == 400
+
+
 def test_augment_commits_only_after_the_guardrail(spark, labelled, tmp_path):
     path = str(tmp_path / "base")
     labelled.withColumn("part", F.when(F.col("customer_id") % 4 == 0, "val").otherwise("train")).write.partitionBy("part").parquet(path)
