@@ -63,3 +63,13 @@ def test_exact_index_routes_a_query_to_few_lists(spark, monkeypatch):
     got = {tuple(r) for r in KI.search(KI.build(refs), queries).select("qid", "rid", "dist", "rank").collect()}
     assert got == {tuple(r) for r in K.knn_join(queries, refs).select("qid", "rid", "dist", "rank").collect()}
     assert sent[0] < 0.25 * 4_000 * 64  # 64 lists
+
+
+def test_queries_of_one_partition_are_searched_in_several(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    rows = spark.createDataFrame([("", i, v.tolist()) for i, v in enumerate(x)], "grp string, id bigint, vec array<double>").coalesce(1)
+    found = K.knn_join(rows.withColumnRenamed("id", "qid"), rows.withColumnRenamed("id", "rid"), k=1)
+    per_task = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 1 and max(r["count"] for r in per_task) < 300
+    assert all(r.qid == r.rid and r.dist == 0 for r in found.collect())

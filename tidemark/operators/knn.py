@@ -5,7 +5,7 @@ depend on partitioning or summation order.
 
 * Of references with one vector only the first ids can be among the nearest; the others are left out first.
 * References that provably fit (``rows x features`` below ``broadcast_values``) are broadcast as a k-d tree
-  (``kd.py``) that every query batch is searched in.
+  (``kd.py``) that every query batch is searched in, in tasks of equal size whatever files the queries come from.
 * Larger references are cut into the cells of a k-d tree over a sample.  A query's own cell gives a distance
   that its neighbours lie within, and only cells whose box reaches into this ball are visited.
   Cells are split into tiles of bounded size on both sides; a tile emits at most k rows per
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark import catalog
 from tidemark.functions.scalars import similarity_pct, stable_round
 from tidemark.operators.kd import BLOCK, QUANTUM, Tree, box_visits, distances, reach  # noqa: F401
-from tidemark.session import materialize
+from tidemark.session import materialize, spread
 
 BROADCAST_VALUES = 4_000_000
 TILE_ROWS = 8_192
@@ -116,7 +116,9 @@ def _broadcast_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: b
                 yield pd.DataFrame({"grp": g, "qid": qid, "rid": tree.rid[col], "dist": dist,
                                     "rank": (np.arange(len(qid)) - starts + 1).astype(np.int32)})
 
-    return queries.select("grp", "qid", "vec").mapInPandas(
+    # rows of one id stay side by side, as their ranks are counted on
+    asked = spread(queries.select("grp", "qid", "vec"), "qid").sortWithinPartitions("qid")
+    return asked.mapInPandas(
         rank, f"grp string, qid {_kind(queries, 'qid')}, rid {_kind(refs, 'rid')}, dist double, rank int")
 
 
@@ -138,7 +140,7 @@ def _tiled_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool,
 
     placed = materialize(refs.select("grp", "rid", "vec").mapInPandas(
         assign, f"grp string, rid {_kind(refs, 'rid')}, vec array<double>, cell int"), "knn-refs")
-    asked = queries.select("grp", "qid", "vec").mapInPandas(
+    asked = spread(queries.select("grp", "qid", "vec")).mapInPandas(
         assign, f"grp string, qid {_kind(queries, 'qid')}, vec array<double>, cell int")
     # One row per cell: bounded by their number.
     boxes = _by_group(cell_boxes(placed, dims, "cell").select("grp", "cell", F.concat("low", "high").alias("vec")), "cell")
