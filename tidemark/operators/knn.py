@@ -110,15 +110,11 @@ def _broadcast_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: b
                     continue
                 tree, qid = shared.value[g], part.qid.to_numpy()
                 row, col, dist = tree.nearest(qid, _stack(part.vec), k, exclude_self)
-                qid = qid[row]
-                first = np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]]) if len(qid) else np.array([], dtype=int)
-                starts = np.repeat(first, np.diff(np.r_[first, len(qid)]))
-                yield pd.DataFrame({"grp": g, "qid": qid, "rid": tree.rid[col], "dist": dist,
-                                    "rank": (np.arange(len(qid)) - starts + 1).astype(np.int32)})
-
-    # rows of one id stay side by side, as their ranks are counted on
-    asked = spread(queries.select("grp", "qid", "vec"), "qid").sortWithinPartitions("qid")
-    return asked.mapInPandas(
+                # a row's rank counts its own neighbours, whatever rows share its id and wherever they lie
+                yield pd.DataFrame({"grp": g, "qid": qid[row], "rid": tree.rid[col], "dist": dist,
+                                    "rank": (np.arange(len(row)) - np.searchsorted(row, row) + 1).astype(np.int32)})
+
+    return spread(queries.select("grp", "qid", "vec")).mapInPandas(
         rank, f"grp string, qid {_kind(queries, 'qid')}, rid {_kind(refs, 'rid')}, dist double, rank int")
 
 
