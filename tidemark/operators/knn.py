@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions.scalars import similarity_pct, stable_round
-from tidemark.operators.kd import BLOCK, QUANTUM, Tree, box_visits, distances, reach  # noqa: F401
+from tidemark.operators.kd import (  # noqa: F401
+    BLOCK, LEAF, QUANTUM, Tree, box_visits, distances, first_of_each, pair_squares, quantised, reach,
+)
 from tidemark.session import materialize, spread
 
 BROADCAST_VALUES = 4_000_000
@@ -230,23 +232,60 @@ def cell_join(asked: DataFrame, placed: DataFrame, route, k: int, exclude_self:
 # Approximate join: bucketed random projections with exact re-ranking
 # ---------------------------------------------------------------------------
 LSH_TABLES, LSH_PROJECTIONS, LSH_WIDTH = 24, 3, 4.0
+#: Calibrated widths: queries of a group that they are measured on, their recall there, and how often a width is narrowed at most.
+LSH_SAMPLE, LSH_TARGET, LSH_STEPS = 512, 0.95, 24
 
 
-def _buckets(df: DataFrame, key: str, dims: int, width: float, tables: int, projections: int, seed: int = 17) -> DataFrame:
-    """(grp, key, vec, cell): a row per hash table, the cell naming table and bucket."""
+def _lines(dims: int, tables: int, projections: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Projections of each hash table and their shifts in widths."""
     rng = np.random.default_rng(seed)
-    lines = rng.normal(size=(tables, projections, dims))
-    shifts = rng.uniform(0, width, size=(tables, projections))
+    return rng.normal(size=(tables, projections, dims)), rng.uniform(0, 1, size=(tables, projections))
+
+
+def _buckets(df: DataFrame, key: str, dims: int, width: float | dict[str, float], tables: int, projections: int) -> DataFrame:
+    """(grp, key, vec, cell): a row per hash table, the cell naming table and bucket; ``width`` may be each group's own."""
+    lines, shifts = _lines(dims, tables, projections)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for piece in _pieces(batch, tables * dims):
                 x = _stack(piece.vec)
+                own = piece.grp.map(width).fillna(LSH_WIDTH).to_numpy()[:, None] if isinstance(width, dict) else width
                 for t in range(tables):
-                    at = np.floor((x @ lines[t].T + shifts[t]) / width).astype(np.int64)
+                    at = np.floor((x @ lines[t].T) / own + shifts[t]).astype(np.int64)
                     yield piece.assign(cell=[f"{t}:" + ":".join(map(str, row)) for row in at.tolist()])
 
-    return df.select("grp", key, "vec").mapInPandas(run, f"grp string, {key} {_kind(df, key)}, vec array<double>, cell string")
+    return spread(df.select("grp", key, "vec")).mapInPandas(run, f"grp string, {key} {_kind(df, key)}, vec array<double>, cell string")
+
+
+def lsh_widths(exact: DataFrame, queries: DataFrame, refs: DataFrame, tables: int = LSH_TABLES,
+               projections: int = LSH_PROJECTIONS) -> dict[str, float]:
+    """The narrowest width of each group, ``LSH_WIDTH`` at most, that finds the neighbours of a bounded sample of its queries.
+
+    The nearer neighbours are, the narrower buckets may be: buckets then hold few rows however many there are in all.
+    """
+    first = Window.partitionBy("grp").orderBy(F.xxhash64("qid"))
+    picked = queries.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= LSH_SAMPLE).select(
+        "grp", "qid", F.col("vec").alias("a"))
+    pairs = exact.join(picked, ["grp", "qid"]).join(refs.select("grp", "rid", F.col("vec").alias("b")), ["grp", "rid"])
+    gaps = _by_group(pairs.select("grp", F.concat("a", "b").alias("vec")))
+    out = {}
+    for g, (both,) in gaps.items():
+        a, b = np.split(both, 2, axis=1)
+        lines, shifts = _lines(a.shape[1], tables, projections)
+        a, b = (np.einsum("nd,tpd->ntp", x, lines) for x in (a, b))
+        out[g] = LSH_WIDTH
+        for i in range(1, LSH_STEPS + 1):
+            width = LSH_WIDTH * 0.75 ** i
+            if (np.floor(a / width + shifts) == np.floor(b / width + shifts)).all(axis=2).any(axis=1).mean() < LSH_TARGET:
+                break
+            out[g] = width
+    return out
+
+
+def _lsh_refs(refs: DataFrame, k: int) -> DataFrame:
+    """References without later copies of a vector; all rows of an id stay, as repeats are dropped from the hits."""
+    return materialize(first_copies(refs.select("grp", "rid", "vec"), k, True), "lsh-kept")
 
 
 def _lsh_sides(queries, refs, width, tables, projections, tile_rows):
@@ -284,6 +323,33 @@ def _packed(q: DataFrame, r: DataFrame, plan: DataFrame, tile_rows: int) -> tupl
     return q_side, r_side
 
 
+def _tile_hits(left: pd.DataFrame, right: pd.DataFrame, tile: np.ndarray, start: np.ndarray, n: np.ndarray,
+               k: int, exclude_self: bool) -> Iterator[dict]:
+    """Hits of queries in their tiles, rows ``start`` to ``start + n`` of ``right``: many small tiles at once, large ones by tree."""
+    grp, qid, rid = left.grp.to_numpy(), left.qid.to_numpy(), right.rid.to_numpy()
+    q, r = _stack(left.vec), _stack(right.vec)
+    small = np.flatnonzero((n > 0) & (n <= LEAF) & np.isfinite(q).all(axis=1))
+    pairs = np.cumsum(n[small])
+    ends = np.searchsorted(pairs, np.arange(1, -(-int(pairs[-1]) // (BLOCK // q.shape[1])) + 1) * (BLOCK // q.shape[1])) if len(small) else []
+    for rows in np.split(small, ends):
+        row = np.repeat(rows, n[rows])
+        col = np.arange(len(row)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows]) + start[row]
+        if exclude_self:
+            other = qid[row] != rid[col]
+            row, col = row[other], col[other]
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = quantised(pair_squares(q[row], r[col]))
+        near = np.isfinite(d)
+        row, col, d = first_of_each(row[near], col[near], d[near], k)
+        yield {"grp": grp[row], "qid": qid[row], "rid": rid[col], "dist": d}
+    large = np.flatnonzero(n > LEAF)
+    large = large[np.argsort(tile[large], kind="stable")]
+    for rows in np.split(large, np.flatnonzero(np.diff(tile[large])) + 1) if len(large) else ():
+        part = slice(start[rows[0]], start[rows[0]] + n[rows[0]])
+        found, other, d = nearest(qid[rows], q[rows], rid[part], r[part], k, exclude_self)
+        yield {"grp": grp[rows[0]], "qid": found, "rid": other, "dist": d}
+
+
 def knn_join_lsh(queries: DataFrame, refs: DataFrame, k: int = catalog.NEIGHBOURS, exclude_self: bool = False,
                  width: float = LSH_WIDTH, tables: int = LSH_TABLES, projections: int = LSH_PROJECTIONS,
                  tile_rows: int = TILE_ROWS, sides=None) -> DataFrame:
@@ -293,31 +359,37 @@ def knn_join_lsh(queries: DataFrame, refs: DataFrame, k: int = catalog.NEIGHBOUR
     ``tile_rows`` on both sides, and a tile emits at most ``k`` rows per query, never its pairs.  A query
     that shares no bucket with a reference has no rows.
     """
-    q, r, plan = sides or _lsh_sides(queries, refs, width, tables, projections, tile_rows)
+    q, r, plan = sides or _lsh_sides(queries, _lsh_refs(refs, k), width, tables, projections, tile_rows)
     q_side, r_side = _packed(q, r, plan, tile_rows)
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["grp", "cell", "rp", "qp"]
-        own = dict(tuple(right.groupby(names))) if len(right) else {}
-        found = []
-        for key, part in (left.groupby(names) if len(left) else ()):
-            if key in own:
-                other = own[key].sort_values("rid")
-                qid, rid, dist = nearest(part.qid.to_numpy(), _stack(part.vec), other.rid.to_numpy(), _stack(other.vec), k, exclude_self)
-                found.append(pd.DataFrame({"grp": key[0], "qid": qid, "rid": rid, "dist": dist}))
-        return pd.concat(found) if found else pd.DataFrame({"grp": [], "qid": [], "rid": [], "dist": []})
-
+        found = [pd.DataFrame({"grp": [], "qid": [], "rid": [], "dist": []})]
+        if len(left) and len(right):
+            names = ["grp", "cell", "rp", "qp"]
+            tile = pd.concat([left[names], right[names]]).groupby(names, sort=False).ngroup().to_numpy()
+            order = np.lexsort((pd.factorize(right.rid, sort=True)[0], tile[len(left):]))
+            right, own = right.iloc[order], tile[len(left):][order]
+            start, end = (np.searchsorted(own, tile[:len(left)], side) for side in ("left", "right"))
+            found += [pd.DataFrame(f) for f in _tile_hits(left, right, tile[:len(left)], start, end - start, k, exclude_self)]
+        return pd.concat([f for f in found if len(f)] or found)
+
+    # all hits of a query meet once, to lose repeats and to be ranked
     hits = q_side.groupBy("pack").cogroup(r_side.groupBy("pack")).applyInPandas(
-        match, f"grp string, qid {_kind(q, 'qid')}, rid {_kind(r, 'rid')}, dist double").distinct()
+        match, f"grp string, qid {_kind(q, 'qid')}, rid {_kind(r, 'rid')}, dist double").repartition("grp", "qid").distinct()
     w = Window.partitionBy("grp", "qid").orderBy("dist", "rid")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def lsh_recall(queries: DataFrame, refs: DataFrame, k: int = catalog.NEIGHBOURS, exclude_self: bool = False, **how) -> DataFrame:
-    """(grp, queries, recall, compared, all_pairs): the hashed join measured against the exact one."""
-    settings = {"width": LSH_WIDTH, "tables": LSH_TABLES, "projections": LSH_PROJECTIONS, "tile_rows": TILE_ROWS} | how
-    sides = _lsh_sides(queries, refs, **settings)
+    """(grp, queries, recall, compared, all_pairs): the hashed join measured against the exact one.
+
+    Where no ``width`` is given, each group has its own (``lsh_widths``).
+    """
     exact = materialize(knn_join(queries, refs, k, exclude_self), "knn-exact")
+    settings = {"tables": LSH_TABLES, "projections": LSH_PROJECTIONS, "tile_rows": TILE_ROWS} | how
+    if "width" not in settings:
+        settings["width"] = lsh_widths(exact, queries, refs, settings["tables"], settings["projections"])
+    sides = _lsh_sides(queries, _lsh_refs(refs, k), **settings)
     found = knn_join_lsh(queries, refs, k, exclude_self, sides=sides, **settings).select("grp", "qid", "rid", F.lit(1).alias("hit"))
     recall = exact.join(found, ["grp", "qid", "rid"], "left").groupBy("grp").agg(
         (F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
