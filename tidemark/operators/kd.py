@@ -1,4 +1,8 @@
-"""Exact nearest rows within one task: a balanced k-d tree whose leaves are compared as matrices."""
+"""Exact nearest rows within one task: a balanced k-d tree whose leaves are compared as matrices.
+
+Where boxes tell nothing apart, all rows are compared by products in single precision, which leave out only pairs that
+are too far apart for sure; what they leave is compared in double precision.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,10 @@ BLOCK = 2_000_000
 QUANTUM = 1e6
 #: Beyond this size squares might overflow, and rows are compared one by one.
 HUGE = 1e100
+#: Queries and references of one product where all rows are compared.
+FLAT_QUERIES, FLAT_ROWS = 512, 1_024
+#: Single precision is taken where its error is at most this share of a query's bound, and squares stay below COARSE.
+COARSE_ERROR, COARSE = 0.05, 1e30
 
 
 def quantised(squares: np.ndarray) -> np.ndarray:
@@ -44,9 +52,18 @@ def first_of_each(row: np.ndarray, col: np.ndarray, d: np.ndarray, k: int) -> tu
     return row[keep], col[keep], d[keep]
 
 
-def slack(dims: int, size: np.ndarray) -> np.ndarray:
+def slack(dims: int, size: np.ndarray, kind: type = float) -> np.ndarray:
     """What a square taken from norms and a product may be wrong by, ``size`` being the sum of the squared norms."""
-    return 16.0 * (dims + 8) * np.finfo(float).eps * size
+    return 16.0 * (dims + 8) * float(np.finfo(kind).eps) * size
+
+
+def set_cells(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what is set in a mask that is mostly empty: eight cells are passed over at a time."""
+    if mask.shape[1] % 8:
+        return np.nonzero(mask)
+    flat = mask.reshape(-1)
+    at = (np.flatnonzero(flat.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.divmod(at[flat[at]], mask.shape[1])
 
 
 def reach(squares: np.ndarray) -> np.ndarray:
@@ -84,6 +101,7 @@ class Tree:
         centred = self.x - self.middle
         self.norms = (centred * centred).sum(axis=1)
         self.factors = np.c_[-2.0 * centred, self.norms]  # a row times (query, 1) is the square less the query's norm
+        self.columns: dict[type, np.ndarray] = {}
         self.low, self.high = np.zeros((2 * leaves, self.dims)), np.zeros((2 * leaves, self.dims))
         if n:
             self.low[leaves:], self.high[leaves:] = (f.reduceat(self.x, self.starts[:-1], axis=0) for f in (np.minimum, np.maximum))
@@ -185,16 +203,6 @@ class Tree:
         return reach(np.maximum(bound, 0.0) + slack(self.dims, norms + size))
 
     def _search(self, q, ones, norms, size, bound, k, codes, flat):
-        wrong = slack(self.dims, norms + size) - norms
-        everyone = np.arange(len(q))
-        if flat:
-            parts = ((leaf, everyone) for leaf in range(1 << self.levels))
-        else:
-            found = self.visits(q, bound)
-            order = np.argsort(found[1], kind="stable")
-            row, leaf = found[0][order], found[1][order]
-            ends = np.flatnonzero(np.diff(leaf)) + 1
-            parts = zip(leaf[np.r_[0, ends]] if len(leaf) else (), np.split(row, ends))
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         held, n = [], 0
 
@@ -206,18 +214,51 @@ class Tree:
             bound[last] = np.minimum(bound[last], reach(d[np.searchsorted(row, last, side="right") - 1] ** 2))
             return row, col, d
 
-        for leaf, rows in parts:
-            row, col = np.nonzero(self._leaf(leaf, ones[rows]) <= (bound + wrong)[rows, None])
-            row, col = rows[row], col + self.starts[leaf]
+        # both read the bounds as they are when the next pairs are asked for
+        for row, col in self._products(ones, norms, size, bound) if flat else self._visited(q, ones, norms, size, bound):
             if codes is not None:
                 other = codes[0][row] != codes[1][col]
                 row, col = row[other], col[other]
             held.append((row, col))
             n += len(row)
-            if n > 32 * len(q) + 4_096:
+            if n > 8 * len(q) + 4_096:
                 best, held, n = settled(), [], 0
         return settled() if held else best
 
+    def _visited(self, q, ones, norms, size, bound):
+        """(row, place) of the pairs that may be within the rows' bounds, leaf by leaf of those whose box reaches there."""
+        wrong = slack(self.dims, norms + size) - norms
+        row, leaf = self.visits(q, bound)
+        order = np.argsort(leaf, kind="stable")
+        row, leaf = row[order], leaf[order]
+        ends = np.flatnonzero(np.diff(leaf)) + 1
+        for at, rows in zip(leaf[np.r_[0, ends]] if len(leaf) else (), np.split(row, ends)):
+            near, col = np.nonzero(self._leaf(at, ones[rows]) <= (bound + wrong)[rows, None])
+            yield rows[near], col + self.starts[at]
+
+    def _products(self, ones, norms, size, bound):
+        """(row, place) of the pairs that may be within the rows' bounds, from products of all rows."""
+        rough = slack(self.dims, norms + size, np.float32)
+        coarse = (rough <= COARSE_ERROR * bound) & (norms + size < COARSE)
+        for kind, rows in ((np.float32, np.flatnonzero(coarse)), (np.float64, np.flatnonzero(~coarse))):
+            if not len(rows):
+                continue
+            left, right = ones[rows].astype(kind), self._columns(kind)
+            wrong = slack(self.dims, norms[rows] + size, kind) - norms[rows]
+            for lo in range(0, len(self.at), FLAT_ROWS):
+                part = right[:, lo:lo + FLAT_ROWS]
+                for first in range(0, len(rows), FLAT_QUERIES):
+                    some = slice(first, first + FLAT_QUERIES)
+                    cut = (bound[rows[some]] + wrong[some]).astype(kind)
+                    row, col = set_cells(left[some] @ part <= cut[:, None])
+                    yield rows[first + row], col + lo
+
+    def _columns(self, kind: type) -> np.ndarray:
+        """The factors as columns, made once for each precision."""
+        if kind not in self.columns:
+            self.columns[kind] = np.ascontiguousarray(self.factors.T, dtype=kind)
+        return self.columns[kind]
+
 
 def box_visits(q: np.ndarray, limit: np.ndarray, low: np.ndarray, high: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) of the boxes of a binary tree (node 1 above 2 and 3, and so on) within the squares ``limit``."""

@@ -10,6 +10,8 @@ depend on partitioning or summation order.
   that its neighbours lie within, and only cells whose box reaches into this ball are visited.
   Cells are split into tiles of bounded size on both sides; a tile emits at most k rows per
   query, never its pairs.
+* Where the boxes leave more than half of all pairs (many dimensions), cells are left aside: blocks of several tiles of
+  either side are compared, so that rows are sent to fewer places and a block emits at most k rows per query.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,9 @@ TILE_ROWS = 8_192
 #: Cells of larger references, and rows of the sample that each is cut from.
 MAX_CELLS = 2_048
 CELL_SAMPLE = 32
+#: Tiles that a block of either side holds, and which part of the queries tells how many pairs the boxes leave.
+BLOCK_TILES = 8
+ROUTED_PART = 16
 
 
 def vectors(df: DataFrame, key: str, features: Sequence[str], by: str | None, label: str = "id") -> DataFrame:
@@ -164,7 +171,8 @@ def _tiled_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool,
                     yield piece.iloc[row].assign(cell=(cell + base).astype(np.int32))[["grp", "qid", "vec", "limit", "cell"]]
 
     return cell_join(asked, placed, lambda bounds: bounds.mapInPandas(
-        route, f"grp string, qid {_kind(queries, 'qid')}, vec array<double>, limit double, cell int"), k, exclude_self, tile_rows)
+        route, f"grp string, qid {_kind(queries, 'qid')}, vec array<double>, limit double, cell int"), k, exclude_self, tile_rows,
+        blocks=True)
 
 
 def cell_boxes(placed: DataFrame, dims: int, cell: str) -> DataFrame:
@@ -173,11 +181,12 @@ def cell_boxes(placed: DataFrame, dims: int, cell: str) -> DataFrame:
     return placed.groupBy("grp", cell).agg(side(F.min).alias("low"), side(F.max).alias("high"))
 
 
-def cell_join(asked: DataFrame, placed: DataFrame, route, k: int, exclude_self: bool, tile_rows: int) -> DataFrame:
+def cell_join(asked: DataFrame, placed: DataFrame, route, k: int, exclude_self: bool, tile_rows: int, blocks: bool = False) -> DataFrame:
     """(grp, qid, rid, dist, rank) of queries (grp, qid, vec, cell) and references (grp, rid, vec, cell), written.
 
     ``cell`` is a query's own; ``route`` takes (grp, qid, vec, limit), limits being squares of a distance that the
-    neighbours lie within, to (grp, qid, vec, limit, cell): all cells that reach there.
+    neighbours lie within, to (grp, qid, vec, limit, cell): all cells that reach there.  With ``blocks`` all pairs are
+    compared in larger blocks where cells leave most of them.
     """
     kinds = f"grp string, qid {_kind(asked, 'qid')}"
     counts = placed.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"))
@@ -199,8 +208,10 @@ def cell_join(asked: DataFrame, placed: DataFrame, route, k: int, exclude_self:
             "grp", "cell", "qid", "vec", "limit", every("r_parts").alias("rp"), q_part), r
 
     def bound(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame({"grp": [], "qid": [], "vec": [], "limit": []}, dtype=object)
         limit = np.full(len(left), np.inf)
-        if len(left) and len(right):
+        if len(right):
             right = right.sort_values("rid")
             tree = Tree(right.rid.to_numpy(), _stack(right.vec), k + int(exclude_self))
             row, _, dist = tree.nearest(left.qid.to_numpy(), _stack(left.vec), k, exclude_self)
@@ -221,13 +232,72 @@ def cell_join(asked: DataFrame, placed: DataFrame, route, k: int, exclude_self:
     q_side, r_side = tiles(asked, True)
     bounds = materialize(q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(
         bound, f"{kinds}, vec array<double>, limit double"), "knn-bounds")
-    q_side, r_side = tiles(materialize(route(bounds), "knn-queries"), False)
-    found = q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(
-        match, f"{kinds}, rid {_kind(placed, 'rid')}, dist double")
+    if blocks and visited_share(bounds, route, counts) > 0.5:
+        found = block_join(bounds, placed, k, exclude_self, BLOCK_TILES * tile_rows)
+    else:
+        q_side, r_side = tiles(materialize(route(bounds), "knn-queries"), False)
+        found = q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(
+            match, f"{kinds}, rid {_kind(placed, 'rid')}, dist double")
     w = Window.partitionBy("grp", "qid").orderBy("dist", "rid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def visited_share(bounds: DataFrame, route, counts: DataFrame) -> float:
+    """The share of all pairs that lie in cells which queries are routed to, by a part of the queries."""
+    some = bounds.where(F.pmod(F.xxhash64("grp", "qid", "vec"), F.lit(ROUTED_PART)) == 0)
+    met = route(some).groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("v")).join(counts, ["grp", "cell"]).agg(F.sum(F.col("n") * F.col("v")))
+    every = some.groupBy("grp").agg(F.count(F.lit(1)).alias("v")).join(
+        counts.groupBy("grp").agg(F.sum("n").alias("n")), "grp").agg(F.sum(F.col("n") * F.col("v")))
+    every = every.first()[0]
+    return (met.first()[0] or 0) / every if every else 0.0
+
+
+def block_join(asked: DataFrame, placed: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """(grp, qid, rid, dist) of written queries (grp, qid, vec, limit) and references (grp, rid, vec): all pairs of a group.
+
+    Both sides are dealt into blocks of ``block_rows`` at most about; every pair of blocks is one group of rows, and few
+    blocks are cut further on the queries' side, so that all cores have some.
+    """
+    q_parts, r_parts = (F.ceil(F.col(c) / block_rows) for c in ("v", "n"))
+    sizes = materialize(placed.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).join(
+        asked.groupBy("grp").agg(F.count(F.lit(1)).alias("v")), "grp"), "knn-blocks")
+    pairs = sizes.agg(F.sum(q_parts * r_parts)).first()[0] or 1
+    finer = max(1, -(-4 * asked.sparkSession.sparkContext.defaultParallelism // int(pairs)))
+    plan = sizes.select("grp", r_parts.cast("int").alias("r_parts"), F.greatest(
+        q_parts, F.least(q_parts * finer, F.ceil(F.col("v") / LEAF))).cast("int").alias("q_parts"))
+    # rows are dealt out by their place in the files, as ids and vectors may repeat
+    dealt = lambda parts: F.pmod(F.xxhash64(F.col("__n")), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    def side(df: DataFrame, *names: str) -> DataFrame:
+        return df.select("grp", *names).withColumn("__n", F.monotonically_increasing_id()).join(F.broadcast(plan), "grp")
+
+    q_side = side(asked, "qid", "vec", "limit").select("grp", "qid", "vec", "limit", dealt("q_parts").alias("qp"), every("r_parts").alias("rp"))
+    r_side = side(placed, "rid", "vec").select("grp", "rid", "vec", every("q_parts").alias("qp"), dealt("r_parts").alias("rp"))
+
+    def values(rows: pa.Table) -> np.ndarray:
+        return rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+
+    def ids(rows: pa.Table, name: str) -> np.ndarray:
+        out = np.empty(rows.num_rows, object)
+        out[:] = rows[name].to_pylist()
+        return out
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = col = np.zeros(0, np.int64)
+        dist = np.zeros(0)
+        if left.num_rows and right.num_rows:
+            right = right.take(pc.sort_indices(right, [("rid", "ascending")]))
+            tree = Tree(ids(right, "rid"), values(right), k + int(exclude_self))
+            row, col, dist = tree.nearest(ids(left, "qid"), values(left), k, exclude_self, left["limit"].to_numpy())
+        return pa.table({"grp": left["grp"].take(pa.array(row)), "qid": left["qid"].take(pa.array(row)),
+                         "rid": right["rid"].take(pa.array(col)), "dist": pa.array(dist)})
+
+    keys = ["grp", "qp", "rp"]
+    return q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInArrow(
+        match, f"grp string, qid {_kind(asked, 'qid')}, rid {_kind(placed, 'rid')}, dist double")
+
+
 # ---------------------------------------------------------------------------
 # Approximate join: bucketed random projections with exact re-ranking
 # ---------------------------------------------------------------------------
