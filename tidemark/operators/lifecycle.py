@@ -133,10 +133,11 @@ def augment(base: str, upload: DataFrame, filename: str, industry: str, key: str
 
 @dataclass
 class Refitted:
-    """A model refitted on a table's rows and how it covers the calibration rows."""
+    """A model refitted on a table's rows, how it covers the calibration rows, and these rows as it has scored them."""
 
     model: models.StackedModel
     coverage: DataFrame
+    scored: DataFrame
 
 
 def refit(industry: str, train: DataFrame, val: DataFrame, key: str, folds: int = 5, params: dict | None = None,
@@ -148,7 +149,7 @@ def refit(industry: str, train: DataFrame, val: DataFrame, key: str, folds: int
     sets = conformal.prediction_sets(scored, conformal.calibrate(scored, ["industry"]), ["industry"])
     cover = materialize(conformal.coverage(sets, ["industry"]), "coverage")
     conformal.require_guardrail(cover, tolerance)
-    return Refitted(model, cover)
+    return Refitted(model, cover, scored)
 
 
 def training_rows(store: Store, version: Version) -> DataFrame:
@@ -181,7 +182,7 @@ def augment_store(store: Store, upload: DataFrame, filename: str, industry: str,
     merged = rows if before is None else tables.augmented(training_rows(store, before), rows)
     train, val = (merged.where(F.col("part") == p).drop("part") for p in ("train", "val"))
     fitted = refit(industry, train, val, key, **how)
-    state = serving.fit_state(industry, train, val, fitted.model, features, key)
+    state = serving.fit_state(industry, train, val, fitted.model, features, key, scored=fitted.scored)
     n = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = {"industry": industry, "train_records_added": n.get("train", 0), "val_records_added": n.get("val", 0)}
     paths = [*(before.meta["rows"] if before else []), f"{folder}/rows"]

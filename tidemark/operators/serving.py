@@ -61,14 +61,18 @@ class ServingState:
 
 def fit_state(industry: str, train: DataFrame, val: DataFrame, scorer: Callable[[DataFrame, str], DataFrame],
               features: Sequence[str] | None = None, key: str = "customer_id", imputer: CorrelationImputer | None = None,
-              hazards: DataFrame | None = None, indexed: bool = False) -> ServingState:
+              hazards: DataFrame | None = None, indexed: bool = False, scored: DataFrame | None = None) -> ServingState:
     """Fit what surrounds a scorer: quantiles on ``val``, scaling and references on ``train``.
 
     Both are cleaned rows of the industry with ``key`` and ``churned``; ``features`` span the retrieval space (all
-    numeric ones by default); ``indexed`` builds a neighbour index over the references.
+    numeric ones by default); ``indexed`` builds a neighbour index over the references.  ``scored`` are the rows of
+    ``val`` as the scorer has scored them already (churned, p, industry); otherwise they are scored here, once.
     """
     by = F.lit(industry).alias("industry")
-    quantiles = CF.calibrate(scorer(val, "p").withColumn("industry", by), ["industry"])
+    if scored is None:
+        # written, as quantiles take several passes and a model costs more than its scores
+        scored = materialize(scorer(val, "p").select("churned", "p", by), "calibration")
+    quantiles = CF.calibrate(scored, ["industry"])
     space = [f for f in features or A.feature_types(train.columns, industry)[0] if f in catalog.SCHEMAS[industry]]
     stats = pin(PP.scaling_stats(train.select("*", by), space, ["industry"]))
     scaled = PP.standard_scale(train.select("*", by), stats, space, ["industry"])
