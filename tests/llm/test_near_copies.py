@@ -109,3 +109,24 @@ def test_near_copies_among_texts_that_share_a_template(spark, shared):
     found = {(r["a"], r["b"]) for r in minhash.links(docs, own, 5, 0.8, "text").collect()}
     hits = sum((min(node[a], node[b]), max(node[a], node[b])) in found for a, b in planted)
     assert len(planted) > 100 and hits >= 0.99 * len(planted)
+
+
+@pytest.mark.parametrize("tile", (1024, 64))
+def test_near_copies_whose_shingles_are_all_common(spark, monkeypatch, tile):
+    """Texts of one template that differ in the variants of twelve passages: no shingle is rare, and the groups are those of all pairs."""
+    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "CELL", 8)
+    rng = random.Random(12)
+    codes = sorted({tuple(rng.randrange(3) for _ in range(12)) for _ in range(400)})
+    for c in codes[::4]:  # another variant of two passages
+        at = rng.sample(range(12), 2)
+        codes.append(tuple((v + (k in at)) % 3 for k, v in enumerate(c)))
+    rng.shuffle(codes)
+    template = [f"t{k}" for k in range(160)]
+    rows = [(i, " ".join(template + [f"v{k}x{v}w{w}" for k, v in enumerate(c) for w in range(8)])) for i, c in enumerate(codes)]
+    sets = [shingle_set(t) for _, t in rows]
+    pairs = [(i, j) for i, a in enumerate(sets) for j in range(i) if len(a & sets[j]) >= 0.8 * len(a | sets[j])]
+    roots = united(range(len(rows)), pairs)
+    assert 90 < len(rows) - len(set(roots.values())) < 300
+    assert min(sum(s in x for x in sets) for s in sets[0]) > 32
+    assert {r["doc_id"] for r in minhash.one_of_each_similar(frame(spark, rows)).collect()} == set(roots.values())
