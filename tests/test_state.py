@@ -61,6 +61,20 @@ def test_index_finds_most_neighbours_and_compares_few(spark, tmp_path):
     assert len(got & {r[:3] for r in want}) >= 0.9 * len(want)
 
 
+def test_index_routes_a_query_as_one_row(spark, monkeypatch):
+    """Whatever the number of slabs; and blocks of any size find the same."""
+    df = clustered(spark, n=1500)
+    refs, queries = df.withColumnRenamed("id", "rid"), df.withColumnRenamed("id", "qid")
+    index = KI.calibrate(KI.build(refs), queries, exclude_self=True, sample_queries=200)
+    whole = {tuple(r) for r in KI.search(index, queries, exclude_self=True).collect()}
+    monkeypatch.setattr(K, "TILE_ROWS", 16)
+    monkeypatch.setattr(K, "BLOCK_TILES", 2)
+    routed = KI.route(index, queries, 6)
+    assert routed.count() == queries.where(KI.complete(F.col("vec"))).count()
+    assert KI._slabs(index).agg(F.max("slab")).first()[0] > 10
+    assert {tuple(r) for r in KI.search(index, queries, exclude_self=True, tile_rows=16).collect()} == whole
+
+
 def test_index_of_nothing_and_of_copies(spark):
     df = spark.createDataFrame([("g", i, [1.0, 2.0]) for i in range(50)], "grp string, rid bigint, vec array<double>")
     queries = df.withColumnRenamed("rid", "qid").limit(3)

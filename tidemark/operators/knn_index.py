@@ -9,8 +9,8 @@
   neighbours lie, and how their sketches differ, gives the recall of every setting at once.
 
 A share of 1 with all bits allowed makes the join exact; it then goes only to lists whose box reaches as near as the
-neighbours in the query's own list.  Otherwise a query is sent once to each slab, a run of lists of about a tile's rows,
-with the lists that it probes there.  Centres meet rows by group and chunk in a shuffle; nothing
+neighbours in the query's own list.  Otherwise a query is one row with a bit for each list that it probes, and sent once to
+each slab, a run of lists of about a block's rows, and there compared tile by tile.  Centres meet rows by group and chunk in a shuffle; nothing
 is broadcast, and lists of any size are cut into tiles.
 """
 
@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ MAX_LISTS = 4_096
 ROUNDS = 10
 #: Rows of a group that meet its centres in one task.
 CHUNK_ROWS = 32_768
-#: The same where a row leaves once for each list or slab that it goes to.
+#: The same where a row meets all lists, or leaves once for each that it goes to.
 ROUTED_ROWS = 4_096
 #: Bits of a sketch, a multiple of 64.
 SKETCH_BITS = 256
@@ -159,119 +161,155 @@ def build(refs: DataFrame, lists: int | None = None, sample_rows: int = SAMPLE_R
 
 
 def route(index: Index, queries: DataFrame, k: int, everything: bool = False) -> DataFrame:
-    """(grp, qid, vec, code, reach, slab, lists, before): the lists of each slab that a query probes, and the references in
-    lists probed before each of them."""
-    names = ["grp", "qid", "vec", "code", "reach", "slab", "lists", "before"]
+    """(grp, qid, vec, code, reach, slabs, probed, met, before): a row for each query.
+
+    ``probed`` has a bit for each list, ``slabs`` are those of the probed lists and ``met`` is the number of references in
+    these.  With ``everything`` all lists are probed, and ``before`` has for each the references in lists nearer than it.
+    """
+    names = ["grp", "qid", "vec", "code", "reach", "slabs", "probed", "met", "before"]
 
     def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or own.empty:
             return _no_rows(*names)
         own = own.sort_values("c_list")
-        centres, n, lists, slab = knn._stack(own.c_centre), own.c_n.to_numpy(), own.c_list.to_numpy(), own.c_slab.to_numpy()
+        centres, n, slab = knn._stack(own.c_centre), own.c_n.to_numpy(), own.c_slab.to_numpy()
         total, share, reach = float(own.c_total.iloc[0]), float(own.c_share.iloc[0]), int(own.c_reach.iloc[0])
+        # slabs are runs of lists
+        first = np.flatnonzero(np.r_[True, slab[1:] != slab[:-1]])
         out = []
         for piece in knn._pieces(rows, len(centres)):
             x = knn._stack(piece.vec)
-            piece = piece.assign(code=sketches(x, centres), reach=SKETCH_BITS if everything else reach)
             order = np.argsort(_squares(x, centres), axis=1, kind="stable")
             met = np.cumsum(n[order], axis=1) - n[order]
             before = np.empty_like(met)
             np.put_along_axis(before, order, met, axis=1)
-            row, at = np.nonzero((n > 0) & (everything | (before <= share * total) | (before < k)))
-            # slabs are runs of lists, so that a row's lists of one slab are a run as well
-            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (slab[at[1:]] != slab[at[:-1]])]) if len(row) else row
-            parts = [np.split(v, first[1:]) if len(row) else [] for v in (lists[at], before[row, at])]
-            out.append(piece.iloc[row[first]].assign(slab=slab[at[first]], lists=pd.Series(parts[0], dtype=object).to_numpy(),
-                                                     before=pd.Series(parts[1], dtype=object).to_numpy())[names])
+            probed = (n > 0) & (everything | (before <= share * total) | (before < k))
+            row, at = np.nonzero(np.logical_or.reduceat(probed, first, axis=1))
+            slabs = np.split(slab[first][at], np.searchsorted(row, np.arange(1, len(piece))))
+            packed = np.packbits(probed, axis=1, bitorder="little")
+            out.append(piece.assign(
+                code=sketches(x, centres), reach=SKETCH_BITS if everything else reach, met=probed @ n,
+                slabs=pd.Series(slabs, dtype=object).to_numpy(), probed=[bits.tobytes() for bits in packed],
+                before=list(before) if everything else None)[names])
         return pd.concat(out)
 
     asked = queries.select("grp", "qid", "vec").where(complete(F.col("vec")))
     kind = knn._kind(queries, "qid")
     return _meet(asked, _slabs(index), "qid", run, f"grp string, qid {kind}, vec array<double>, code array<long>, reach int, "
-                 "slab int, lists array<int>, before array<long>", ROUTED_ROWS)
+                 "slabs array<int>, probed binary, met long, before array<long>", ROUTED_ROWS)
 
 
 def _slabs(index: Index) -> DataFrame:
-    """The centres with the slab of their list: lists in order, a new slab after each ``knn.TILE_ROWS`` references."""
+    """The centres with the slab of their list: lists in order, a new slab after the references of each block of ``knn.TILE_ROWS`` rows."""
     before = F.sum("n").over(Window.partitionBy("grp").orderBy("list")) - F.col("n")
-    return index.centres.withColumn("slab", F.floor(before / knn.TILE_ROWS).cast("int"))
+    return index.centres.withColumn("slab", F.floor(before / (knn.BLOCK_TILES * knn.TILE_ROWS)).cast("int"))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The rows of a list column of one length as a matrix."""
+    lists = column.combine_chunks()
+    if len(pc.unique(pc.list_value_length(lists))) > 1:
+        raise ValueError("all vectors of a group must have the same length")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def _probes(routed: DataFrame) -> DataFrame:
-    """Routed queries with a row for each list that they probe."""
-    return routed.withColumn("__p", F.explode(F.arrays_zip("lists", "before"))).select(
-        "grp", "qid", "code", F.col("__p.lists").alias("list"), F.col("__p.before").alias("before"))
+def _numbers(qid: pa.ChunkedArray, rid: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal where ids are."""
+    code, _ = pd.factorize(np.array([*qid.to_pylist(), *rid.to_pylist()], object), use_na_sentinel=False)
+    return code[:len(qid)], code[len(qid):]
 
 
-def _best_of_tile(left: pd.DataFrame, right: pd.DataFrame, k: int, exclude_self: bool):
-    """(query ids, reference ids, distances, pairs compared) of one tile: exact distances where sketches are near enough.
+def _best_of_block(left: pa.Table, right: pa.Table, k: int, exclude_self: bool, tile_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query rows, reference rows, distances, pairs compared) of one block: exact distances where sketches are near enough.
 
-    Of the pairs whose sketches are near enough a matrix product tells which can be among the ``k`` nearest of the tile.
+    References ascend by id and are taken ``tile_rows`` at a time, in the order of their lists.  Of the pairs of a tile whose
+    sketches are near enough a matrix product tells which can be among the ``k`` nearest of the tile.
     """
-    right = right.sort_values("rid")
-    qid, rid, q, r = left.qid.to_numpy(), right.rid.to_numpy(), knn._stack(left.vec), knn._stack(right.vec)
-    a, b = (np.stack(x.code.to_numpy()).astype(np.int64).view(np.uint64) for x in (left, right))
-    reach = left.reach.to_numpy()
-    lists, column = np.unique(right.list.to_numpy(), return_inverse=True)
-    probed = np.zeros((len(qid), len(lists)), bool)
-    for i, own in enumerate(left.lists):
-        probed[i] = np.isin(lists, own, assume_unique=True)
-    middle = r.mean(axis=0)
-    rm, qm = r - middle, q - middle
-    norms, own_norms = (rm * rm).sum(axis=1), (qm * qm).sum(axis=1)
-    wrong = kd.slack(q.shape[1], own_norms + norms.max())
-    found, compared = [], 0
-    step = max(1, knn.BLOCK // len(rid))
-    for lo in range(0, len(qid), step):
-        here = slice(lo, lo + step)
-        near = probed[here][:, column]
-        if reach.min() < SKETCH_BITS:
-            near &= _apart(a[here], b) <= reach[here, None]
-        if exclude_self:
-            near &= qid[here, None] != rid[None, :]
-        compared += int(np.count_nonzero(near))
-        squares = qm[here] @ rm.T
-        squares *= -2.0
-        squares += norms
-        squares += own_norms[here, None]
-        squares[~near] = np.inf
-        if len(rid) > k:
-            kth = np.partition(squares, k - 1, axis=1)[:, k - 1]
-            near &= squares <= (kd.reach(np.maximum(kth, 0.0) + wrong[here]) + wrong[here])[:, None]
-        row, col = np.nonzero(near)
-        row, col, d = kd.first_of_each(row, col, kd.quantised(kd.pair_squares(q[lo + row], r[col])), k)
-        found.append((qid[lo + row], rid[col], d))
-    return (*(np.concatenate(x) for x in zip(*found)), compared)
+    q, r = _matrix(left["vec"]), _matrix(right["vec"])
+    a, b = (_matrix(x["code"]).astype(np.int64, copy=False).view(np.uint64) for x in (left, right))
+    reach, list_of = left["reach"].to_numpy(), right["list"].to_numpy()
+    packed = np.frombuffer(b"".join(left["probed"].to_pylist()), np.uint8).reshape(len(q), -1)
+    qid, rid = _numbers(left["qid"], right["rid"]) if exclude_self else (None, None)
+    by_list = np.argsort(list_of, kind="stable")
+    tiles = [np.sort(by_list[lo:lo + tile_rows]) for lo in range(0, len(by_list), tile_rows)]
+    best, compared = [], 0
+    for top in range(0, len(q), tile_rows):
+        bits = np.unpackbits(packed[top:top + tile_rows], axis=1, bitorder="little").view(bool)
+        found = []
+        for tile in tiles:
+            rows = top + np.flatnonzero(bits[:, np.unique(list_of[tile])].any(axis=1))
+            middle = r[tile].mean(axis=0)
+            rm = r[tile] - middle
+            norms = (rm * rm).sum(axis=1)
+            step = max(1, knn.BLOCK // len(tile))
+            for lo in range(0, len(rows), step):
+                here = rows[lo:lo + step]
+                near = bits[here - top][:, list_of[tile]]
+                if reach[here].min() < SKETCH_BITS:
+                    near &= _apart(a[here], b[tile]) <= reach[here, None]
+                if exclude_self:
+                    near &= qid[here, None] != rid[None, tile]
+                compared += int(np.count_nonzero(near))
+                if len(tile) > k:
+                    qm = q[here] - middle
+                    own_norms = (qm * qm).sum(axis=1)
+                    wrong = kd.slack(q.shape[1], own_norms + norms.max())
+                    squares = qm @ rm.T
+                    squares *= -2.0
+                    squares += norms
+                    squares += own_norms[:, None]
+                    squares[~near] = np.inf
+                    kth = np.partition(squares, k - 1, axis=1)[:, k - 1]
+                    near &= squares <= (kd.reach(np.maximum(kth, 0.0) + wrong) + wrong)[:, None]
+                row, col = np.nonzero(near)
+                row, col = here[row], tile[col]
+                found.append(kd.first_of_each(row, col, kd.quantised(kd.pair_squares(q[row], r[col])), k))
+        if found:
+            best.append(kd.first_of_each(*(np.concatenate(x) for x in zip(*found)), k))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return (*(np.concatenate(x) for x in zip(none, *best)), compared)
 
 
 def _ranked(index: Index, routed: DataFrame, k: int, exclude_self: bool, tile_rows: int) -> DataFrame:
-    """(grp, qid, rid, dist) of what routed (written) queries meet in their lists, at most ``k`` a tile and query.
+    """(grp, qid, rid, dist) of what routed (written) queries meet in their lists, at most ``k`` a block and query.
 
-    A tile also says how many pairs it compared: a row without ids, with the number in ``dist``.
+    A query is sent once to each slab and block of its references.  A block of up to about ``knn.BLOCK_TILES * tile_rows`` rows a
+    side also says how many pairs it compared: a row without ids, with the number in ``dist``.  Few blocks are cut further on
+    the queries' side, so that all cores have some.
     """
-    rows = index.rows.join(F.broadcast(_slabs(index).select("grp", "list", "slab")), ["grp", "list"])
-    parts = materialize(rows.groupBy("grp", "slab").agg(F.count(F.lit(1)).alias("n")).join(
-        routed.groupBy("grp", "slab").agg(F.count(F.lit(1)).alias("v")), ["grp", "slab"]).select(
-        "grp", "slab", F.ceil(F.col("n") / tile_rows).cast("int").alias("r_parts"),
-        F.ceil(F.col("v") / tile_rows).cast("int").alias("q_parts")), "index-plan")
-
-    def tiles(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        return df.join(parts, ["grp", "slab"]).withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own[0]}_parts")).cast("int")) \
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other[0]}_parts") - 1))).drop("r_parts", "q_parts")
-
-    q_side = tiles(routed.select("grp", "qid", "vec", "code", "reach", "slab", "lists"), "qid", "qp", "rp")
-    r_side = tiles(rows, "rid", "rp", "qp")
+    block_rows = knn.BLOCK_TILES * tile_rows
+    # rows are dealt out by their place in the files, as ids may repeat
+    place = F.monotonically_increasing_id().alias("__n")
+    rows = index.rows.select("*", place).join(F.broadcast(_slabs(index).select("grp", "list", "slab")), ["grp", "list"])
+    sent = routed.select("grp", "qid", "vec", "code", "reach", "probed", "slabs", place).withColumn("slab", F.explode("slabs")).drop("slabs")
+    sizes = materialize(rows.groupBy("grp", "slab").agg(F.count(F.lit(1)).alias("n")).join(
+        sent.groupBy("grp", "slab").agg(F.count(F.lit(1)).alias("v")), ["grp", "slab"]), "index-plan")
+    q_parts, r_parts = (F.ceil(F.col(c) / block_rows) for c in ("v", "n"))
+    blocks = sizes.agg(F.sum(q_parts * r_parts)).first()[0] or 1
+    finer = max(1, -(-4 * routed.sparkSession.sparkContext.defaultParallelism // int(blocks)))
+    parts = sizes.select("grp", "slab", r_parts.cast("int").alias("r_parts"), F.greatest(
+        q_parts, F.least(q_parts * finer, F.ceil(F.col("v") / kd.LEAF))).cast("int").alias("q_parts"))
+
+    def cut(df: DataFrame, own: str, other: str) -> DataFrame:
+        return df.join(parts, ["grp", "slab"]).withColumn(own, F.pmod(F.xxhash64("__n"), F.col(f"{own[0]}_parts")).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other[0]}_parts") - 1))).drop("r_parts", "q_parts", "__n")
+
+    q_side, r_side = cut(sent, "qp", "rp"), cut(rows, "rp", "qp")
     names = ["grp", "slab", "rp", "qp"]
 
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return _no_rows("grp", "qid", "rid", "dist")
-        qid, rid, dist, compared = _best_of_tile(left, right, k, exclude_self)
-        return pd.DataFrame({"grp": left.grp.iloc[0], "qid": pd.Series([*qid.tolist(), None], dtype=object),
-                             "rid": pd.Series([*rid.tolist(), None], dtype=object), "dist": np.append(dist, float(compared))})
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = col = np.zeros(0, np.int64)
+        dist, compared = np.zeros(0), []
+        if left.num_rows and right.num_rows:
+            right = right.take(pc.sort_indices(right, [("rid", "ascending")]))
+            row, col, dist, n = _best_of_block(left, right, k, exclude_self, tile_rows)
+            compared = [n]
+        of = lambda column, at: pa.concat_arrays([column.take(pa.array(at)).combine_chunks(), pa.nulls(len(compared), column.type)])
+        return pa.table({"grp": pa.repeat(left["grp"][0], len(row) + len(compared)) if left.num_rows else pa.array([], pa.string()),
+                         "qid": of(left["qid"], row), "rid": of(right["rid"], col), "dist": pa.array(np.append(dist, compared))})
 
     schema = f"grp string, qid {knn._kind(routed, 'qid')}, rid {knn._kind(index.rows, 'rid')}, dist double"
-    return q_side.groupBy(*names).cogroup(r_side.groupBy(*names)).applyInPandas(match, schema)
+    return q_side.groupBy(*names).cogroup(r_side.groupBy(*names)).applyInArrow(match, schema)
 
 
 def _first(hits: DataFrame, k: int) -> DataFrame:
@@ -348,7 +386,8 @@ def calibrate(index: Index, queries: DataFrame, k: int = catalog.NEIGHBOURS, exc
     exact = _first(_ranked(index, routed, k, exclude_self, tile_rows), k)
     found = exact.select("grp", "qid", "rid").join(
         index.rows.select("grp", "rid", "list", F.col("code").alias("there")), ["grp", "rid"])
-    needed = found.join(_probes(routed), ["grp", "qid", "list"]).withColumn(
+    # lists are numbered from 0 in their group
+    needed = found.join(routed.select("grp", "qid", "code", "before"), ["grp", "qid"]).withColumn("before", F.get("before", F.col("list"))).withColumn(
         "apart", F.aggregate(F.zip_with("code", "there", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, x: t + x))
     totals = index.centres.groupBy("grp").agg(F.first("total").alias("all"))
     settings = needed.join(totals, "grp").groupBy("grp").agg(
@@ -370,7 +409,6 @@ def recall(index: Index, queries: DataFrame, exact: DataFrame, k: int = catalog.
     measured = exact.select("grp", "qid", "rid").join(found, ["grp", "qid", "rid"], "left").groupBy("grp").agg(
         F.countDistinct("qid").alias("queries"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
     compared = hits.where(F.col("rid").isNull()).groupBy("grp").agg(F.sum("dist").cast("long").alias("compared"))
-    met = routed.select("grp", F.explode("lists").alias("list")).groupBy("grp", "list").agg(F.count(F.lit(1)).alias("v")).join(
-        index.centres.select("grp", "list", "n", "total"), ["grp", "list"]).groupBy("grp").agg(
-        F.sum(F.col("n") * F.col("v")).alias("met"), F.first("total").alias("refs"))
-    return measured.join(met, "grp").join(compared, "grp").select("grp", "queries", "refs", "met", "compared", "recall")
+    met = routed.groupBy("grp").agg(F.sum("met").alias("met"))
+    refs = index.centres.groupBy("grp").agg(F.first("total").alias("refs"))
+    return measured.join(met, "grp").join(refs, "grp").join(compared, "grp").select("grp", "queries", "refs", "met", "compared", "recall")
